@@ -120,7 +120,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
 
     # Candidate pools: cohort pools hold mapped rows, position pools all rows.
     valid = base.where("valid")
-    cand_cols = [spec.key, *carry, *xs]
+    filt = [c for c in (spec.age, spec.league) if c not in carry and c != spec.key]
+    cand_cols = [spec.key, *carry, *filt, *xs]
     pools = []
     if strict_position is not True:
         pools.append(valid.where("mapped").select(
@@ -185,7 +186,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
               .where(F.col("rank") <= F.col("top_n")))
     return ranked.select(
         "query_id", "reference", "ref_key", "ref_name", "cohort", "cohort_idx",
-        "strict_position", spec.key, *carry, "similarity_score", "rank",
+        "strict_position", "max_age", "selected_leagues", "top_n",
+        spec.key, *carry, "similarity_score", "rank",
         *[F.col(x) for x in xs[:3]])
 
 
