@@ -131,7 +131,7 @@ def part_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_market(lineitem: DataFrame, since: str = MARKET_SINCE) -> DataFrame:
     """Sparse market dimension: parts traded since ``since``."""
-    recent = lineitem.where(F.col("l_shipdate") >= F.to_timestamp(F.lit(since)))
+    recent = lineitem.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
     n = F.count(F.lit(1))
     return recent.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double")
