@@ -124,7 +124,7 @@ qin AS ({queries_sql}),
 qs AS (SELECT qin.*, v.p_partkey AS ref_key, v.cohort, v.cidx, v.mapped, v.m, v.p_brand,
               {qx} FROM qin JOIN vb v ON lower(v.p_label) = lower(qin.reference)),
 qp AS (SELECT qs.*, {pool_expr.replace('cohort', 'qs.cohort').replace('p_brand', 'qs.p_brand')} AS pool FROM qs),
-qk AS (SELECT qp.*, {', '.join(ks)}
+qk AS (SELECT qs.*, {', '.join(ks)}
        FROM qp qs LEFT JOIN mom USING (pool)),
 pairs AS (
   SELECT q.query_id, q.ref_key, q.cohort, q.top_n, c.p_partkey AS cand_key,
@@ -242,7 +242,7 @@ def _tags_cte() -> str:
     sec = " ".join(f"WHEN {s(t)} THEN {s(f)}" for t, f in PART_TYPE_SECONDARY)
     return f"""
 tg AS (SELECT p_partkey, p_brand, list_sort(list_distinct(list_filter(
-         [coalesce(CASE p_kind {fam} END, p_kind), CASE p_type {sec} END], x -> x IS NOT NULL))) AS tags
+         [coalesce(CASE p_kind {fam} END, p_kind), CASE p_type {sec} END], lambda x: x IS NOT NULL))) AS tags
        FROM prof)"""
 
 
@@ -357,8 +357,8 @@ ks AS (SELECT label, list(1.0 / (s * s) ORDER BY d) AS kvec FROM (
 pairs AS (
   SELECT q.vec_id AS ref_key, q.label AS cohort, c.vec_id AS cand_key,
          round_even(exp(-({d(1)} / ({d(4)} * CAST(len(q.vec) AS DOUBLE))) *
-           list_reduce(list_transform(list_zip(c.vec, q.vec, ks.kvec), e -> e[3] * (e[1] - e[2]) * (e[1] - e[2])),
-                       (acc, y) -> acc + y, {d(0)})) * {d(100)} * {d(100)}, 0) / {d(100)} AS similarity_score
+           list_reduce(list_transform(list_zip(c.vec, q.vec, ks.kvec), lambda e: e[3] * (e[1] - e[2]) * (e[1] - e[2])),
+                       lambda acc, y: acc + y, {d(0)})) * {d(100)} * {d(100)}, 0) / {d(100)} AS similarity_score
   FROM v q JOIN ks ON ks.label = q.label JOIN v c ON c.label = q.label AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_key ORDER BY similarity_score DESC, cand_key) AS rank FROM pairs)
 SELECT ref_key, cohort, cand_key, similarity_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
