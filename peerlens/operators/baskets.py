@@ -139,7 +139,7 @@ def _best_other(tops: Column, excluded: list[Column], need: int) -> Column:
     return F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _enumerate(fi: DataFrame, k: int, gmin: Column, bound: DataFrame | None = None
+def _enumerate(fi: DataFrame, k: int, gmin: DataFrame, bound: DataFrame | None = None
                ) -> DataFrame:
     """Feasible k-baskets (k in 2, 3) of the (scenario, item) rows ``fi``.
 
@@ -156,9 +156,10 @@ def _enumerate(fi: DataFrame, k: int, gmin: Column, bound: DataFrame | None = No
     tol = F.lit(TOL)
     if k == 3:
         # pair-level bounds: the third slot at its most favourable value
-        combos = combos.where(
-            (F.col("fee_a") + F.col("fee_b") + gmin["fee"] <= F.col("s_fee") + tol)
-            & (F.col("wage_a") + F.col("wage_b") + gmin["wage"] <= F.col("s_wage") + tol))
+        combos = (combos.join(gmin, "sid").where(
+            (F.col("fee_a") + F.col("fee_b") + F.col("g_fee") <= F.col("s_fee") + tol)
+            & (F.col("wage_a") + F.col("wage_b") + F.col("g_wage") <= F.col("s_wage") + tol))
+            .drop("g_fee", "g_wage"))
         if bound is not None:
             combos = (combos.join(bound, "sid", "left")
                       .where(F.col("vstar").isNull()
@@ -193,12 +194,21 @@ def _best(baskets: DataFrame) -> DataFrame:
 
 
 def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
-                 bspec: BasketSpec, prune: bool = True) -> DataFrame:
-    """One row per scenario: status, sorted member keys, totals."""
+                 bspec: BasketSpec, prune: bool = True, materialize: bool = True) -> DataFrame:
+    """One row per scenario: status, sorted member keys, totals.
+
+    The (scenario, feasible item) table is read by every later stage, so it
+    is materialised once with a reliable ``checkpoint()`` (shared folder of
+    ``spark.checkpoint.dir``): the market lineage is not recomputed per
+    branch and the combinatorial stages restart from it after a loss."""
     scen = scenario_literal(scenarios)
     items = basket_items(market, spec, bspec)
-    gmin = items.agg(F.struct(F.min("fee").alias("fee"), F.min("wage").alias("wage"))).scalar()
     fi = _feasible_items(items, scen)
+    if materialize:
+        fi = fi.checkpoint(eager=True)
+    # per-scenario minima over feasible items: the third member of a basket
+    # is itself a feasible item of the scenario, so this bound stays exact.
+    gmin = fi.groupBy("sid").agg(F.min("fee").alias("g_fee"), F.min("wage").alias("g_wage"))
     results = []
     for k in (2, 3):
         fk = fi.where(F.col("k") == F.lit(k))

@@ -263,7 +263,7 @@ def _metrics_json(prefix: str) -> str:
     """JSON object of the candidate cohort's features for row alias ``prefix``."""
     cases = []
     for i, (_, fs) in enumerate(D.role_metrics):
-        parts = ", ".join(f"{s(f)}: {prefix}.{f}" for f, _, _ in fs)
+        parts = ", ".join(f"{s(f)}: CAST({prefix}.{f} AS DOUBLE)" for f, _, _ in fs)
         cases.append(f"WHEN {i} THEN to_json({{{parts}}})")
     return "CASE cb.cidx " + " ".join(cases) + " END"
 
