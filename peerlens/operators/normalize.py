@@ -142,11 +142,22 @@ def with_slots(df: DataFrame, dims: Dimensions, idx_col: str = "cohort_idx") ->
 def cohort_moments(slots: DataFrame, dims: Dimensions, pool_col: str) -> DataFrame:
     """A1: per-pool count, mean and population std of every slot.
 
-    One row per pool (cohorts or positions): tiny, broadcast back."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for j in range(1, dims.n_slots + 1):
-        aggs += [F.avg(f"x{j}").alias(f"mu{j}"), F.stddev_pop(f"x{j}").alias(f"sd{j}")]
-    return slots.where("valid").groupBy(pool_col).agg(*aggs)
+    Computed in long form (one ``explode`` of the slots, then
+    ``groupBy(pool, ord)``) so every aggregate reads a plain column, then
+    folded back to one row per pool (pools x slots rows: tiny)."""
+    m = dims.n_slots
+    arr = F.array(*[F.struct(F.lit(j).alias("ord"), F.col(f"x{j}").alias("v"))
+                    for j in range(1, m + 1)])
+    long = (slots.where("valid").select(pool_col, F.explode(arr).alias("_e"))
+            .select(pool_col, F.col("_e.ord").alias("ord"), F.col("_e.v").alias("v")))
+    per = long.groupBy(pool_col, "ord").agg(F.count(F.lit(1)).alias("n"),
+                                            F.avg("v").alias("mu"),
+                                            F.stddev_pop("v").alias("sd"))
+    aggs = [F.max("n").alias("n")]
+    for j in range(1, m + 1):
+        aggs += [F.max(F.when(F.col("ord") == j, F.col("mu"))).alias(f"mu{j}"),
+                 F.max(F.when(F.col("ord") == j, F.col("sd"))).alias(f"sd{j}")]
+    return per.groupBy(pool_col).agg(*aggs)
 
 
 def guarded_scale(sd: Column, mu: Column) -> Column:

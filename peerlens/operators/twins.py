@@ -97,7 +97,8 @@ def _adjusted_moments(dims: Dimensions) -> list[Column]:
 
 def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: DataFrame, *,
           strict_position: bool | None = False, pair_budget: int = DEFAULT_PAIR_BUDGET,
-          carry: list[str] | None = None, prepared: DataFrame | None = None) -> DataFrame:
+          carry: list[str] | None = None, prepared: DataFrame | None = None,
+          sample: int = 64) -> DataFrame:
     """Top-k statistical twins for every row of ``queries``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
@@ -120,8 +121,7 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
 
     # Candidate pools: cohort pools hold mapped rows, position pools all rows.
     valid = base.where("valid")
-    filt = [c for c in (spec.age, spec.league) if c not in carry and c != spec.key]
-    cand_cols = [spec.key, *carry, *filt, *xs]
+    cand_cols = list(dict.fromkeys([spec.key, spec.age, spec.league, *xs]))
     pools = []
     if strict_position is not True:
         pools.append(valid.where("mapped").select(
@@ -139,13 +139,16 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
     q = q.join(moments, "pool", "left")
     own_row = F.col("strict_position") | F.col("mapped")
     q = q.select("*", *_adjusted_moments(dims))
-    factors = []
-    for j in range(1, nslot + 1):
-        mu = F.when(own_row, F.col(f"mu{j}")).otherwise(F.col(f"amu{j}"))
-        sd = F.when(own_row, F.col(f"sd{j}")).otherwise(F.col(f"asd{j}"))
-        s = guarded_scale(sd, mu)
-        w = dims.slot(F.col("cohort_idx"), j - 1, "weight")
-        factors.append((w / (s * s)).alias(f"k{j}"))
+    # staged projections: each intermediate is a column, so Catalyst does not
+    # inline (and duplicate) the moment expressions into one huge method.
+    q = q.select("*", *[c for j in range(1, nslot + 1) for c in (
+        F.when(own_row, F.col(f"mu{j}")).otherwise(F.col(f"amu{j}")).alias(f"smu{j}"),
+        F.when(own_row, F.col(f"sd{j}")).otherwise(F.col(f"asd{j}")).alias(f"ssd{j}"))])
+    q = q.select("*", *[guarded_scale(F.col(f"ssd{j}"), F.col(f"smu{j}")).alias(f"s{j}")
+                        for j in range(1, nslot + 1)])
+    factors = [(dims.slot(F.col("cohort_idx"), j - 1, "weight")
+                / (F.col(f"s{j}") * F.col(f"s{j}"))).alias(f"k{j}")
+               for j in range(1, nslot + 1)]
     q = q.select(
         "query_id", "reference", F.col(spec.key).alias("ref_key"),
         F.col(spec.name).alias("ref_name") if spec.name != spec.key else F.col(spec.name).alias("ref_name"),
@@ -156,20 +159,77 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
     qn = q.groupBy("pool").agg(F.count(F.lit(1)).alias("nq"))
     cn = cand.groupBy("pool").agg(F.count(F.lit(1)).alias("nc"))
     blocks = qn.join(cn, "pool").select(
-        "pool", F.least(F.col("nq"), F.greatest(F.lit(1), F.ceil(
+        "pool", "nc", F.least(F.col("nq"), F.greatest(F.lit(1), F.ceil(
             F.col("nq").cast("double") * F.col("nc") / F.lit(float(pair_budget))))
         ).cast("int").alias("nb"))
-    q = q.join(blocks, "pool").withColumn(
+    q = q.join(blocks.drop("nc"), "pool").withColumn(
         "block", F.pmod(F.col("query_id"), F.col("nb")).cast("int")).drop("nb")
-    cand = cand.join(blocks, "pool").select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")).drop("nb")
 
-    pairs = q.join(cand, ["pool", "block"]).where(F.col(spec.key) != F.col("ref_key"))
-    pairs = pairs.where(
-        (F.col("max_age").isNull() | (F.col(spec.age) <= F.col("max_age")))
-        & (F.col("selected_leagues").isNull() | (F.size("selected_leagues") == 0)
-           | F.array_contains(F.col("selected_leagues"), F.col(spec.league))))
+    # Scoring only needs the key, the filter columns and the slots.
+    core = cand.select("pool", F.col(spec.key).alias("_ck"), F.col(spec.age).alias("_cage"),
+                       F.col(spec.league).alias("_clg"), *xs)
+
+    def replicate(df: DataFrame) -> DataFrame:
+        return df.join(blocks.drop("nc"), "pool").select(
+            "*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")).drop("nb")
+
+    qcols = ["pool", "block", "query_id", "top_n", "max_age", "selected_leagues", "m",
+             *[f"q{x}" for x in xs], *[f"k{j}" for j in range(1, nslot + 1)]]
+
+    def scored(qside: DataFrame, cside: DataFrame) -> DataFrame:
+        pairs = qside.join(cside, ["pool", "block"]).where(F.col("_ck") != F.col("_rk"))
+        pairs = pairs.where(
+            (F.col("max_age").isNull() | (F.col("_cage") <= F.col("max_age")))
+            & (F.col("selected_leagues").isNull() | (F.size("selected_leagues") == 0)
+               | F.array_contains(F.col("selected_leagues"), F.col("_clg"))))
+        return pairs.withColumn("similarity_score", _score(nslot))
 
+    w = Window.partitionBy("pool", "block", "query_id").orderBy(
+        F.col("similarity_score").desc(), F.col("_ck").asc())
+
+    # Pass 1: score every query against a deterministic hash sample of about
+    # `sample` candidates of its pool.  The k-th best sampled score is a lower
+    # bound of the true k-th best score, so pass 2 may drop every pair below
+    # it before the top-k sort without changing the result (ties kept).
+    qk = q.select(*qcols, F.col("ref_key").alias("_rk"))
+    smp = replicate(core.join(blocks.select("pool", "nc"), "pool")
+                    .where(F.pmod(F.xxhash64("_ck"), F.col("nc")) < F.lit(sample)).drop("nc"))
+    thr = (scored(qk, smp).withColumn("_r", F.row_number().over(w))
+           .where(F.col("_r") <= F.col("top_n"))
+           .groupBy("pool", "block", "query_id")
+           .agg(F.min("similarity_score").alias("_t"), F.count(F.lit(1)).alias("_n"),
+                F.first("top_n").alias("_k"))
+           .select("pool", "block", "query_id",
+                   F.when(F.col("_n") >= F.col("_k"), F.col("_t")).otherwise(F.lit(-1.0))
+                    .alias("_thr")))
+    qk = qk.join(thr, ["pool", "block", "query_id"], "left").fillna({"_thr": -1.0})
+
+    # Pass 2: all pairs, pruned by the threshold, then the top-k window.
+    # (coalesce: a null-tolerant predicate, so Catalyst does not infer and
+    #  push isnotnull() copies of the whole score expression below the join)
+    top = (scored(qk, replicate(core))
+           .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr"))
+           .select("pool", "block", "query_id", "top_n", "_ck", "similarity_score")
+           .withColumn("rank", F.row_number().over(w))
+           .where(F.col("rank") <= F.col("top_n"))
+           .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
+
+    # Descriptive columns joined back for the k winners only.
+    qdesc = q.groupBy("query_id").agg(
+        F.min("reference").alias("reference"),
+        *[F.first(c).alias(c) for c in ("ref_key", "ref_name", "cohort", "cohort_idx",
+                                        "strict_position", "max_age", "selected_leagues",
+                                        "top_n")])
+    attrs = base.select(spec.key, *carry, *xs[:3]).dropDuplicates([spec.key])
+    out = top.join(qdesc, "query_id").join(attrs, spec.key)
+    return out.select(
+        "query_id", "reference", "ref_key", "ref_name", "cohort", "cohort_idx",
+        "strict_position", "max_age", "selected_leagues", "top_n",
+        spec.key, *carry, "similarity_score", "rank", *xs[:3])
+
+
+def _score(nslot: int) -> Column:
+    """rint(exp(-d2 / (4 m)) * 100 * 100) / 100 with d2 = sum k_j (x_j - qx_j)^2."""
     d2 = None
     for j in range(1, nslot + 1):
         diff = F.col(f"x{j}") - F.col(f"qx{j}")
@@ -177,18 +237,7 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
         d2 = term if d2 is None else d2 + term
     gamma = F.lit(1.0) / (F.lit(4.0) * F.col("m").cast("double"))
     sim = F.exp(-gamma * d2) * F.lit(100.0)
-    score = F.rint(sim * F.lit(100.0)) / F.lit(100.0)
-
-    w = Window.partitionBy("pool", "block", "query_id").orderBy(
-        F.col("similarity_score").desc(), F.col(spec.key).asc())
-    ranked = (pairs.withColumn("similarity_score", score)
-              .withColumn("rank", F.row_number().over(w))
-              .where(F.col("rank") <= F.col("top_n")))
-    return ranked.select(
-        "query_id", "reference", "ref_key", "ref_name", "cohort", "cohort_idx",
-        "strict_position", "max_age", "selected_leagues", "top_n",
-        spec.key, *carry, "similarity_score", "rank",
-        *[F.col(x) for x in xs[:3]])
+    return F.rint(sim * F.lit(100.0)) / F.lit(100.0)
 
 
 def with_metric_names(df: DataFrame, dims: Dimensions) -> DataFrame:
