@@ -254,8 +254,10 @@ def basket_kpis(best: DataFrame, market: DataFrame, scenarios: DataFrame,
     """Spent, saved, surplus over floors, age under cap per scenario."""
     mem = basket_members(best, market, spec)
     agg = mem.groupBy("scenario_id").agg(
-        F.sum(bspec.fee).alias("spent_fee"), F.sum(bspec.wage).alias("spent_wages"),
-        F.sum(bspec.prog).alias("combined_prog"), F.sum(bspec.defence).alias("combined_def"),
+        F.sum(F.col(bspec.fee).cast("double")).alias("spent_fee"),
+        F.sum(F.col(bspec.wage).cast("double")).alias("spent_wages"),
+        F.sum(F.col(bspec.prog).cast("double")).alias("combined_prog"),
+        F.sum(F.col(bspec.defence).cast("double")).alias("combined_def"),
         F.avg(F.col(spec.age).cast("double")).alias("portfolio_age"),
         F.count(F.lit(1)).alias("n_players"))
     sc = scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"),

@@ -198,7 +198,7 @@ fi AS (SELECT sc.*, it.* FROM scen sc, it, g
          AND it.prog + (sc.k - 1) * g.gprog >= sc.min_prog_passes - {TOL}
          AND it.dfn + (sc.k - 1) * g.gdfn >= sc.min_defensive_actions - {TOL}
          AND it.cre + (sc.k - 1) * g.gcre >= sc.min_creation_threat - {TOL}),
-b2 AS (SELECT a.scenario_id, list_sort([a.key, b.key]) AS keys, a.value + b.value AS tv,
+bk2 AS (SELECT a.scenario_id, list_sort([a.key, b.key]) AS keys, a.value + b.value AS tv,
               a.fee + b.fee AS tf, a.wage + b.wage AS tw_
        FROM fi a JOIN fi b ON a.scenario_id = b.scenario_id AND a.pos < b.pos
        WHERE a.k = 2
@@ -206,7 +206,7 @@ b2 AS (SELECT a.scenario_id, list_sort([a.key, b.key]) AS keys, a.value + b.valu
          AND (a.age - a.max_avg_age) + (b.age - a.max_avg_age) <= {TOL}
          AND a.prog + b.prog >= a.min_prog_passes - {TOL} AND a.dfn + b.dfn >= a.min_defensive_actions - {TOL}
          AND a.cre + b.cre >= a.min_creation_threat - {TOL}),
-b3 AS (SELECT a.scenario_id, list_sort([a.key, b.key, c.key]) AS keys,
+bk3 AS (SELECT a.scenario_id, list_sort([a.key, b.key, c.key]) AS keys,
               a.value + b.value + c.value AS tv, a.fee + b.fee + c.fee AS tf,
               a.wage + b.wage + c.wage AS tw_
        FROM fi a JOIN fi b ON a.scenario_id = b.scenario_id AND a.pos < b.pos
@@ -220,7 +220,7 @@ b3 AS (SELECT a.scenario_id, list_sort([a.key, b.key, c.key]) AS keys,
          AND a.prog + b.prog + c.prog >= a.min_prog_passes - {TOL}
          AND a.dfn + b.dfn + c.dfn >= a.min_defensive_actions - {TOL}
          AND a.cre + b.cre + c.cre >= a.min_creation_threat - {TOL}),
-allb AS (SELECT * FROM b2 UNION ALL SELECT * FROM b3),
+allb AS (SELECT * FROM bk2 UNION ALL SELECT * FROM bk3),
 rb AS (SELECT *, row_number() OVER (PARTITION BY scenario_id
          ORDER BY round_even(tv * {d(1e9)}, 0) / {d(1e9)} DESC, keys ASC) AS rn FROM allb),
 best AS (SELECT sc.scenario_id, CASE WHEN rb.keys IS NULL THEN 'infeasible' ELSE 'optimal' END AS status,
@@ -437,4 +437,41 @@ SELECT DISTINCT kind, option FROM (
     uvals = ", ".join(f"({s(u)}, {s(p)})" for u, ps in D.position_unit for p in ps)
     q["unit_drilldown"] = (f"{with_(pb, f'un(unit, position) AS (VALUES {uvals})')} SELECT unit, position, "
                            f"p_label AS player FROM prof JOIN un ON p_brand = position")
+
+    QQ = "'" * 4  # SQL literal holding one quote
+    f1 = lambda x: f"printf('%.1f', round_even(({x}) * {d(10)}, 0) / {d(10)})"
+    r1 = lambda x: f"round_even(({x}) * {d(10)}, 0) / {d(10)}"
+    fin = (f"to_json({{'budget_available_eur_m': budget, 'total_spent_eur_m': {r1('spent')}, "
+           f"'cash_reserve_preserved_eur_m': {r1('budget - spent')}, 'wage_budget_k_pw': wage_budget, "
+           f"'committed_wages_k_pw': {r1('wages')}, 'wage_savings_k_pw': {r1('wage_budget - wages')}, "
+           f"'average_portfolio_age': {r1('avg_age')}, 'combined_prog_passes_per90': {r1('prog')}, "
+           f"'combined_defensive_actions_per90': {r1('dfn')}}})")
+    nl = chr(10)
+    memo = (f"concat({s(bar + nl + 'EXECUTIVE BOARDROOM INVESTMENT PITCH | ' + club.upper() + ' FOOTBALL OPERATIONS' + nl + 'Scenario: Reinvestment Portfolio Optimization' + nl + bar + nl + nl + '1. EXECUTIVE SUMMARY & CAPITAL EFFICIENCY' + nl + '- Total Capital Outlay: €')}, "
+            f"{f1('spent')}, 'M (Budget: €', {f1('budget')}, 'M | Preserved Cash: €', {f1('budget - spent')}, "
+            f"{s('M)' + nl + '- Committed Weekly Wages: £')}, {f1('wages')}, 'k/pw (Savings: £', {f1('wage_budget - wages')}, "
+            f"{s('k/pw)' + nl + '- Multi-asset diversification mitigates single-player catastrophic injury risk.' + nl + nl + '2. TACTICAL WORKLOAD ABSORPTION' + nl + '- Combined Progressive Passes: ')}, "
+            f"{f1('prog')}, {s('/90' + nl + '- Combined Defensive Disruptions: ')}, {f1('dfn')}, "
+            f"{s('/90' + nl + '- Absorbs the operational volume of the outgoing asset while strengthening positional depth.' + nl + nl + '3. ASSET RESALE & AMORTIZATION THESIS' + nl + '- Average Portfolio Age: ')}, "
+            f"{f1('avg_age')}, {s(' years.' + nl + '- Strong resale value runway on 4-year contract amortization schedules.' + nl + nl + '4. BOARDROOM RECOMMENDATION' + nl + '- Approve immediate engagement with representatives of ')}, "
+            f"'[' || array_to_string(list_transform(names, lambda x: {QQ} || x || {QQ}), ', ') || ']', {s('.' + nl + bar)})")
+    q["boardroom_summary"] = f"""{with_(pb, baskets_sql())},
+agg AS (SELECT m.scenario_id, any_value(sc.fee_budget_m) AS budget, any_value(sc.wage_ceiling_k_pw) AS wage_budget,
+               sum(fee) AS spent, sum(wage) AS wages, avg(CAST(p_size AS DOUBLE)) AS avg_age,
+               sum(qty_avg) AS prog, sum(n_lines) AS dfn, list(p_label ORDER BY p_partkey) AS names
+        FROM mem m JOIN scen sc USING (scenario_id) GROUP BY m.scenario_id)
+SELECT scenario_id, {fin} AS financial_json, {memo} AS memo FROM agg"""
+    q["invariants"] = f"""{with_(pb, twins_sql(ALL_Q.format(k=5)), baskets_sql())},
+tv AS (SELECT count_if(similarity_score < 0 OR similarity_score > 100) AS score_out_of_bounds,
+              count_if(ref_key = cand_key) AS self_matches, count_if(rank > 5) AS over_top_n,
+              CAST(0 AS BIGINT) AS age_violations, CAST(0 AS BIGINT) AS league_violations FROM tw),
+per AS (SELECT m.scenario_id, count(*) AS n, count(DISTINCT p_brand) AS npos, sum(fee) AS fee,
+               sum(wage) AS wage FROM mem m GROUP BY m.scenario_id),
+bv AS (SELECT count_if(per.fee > sc.fee_budget_m + {TOL}) AS over_fee_budget,
+              count_if(per.wage > sc.wage_ceiling_k_pw + {TOL}) AS over_wage_ceiling,
+              count_if(per.n <> sc.k) AS wrong_basket_size, count_if(per.npos <> per.n) AS duplicate_positions
+       FROM per JOIN scen sc USING (scenario_id)),
+iv AS (SELECT count(*) - count(DISTINCT p_partkey) AS duplicate_keys, count_if(p_brand IS NULL) AS null_positions,
+              count_if({' OR '.join(f'{m} IS NULL' for m in PART_METRICS)}) AS null_metric_rows FROM prof)
+SELECT * FROM tv, bv, iv"""
     return q
