@@ -33,6 +33,7 @@ from peerlens.operators.normalize import cohort_moments, guarded_scale, with_coh
 from peerlens.schemas import ProfileSpec
 
 DEFAULT_PAIR_BUDGET = 2_000_000
+MAX_BROADCAST_QUERIES = 10_000
 
 
 def prepare(profile: DataFrame, dims: Dimensions, spec: ProfileSpec) -> DataFrame:
@@ -98,15 +99,18 @@ def _adjusted_moments(dims: Dimensions) -> list[Column]:
 def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: DataFrame, *,
           strict_position: bool | None = False, pair_budget: int = DEFAULT_PAIR_BUDGET,
           carry: list[str] | None = None, prepared: DataFrame | None = None,
-          sample: int = 64) -> DataFrame:
+          sample: int = 64, few_queries: bool = False) -> DataFrame:
     """Top-k statistical twins for every row of ``queries``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
     ``spec.name``) and may carry ``max_age``, ``selected_leagues``,
     ``strict_position``, ``top_n`` and ``query_id``.  ``strict_position``
     given as a bool applies to all queries (one pool copy); None honours
-    the per-row column.  Output: one row per (query, candidate) with the
-    candidate's display columns, ``similarity_score`` and ``rank``."""
+    the per-row column.  ``few_queries=True`` declares a query table of
+    bounded size (at most ``MAX_BROADCAST_QUERIES`` rows, e.g. built from a
+    Python list): it is broadcast against the pools and scored in one scan.
+    Output: one row per (query, candidate) with the candidate's display
+    columns, ``similarity_score`` and ``rank``."""
     base = prepared if prepared is not None else prepare(profile, dims, spec)
     carry = [c for c in (carry if carry is not None else spec.display()) if c != spec.key]
     nslot = dims.n_slots
@@ -155,6 +159,43 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
         "cohort", "cohort_idx", "strict_position", "pool", "max_age", "selected_leagues", "top_n", "m",
         *[F.col(x).alias(f"q{x}") for x in xs], *factors)
 
+    qdesc = q.groupBy("query_id").agg(
+        F.min("reference").alias("reference"),
+        *[F.first(c).alias(c) for c in ("ref_key", "ref_name", "cohort", "cohort_idx",
+                                        "strict_position", "max_age", "selected_leagues",
+                                        "top_n")])
+    attrs = base.select(spec.key, *carry, *xs[:3]).dropDuplicates([spec.key])
+
+    def finish(top: DataFrame) -> DataFrame:
+        # descriptive columns joined back for the k winners only
+        out = top.join(qdesc, "query_id").join(attrs, spec.key)
+        return out.select(
+            "query_id", "reference", "ref_key", "ref_name", "cohort", "cohort_idx",
+            "strict_position", "max_age", "selected_leagues", "top_n",
+            spec.key, *carry, "similarity_score", "rank", *xs[:3])
+
+    if few_queries:
+        # Bounded query literal: broadcast it, score each pool row once, and
+        # let WindowGroupLimit keep k rows per query in every task before
+        # the (tiny) shuffle by query.
+        qb = F.broadcast(q.select(
+            "pool", "query_id", "top_n", "max_age", "selected_leagues", "m",
+            F.col("ref_key").alias("_rk"), *[f"q{x}" for x in xs],
+            *[f"k{j}" for j in range(1, nslot + 1)]))
+        core = cand.select("pool", F.col(spec.key).alias("_ck"), F.col(spec.age).alias("_cage"),
+                           F.col(spec.league).alias("_clg"), *xs)
+        pairs = core.join(qb, "pool").where(F.col("_ck") != F.col("_rk")).where(
+            (F.col("max_age").isNull() | (F.col("_cage") <= F.col("max_age")))
+            & (F.col("selected_leagues").isNull() | (F.size("selected_leagues") == 0)
+               | F.array_contains(F.col("selected_leagues"), F.col("_clg"))))
+        w1 = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(),
+                                                    F.col("_ck").asc())
+        top = (pairs.select("query_id", "top_n", "_ck", _score(nslot).alias("similarity_score"))
+               .withColumn("rank", F.row_number().over(w1))
+               .where(F.col("rank") <= F.col("top_n"))
+               .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
+        return finish(top)
+
     # Blocks: at most pair_budget pairs per (pool, block) task.
     qn = q.groupBy("pool").agg(F.count(F.lit(1)).alias("nq"))
     cn = cand.groupBy("pool").agg(F.count(F.lit(1)).alias("nc"))
@@ -214,18 +255,7 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
            .where(F.col("rank") <= F.col("top_n"))
            .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
 
-    # Descriptive columns joined back for the k winners only.
-    qdesc = q.groupBy("query_id").agg(
-        F.min("reference").alias("reference"),
-        *[F.first(c).alias(c) for c in ("ref_key", "ref_name", "cohort", "cohort_idx",
-                                        "strict_position", "max_age", "selected_leagues",
-                                        "top_n")])
-    attrs = base.select(spec.key, *carry, *xs[:3]).dropDuplicates([spec.key])
-    out = top.join(qdesc, "query_id").join(attrs, spec.key)
-    return out.select(
-        "query_id", "reference", "ref_key", "ref_name", "cohort", "cohort_idx",
-        "strict_position", "max_age", "selected_leagues", "top_n",
-        spec.key, *carry, "similarity_score", "rank", *xs[:3])
+    return finish(top)
 
 
 def _score(nslot: int) -> Column:
@@ -273,4 +303,4 @@ def find_similar(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, refere
     if require_match and unmatched(profile, q, spec).limit(1).count() > 0:
         raise ValueError(f"Player '{reference}' not found in database.")
     return with_metric_names(
-        twins(profile, dims, spec, q, strict_position=strict_position), dims)
+        twins(profile, dims, spec, q, strict_position=strict_position, few_queries=True), dims)

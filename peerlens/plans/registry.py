@@ -156,29 +156,30 @@ def q_radar_long(spark, sf):
 
 def q_twins_single(spark, sf):
     p = profile(spark, sf)
-    return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF)))
+    return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF), few_queries=True))
 
 
 def q_twins_strict(spark, sf):
     p = profile(spark, sf)
     return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF, strict=True),
-                                  strict_position=True))
+                                  strict_position=True, few_queries=True))
 
 
 def q_twins_filtered(spark, sf):
     p = profile(spark, sf)
     q = _one_query(spark, TWIN_REF, max_age=FILTER_AGE, leagues=list(FILTER_LINES), top_n=8)
-    return _twin_cols(twins.twins(p, DIMS, SPEC, q))
+    return _twin_cols(twins.twins(p, DIMS, SPEC, q, few_queries=True))
 
 
 def q_twins_display(spark, sf):
     p = profile(spark, sf)
-    return twins.twins_display(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF)), DIMS, SPEC)
+    return twins.twins_display(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF),
+                                           few_queries=True), DIMS, SPEC)
 
 
 def q_pool_union(spark, sf):
     p = profile(spark, sf)
-    return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, UNMAPPED_REF)))
+    return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, UNMAPPED_REF), few_queries=True))
 
 
 def q_twins_batch(spark, sf):
