@@ -34,6 +34,7 @@ from peerlens.schemas import ProfileSpec
 
 DEFAULT_PAIR_BUDGET = 2_000_000
 MAX_BROADCAST_QUERIES = 10_000
+MIN_BLOCK_PAIRS = 50_000
 
 
 def prepare(profile: DataFrame, dims: Dimensions, spec: ProfileSpec) -> DataFrame:
@@ -99,7 +100,8 @@ def _adjusted_moments(dims: Dimensions) -> list[Column]:
 def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: DataFrame, *,
           strict_position: bool | None = False, pair_budget: int = DEFAULT_PAIR_BUDGET,
           carry: list[str] | None = None, prepared: DataFrame | None = None,
-          sample: int = 64, few_queries: bool = False) -> DataFrame:
+          sample: int = 64, few_queries: bool = False,
+          materialize: bool = True) -> DataFrame:
     """Top-k statistical twins for every row of ``queries``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
@@ -112,6 +114,12 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
     Output: one row per (query, candidate) with the candidate's display
     columns, ``similarity_score`` and ``rank``."""
     base = prepared if prepared is not None else prepare(profile, dims, spec)
+    if materialize and not few_queries:
+        # The all-pairs plan reads the prepared rows in many branches
+        # (queries, pools, moments, block counts, sample, attributes):
+        # materialise them once (reliable checkpoint, shared folder) instead
+        # of re-running the profile lineage per branch.
+        base = base.checkpoint(eager=True)
     carry = [c for c in (carry if carry is not None else spec.display()) if c != spec.key]
     nslot = dims.n_slots
     xs = [f"x{j}" for j in range(1, nslot + 1)]
@@ -196,13 +204,20 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
                .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
         return finish(top)
 
-    # Blocks: at most pair_budget pairs per (pool, block) task.
+    # Blocks: about 4 blocks per shuffle partition (for balance) and at most
+    # pair_budget pairs per block; both join sides are then repartitioned
+    # explicitly on (pool, block).  The inputs are small in bytes but the
+    # pair stream is large, so size-based coalescing must not merge them.
+    nparts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     qn = q.groupBy("pool").agg(F.count(F.lit(1)).alias("nq"))
     cn = cand.groupBy("pool").agg(F.count(F.lit(1)).alias("nc"))
-    blocks = qn.join(cn, "pool").select(
-        "pool", "nc", F.least(F.col("nq"), F.greatest(F.lit(1), F.ceil(
-            F.col("nq").cast("double") * F.col("nc") / F.lit(float(pair_budget))))
-        ).cast("int").alias("nb"))
+    st = qn.join(cn, "pool").withColumn("np", F.col("nq").cast("double") * F.col("nc"))
+    total = st.agg(F.sum("np")).scalar()
+    budget = F.greatest(F.lit(float(MIN_BLOCK_PAIRS)),
+                        F.least(F.lit(float(pair_budget)), total / F.lit(4.0 * nparts)))
+    blocks = st.select(
+        "pool", "nc", F.least(F.col("nq"), F.greatest(F.lit(1), F.ceil(F.col("np") / budget))
+                              ).cast("int").alias("nb"))
     q = q.join(blocks.drop("nc"), "pool").withColumn(
         "block", F.pmod(F.col("query_id"), F.col("nb")).cast("int")).drop("nb")
 
@@ -218,6 +233,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
              *[f"q{x}" for x in xs], *[f"k{j}" for j in range(1, nslot + 1)]]
 
     def scored(qside: DataFrame, cside: DataFrame) -> DataFrame:
+        qside = qside.repartition(nparts, "pool", "block")
+        cside = cside.repartition(nparts, "pool", "block")
         pairs = qside.join(cside, ["pool", "block"]).where(F.col("_ck") != F.col("_rk"))
         pairs = pairs.where(
             (F.col("max_age").isNull() | (F.col("_cage") <= F.col("max_age")))
