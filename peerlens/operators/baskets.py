@@ -43,8 +43,9 @@ def _rint9(x: Column) -> Column:
     return F.rint(x * F.lit(1e9)) / F.lit(1e9)
 
 
-def scenario_literal(scenarios: DataFrame) -> Column:
-    """Collect the (size-checked) scenario parameters into a literal array."""
+def scenario_literal(scenarios: DataFrame) -> tuple[Column, set[int]]:
+    """Collect the (size-checked) scenario parameters into a literal array;
+    also return the basket sizes present (only those plans are built)."""
     rows = scenarios.select("scenario_id", *SCENARIO_FIELDS).limit(MAX_SCENARIOS + 1).collect()
     if len(rows) > MAX_SCENARIOS:
         raise ValueError(f"more than {MAX_SCENARIOS} scenarios; split the scenario table")
@@ -62,11 +63,12 @@ def scenario_literal(scenarios: DataFrame) -> Column:
             F.lit(float(r["min_prog_passes"])).alias("f_prog"),
             F.lit(float(r["min_defensive_actions"])).alias("f_def"),
             F.lit(float(r["min_creation_threat"])).alias("f_cre")))
+    sizes = {int(r["target_signings_count"]) for r in rows}
     if not structs:
         return F.array().cast(
             "array<struct<sid:string,s_fee:double,s_wage:double,k:int,cap:double,"
-            "f_prog:double,f_def:double,f_cre:double>>")
-    return F.array(*structs)
+            "f_prog:double,f_def:double,f_cre:double>>"), sizes
+    return F.array(*structs), sizes
 
 
 def basket_items(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec) -> DataFrame:
@@ -149,8 +151,13 @@ def _enumerate(fi: DataFrame, k: int, gmin: DataFrame, bound: DataFrame | None =
     pdim = (pos.select("sid", F.col("pos").alias("pa"))
             .join(pos.select("sid", F.col("pos").alias("pb")), "sid")
             .where(F.col("pa") < F.col("pb")))
-    xa = pdim.join(_side(fi, "a", with_params=True), ["sid", "pa"])
-    xb = pdim.join(_side(fi, "b"), ["sid", "pb"])
+    # explicit repartition: small inputs, large output - size-based
+    # coalescing must not pack the enumeration into a single task
+    nparts = int(fi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    xa = (pdim.join(_side(fi, "a", with_params=True), ["sid", "pa"])
+          .repartition(nparts, "sid", "pa", "pb"))
+    xb = (pdim.join(_side(fi, "b"), ["sid", "pb"])
+          .repartition(nparts, "sid", "pa", "pb"))
     combos = xa.join(xb, ["sid", "pa", "pb"])
     tags = ["a", "b"]
     tol = F.lit(TOL)
@@ -201,8 +208,10 @@ def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
     is materialised once with a reliable ``checkpoint()`` (shared folder of
     ``spark.checkpoint.dir``): the market lineage is not recomputed per
     branch and the combinatorial stages restart from it after a loss."""
-    scen = scenario_literal(scenarios)
+    scen, sizes = scenario_literal(scenarios)
     items = basket_items(market, spec, bspec)
+    if materialize:
+        items = items.checkpoint(eager=True)     # n narrow rows, read by every branch
     fi = _feasible_items(items, scen)
     if materialize:
         fi = fi.checkpoint(eager=True)
@@ -210,7 +219,7 @@ def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
     # is itself a feasible item of the scenario, so this bound stays exact.
     gmin = fi.groupBy("sid").agg(F.min("fee").alias("g_fee"), F.min("wage").alias("g_wage"))
     results = []
-    for k in (2, 3):
+    for k in sorted(sizes):
         fk = fi.where(F.col("k") == F.lit(k))
         bound = None
         if prune:
@@ -232,7 +241,13 @@ def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
                               >= F.col("vstar") - F.lit(VTOL)))
                     .drop("vstar", "tops"))
         results.append(_best(_enumerate(fk, k, gmin, bound if k == 3 else None)))
-    best = results[0].unionByName(results[1])
+    best = results[0] if results else None
+    for r in results[1:]:
+        best = best.unionByName(r)
+    if best is None:
+        best = fi.sparkSession.createDataFrame(
+            [], "sid string, keys array<string>, total_value double, value_r double, "
+                "total_fee double, total_wage double")
     out = scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"),
                            F.col("target_signings_count").cast("int").alias("k"))
     return (out.join(best.withColumnRenamed("sid", "scenario_id"), "scenario_id", "left")

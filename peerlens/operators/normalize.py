@@ -210,3 +210,12 @@ def peer_percentiles(pool: DataFrame, probes: DataFrame, dims: Dimensions,
                  round_half_even(below / F.col("n") * F.lit(100.0), digits))
     ranked = ranked.select("cohort", "ord", "value", "n", below.alias("below"), pct.alias("pct"))
     return probe_long.join(ranked, ["cohort", "ord", "value"], "left")
+
+
+# ---------------------------------------------------------------- C3 / J9
+def feature_table(df: DataFrame, metrics: list[str], volume_col: str,
+                  min_volume_value: float) -> DataFrame:
+    """Volume floor, then ``{m}_percentile`` (W1) and ``{m}_scaled`` (A2)
+    for every metric, side by side in one plan (no positional concat)."""
+    kept = min_volume(df, volume_col, min_volume_value)
+    return minmax_scale(percentile_rank(kept, metrics), metrics)

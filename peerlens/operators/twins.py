@@ -78,6 +78,16 @@ def unmatched(profile: DataFrame, queries: DataFrame, spec: ProfileSpec) -> Data
     return q.join(names, F.lower(q["reference"]) == names["_lname"], "left_anti")
 
 
+def lookup(profile: DataFrame, spec: ProfileSpec, name: str,
+           case_insensitive: bool = True) -> DataFrame:
+    """Rows whose name equals ``name`` (lower-cased on both sides by
+    default).  Keys are unique by contract, so at most one row matches;
+    ``checks.input_violations`` reports duplicates."""
+    col = F.col(spec.name)
+    cond = (F.lower(col) == F.lower(F.lit(name))) if case_insensitive else (col == F.lit(name))
+    return profile.where(cond)
+
+
 def _adjusted_moments(dims: Dimensions) -> list[Column]:
     """Moments of (pool + the query's own row), from the pool's n/mu/sd.
 

@@ -461,6 +461,14 @@ agg AS (SELECT m.scenario_id, any_value(sc.fee_budget_m) AS budget, any_value(sc
                sum(qty_avg) AS prog, sum(n_lines) AS dfn, list(p_label ORDER BY p_partkey) AS names
         FROM mem m JOIN scen sc USING (scenario_id) GROUP BY m.scenario_id)
 SELECT scenario_id, {fin} AS financial_json, {memo} AS memo FROM agg"""
+    pct = ", ".join(
+        f"round_even(((rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / {d(2)})"
+        f" / count({m}) OVER () * {d(100)}) * {d(10)}, 0) / {d(10)} AS {m}_percentile"
+        for m in PART_METRICS)
+    mm2 = ", ".join(f"min(CAST({m} AS DOUBLE)) AS mn_{m}, max(CAST({m} AS DOUBLE)) AS mx_{m}"
+                    for m in PART_METRICS)
+    q["feature_table"] = (f"{with_(pb, 'kept AS (SELECT * FROM prof WHERE n_lines >= 30)', f'st AS (SELECT {mm2} FROM kept)')} "
+                          f"SELECT p_partkey, {pct}, {sc} FROM kept, st")
     q["invariants"] = f"""{with_(pb, twins_sql(ALL_Q.format(k=5)), baskets_sql())},
 tv AS (SELECT count_if(similarity_score < 0 OR similarity_score > 100) AS score_out_of_bounds,
               count_if(ref_key = cand_key) AS self_matches, count_if(rank > 5) AS over_top_n,

@@ -137,6 +137,13 @@ def q_minmax_scale(spark, sf):
     return s.select(SPEC.key, *[f"{m}_scaled" for m in PART_METRICS])
 
 
+def q_feature_table(spark, sf):
+    p = profile(spark, sf).select(SPEC.key, *PART_METRICS)
+    out = normalize.feature_table(p, PART_METRICS, SPEC.minutes, 30)
+    return out.select(SPEC.key, *[f"{m}_percentile" for m in PART_METRICS],
+                      *[f"{m}_scaled" for m in PART_METRICS])
+
+
 def q_zscore_cohort(spark, sf):
     return normalize.zscore_cohort(profile(spark, sf), DIMS, SPEC)
 
@@ -215,8 +222,15 @@ def _basket_out(best: DataFrame) -> DataFrame:
                        F.round(F.col("total_wage"), 6).alias("total_wage"))
 
 
-def _best(spark, sf, only=None):
-    return B.best_baskets(market_table(spark, sf), scenarios(spark, only), SPEC, BSPEC)
+def _market_once(spark, sf) -> DataFrame:
+    """Market rows materialised once (reliable checkpoint): the basket
+    solver and the member join both read them."""
+    return market_table(spark, sf).checkpoint(eager=True)
+
+
+def _best(spark, sf, only=None, mk=None):
+    mk = mk if mk is not None else market_table(spark, sf)
+    return B.best_baskets(mk, scenarios(spark, only), SPEC, BSPEC)
 
 
 def q_basket_pairs(spark, sf):
@@ -236,14 +250,16 @@ def q_basket_infeasible(spark, sf):
 
 
 def q_basket_kpis(spark, sf):
-    k = B.basket_kpis(_best(spark, sf), market_table(spark, sf), scenarios(spark), SPEC, BSPEC)
+    mk = _market_once(spark, sf)
+    k = B.basket_kpis(_best(spark, sf, mk=mk), mk, scenarios(spark), SPEC, BSPEC)
     return k.select("scenario_id", "n_players",
                     *[F.round(F.col(c), 6).alias(c) for c in k.columns
                       if c not in ("scenario_id", "n_players")])
 
 
 def q_basket_display(spark, sf):
-    mem = B.basket_members(_best(spark, sf), market_table(spark, sf), SPEC)
+    mk = _market_once(spark, sf)
+    mem = B.basket_members(_best(spark, sf, mk=mk), mk, SPEC)
     return mem.select(
         "scenario_id", F.col(SPEC.key).alias("Target"), F.col(SPEC.position).alias("Pos"),
         F.col(SPEC.team).alias("Club"), F.col(SPEC.league).alias("League"),
@@ -253,8 +269,8 @@ def q_basket_display(spark, sf):
 
 
 def q_boardroom_summary(spark, sf):
-    mk = market_table(spark, sf)
-    b = reports.boardroom_summary(_best(spark, sf), mk, scenarios(spark), SPEC, BSPEC,
+    mk = _market_once(spark, sf)
+    b = reports.boardroom_summary(_best(spark, sf, mk=mk), mk, scenarios(spark), SPEC, BSPEC,
                                   TARGET_CLUB)
     return b.select("scenario_id", "financial_json", "memo")
 
@@ -314,7 +330,7 @@ def q_unit_drilldown(spark, sf):
 
 def q_invariants(spark, sf):
     p = profile(spark, sf)
-    mk = market_table(spark, sf)
+    mk = _market_once(spark, sf)
     sc = scenarios(spark)
     best = B.best_baskets(mk, sc, SPEC, BSPEC)
     mem = B.basket_members(best, mk, SPEC)
