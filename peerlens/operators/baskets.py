@@ -33,6 +33,7 @@ MAX_SCENARIOS = 4096
 TOL = 1e-6          # constraint tolerance (solver-like)
 VTOL = 1e-7         # slack on value bounds (keeps pruning exact under rounding)
 TOP_M = {2: 48, 3: 10}
+GRID = 1024        # items per side of one enumeration task (grid salting)
 
 SCENARIO_FIELDS = ["fee_budget_m", "wage_ceiling_k_pw", "target_signings_count",
                    "max_avg_age", "min_prog_passes", "min_defensive_actions",
@@ -147,18 +148,28 @@ def _enumerate(fi: DataFrame, k: int, gmin: DataFrame, bound: DataFrame | None =
 
     Joins go through the position-pair dimension: equi keys
     (sid, pa, pb), then (sid, pc) for the third member."""
-    pos = fi.select("sid", "pos").distinct()
-    pdim = (pos.select("sid", F.col("pos").alias("pa"))
-            .join(pos.select("sid", F.col("pos").alias("pb")), "sid")
+    # Grid salting: the items of a (scenario, position) are hashed into
+    # ns = ceil(count / GRID) salts; side a is replicated over b's salts and
+    # side b over a's, so each (sid, pa, pb, sa, sb) task joins at most
+    # GRID x GRID items even when one position holds a third of all rows.
+    pos = fi.groupBy("sid", "pos").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(GRID))).cast("int").alias("ns"))
+    pdim = (pos.select("sid", F.col("pos").alias("pa"), F.col("ns").alias("nsa"))
+            .join(pos.select("sid", F.col("pos").alias("pb"), F.col("ns").alias("nsb")), "sid")
             .where(F.col("pa") < F.col("pb")))
     # explicit repartition: small inputs, large output - size-based
     # coalescing must not pack the enumeration into a single task
     nparts = int(fi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["sid", "pa", "pb", "sa", "sb"]
     xa = (pdim.join(_side(fi, "a", with_params=True), ["sid", "pa"])
-          .repartition(nparts, "sid", "pa", "pb"))
+          .withColumn("sa", F.pmod(F.xxhash64("key_a"), F.col("nsa")).cast("int"))
+          .withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nsb") - 1)))
+          .drop("nsa", "nsb").repartition(nparts, *keys))
     xb = (pdim.join(_side(fi, "b"), ["sid", "pb"])
-          .repartition(nparts, "sid", "pa", "pb"))
-    combos = xa.join(xb, ["sid", "pa", "pb"])
+          .withColumn("sb", F.pmod(F.xxhash64("key_b"), F.col("nsb")).cast("int"))
+          .withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("nsa") - 1)))
+          .drop("nsa", "nsb").repartition(nparts, *keys))
+    combos = xa.join(xb, keys).drop("sa", "sb")
     tags = ["a", "b"]
     tol = F.lit(TOL)
     if k == 3:
