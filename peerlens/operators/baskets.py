@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators.market import composite_value_expr
 from peerlens.schemas import BasketSpec, ProfileSpec
+from peerlens.session import materialize as _materialize
 
 MAX_SCENARIOS = 4096
 TOL = 1e-6          # constraint tolerance (solver-like)
@@ -222,10 +223,10 @@ def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
     scen, sizes = scenario_literal(scenarios)
     items = basket_items(market, spec, bspec)
     if materialize:
-        items = items.checkpoint(eager=True)     # n narrow rows, read by every branch
+        items = _materialize(items)     # n narrow rows, read by every branch
     fi = _feasible_items(items, scen)
     if materialize:
-        fi = fi.checkpoint(eager=True)
+        fi = _materialize(fi)
     # per-scenario minima over feasible items: the third member of a basket
     # is itself a feasible item of the scenario, so this bound stays exact.
     gmin = fi.groupBy("sid").agg(F.min("fee").alias("g_fee"), F.min("wage").alias("g_wage"))

@@ -72,12 +72,17 @@ def _long(df: DataFrame, keep: list[str], metrics: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- W1
 def percentile_rank(df: DataFrame, metrics: list[str], partition_by: list[str] | None = None,
-                    suffix: str = "_percentile", digits: int = 1) -> DataFrame:
+                    suffix: str = "_percentile", digits: int = 1,
+                    key: str | None = None) -> DataFrame:
     """Average-rank percentile of each metric, x100, rounded half-even.
 
     Ties share the average of their ranks; nulls stay null and do not count
-    in n.  Adds ``{metric}{suffix}`` columns."""
+    in n.  Adds ``{metric}{suffix}`` columns.  With a unique ``key`` and
+    several metrics, the percentiles go back through one long-form join and
+    one pivot instead of one join of the wide table per metric."""
     pb = list(partition_by or [])
+    if key is not None and len(metrics) > 1:
+        return _percentile_rank_keyed(df, metrics, pb, suffix, digits, key)
     long = _long(df, pb, metrics).where(F.col("value").isNotNull())
     hist = long.groupBy(*pb, "metric", "value").agg(F.count(F.lit(1)).alias("c"))
     ranked = running_counts(hist, [*pb, "metric"], "value")
@@ -95,6 +100,19 @@ def percentile_rank(df: DataFrame, metrics: list[str], partition_by: list[str] |
     return out
 
 
+def _percentile_rank_keyed(df, metrics, pb, suffix, digits, key):
+    long = _long(df, [key, *pb], metrics).where(F.col("value").isNotNull())
+    hist = long.groupBy(*pb, "metric", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_counts(hist, [*pb, "metric"], "value")
+    avg_rank = F.col("cum") - (F.col("c") - F.lit(1)) / F.lit(2.0)
+    ranked = ranked.select(*pb, "metric", "value",
+                           round_half_even(avg_rank / F.col("n") * F.lit(100.0), digits).alias("_pct"))
+    per_key = (long.join(ranked, [*pb, "metric", "value"])
+               .groupBy(key).agg(*[F.max(F.when(F.col("metric") == F.lit(m), F.col("_pct")))
+                                    .alias(f"{m}{suffix}") for m in metrics]))
+    return df.join(per_key, key, "left")
+
+
 # ---------------------------------------------------------------- A2
 def minmax_scale(df: DataFrame, metrics: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - min) / (max - min) per column; a (near) zero range gives 0.
@@ -214,8 +232,8 @@ def peer_percentiles(pool: DataFrame, probes: DataFrame, dims: Dimensions,
 
 # ---------------------------------------------------------------- C3 / J9
 def feature_table(df: DataFrame, metrics: list[str], volume_col: str,
-                  min_volume_value: float) -> DataFrame:
+                  min_volume_value: float, key: str | None = None) -> DataFrame:
     """Volume floor, then ``{m}_percentile`` (W1) and ``{m}_scaled`` (A2)
     for every metric, side by side in one plan (no positional concat)."""
     kept = min_volume(df, volume_col, min_volume_value)
-    return minmax_scale(percentile_rank(kept, metrics), metrics)
+    return minmax_scale(percentile_rank(kept, metrics, key=key), metrics)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from peerlens.dims import Dimensions
 from peerlens.operators.normalize import cohort_moments, guarded_scale, with_cohort, with_slots
 from peerlens.schemas import ProfileSpec
+from peerlens.session import materialize as _materialize
 
 DEFAULT_PAIR_BUDGET = 2_000_000
 MAX_BROADCAST_QUERIES = 10_000
@@ -129,7 +130,7 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
         # (queries, pools, moments, block counts, sample, attributes):
         # materialise them once (reliable checkpoint, shared folder) instead
         # of re-running the profile lineage per branch.
-        base = base.checkpoint(eager=True)
+        base = _materialize(base)
     carry = [c for c in (carry if carry is not None else spec.display()) if c != spec.key]
     nslot = dims.n_slots
     xs = [f"x{j}" for j in range(1, nslot + 1)]

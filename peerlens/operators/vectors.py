@@ -30,10 +30,12 @@ def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int =
     sizes = v.groupBy(cohort).agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select(cohort, F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(
         F.col("n").cast("double") * F.col("n") / F.lit(float(pair_budget))))).cast("int").alias("nb"))
-    q = (v.join(F.broadcast(inv), cohort).join(F.broadcast(blocks), cohort)
+    # inv / blocks have one row per cohort: no hint (cohorts are data here);
+    # AQE broadcasts them at run time when they are small.
+    q = (v.join(inv, cohort).join(blocks, cohort)
           .select(F.col(key).alias("ref_key"), cohort, F.col("vec").alias("qvec"), "kvec",
                   F.pmod(F.xxhash64(key), F.col("nb")).cast("int").alias("block")))
-    c = (v.join(F.broadcast(blocks), cohort)
+    c = (v.join(blocks, cohort)
           .select(F.col(key).alias("cand_key"), cohort, "vec",
                   F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")))
     pairs = q.join(c, [cohort, "block"]).where(F.col("cand_key") != F.col("ref_key"))

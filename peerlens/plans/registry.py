@@ -18,7 +18,7 @@ from peerlens.operators import checks, evaluate, market, normalize, reports, tag
 from peerlens.plans.part_profile import (MARKET_DEFAULT, PART_BASKET, PART_METRICS, PART_SPEC,
                                          PARTS, part_market, part_profile, part_secondary)
 from peerlens.schemas import SCENARIO
-from peerlens.session import parquet, shared_path
+from peerlens.session import materialize, parquet, shared_path
 from peerlens.sources import read_table, write_table
 
 SPEC, DIMS, BSPEC = PART_SPEC, PARTS, PART_BASKET
@@ -139,7 +139,7 @@ def q_minmax_scale(spark, sf):
 
 def q_feature_table(spark, sf):
     p = profile(spark, sf).select(SPEC.key, *PART_METRICS)
-    out = normalize.feature_table(p, PART_METRICS, SPEC.minutes, 30)
+    out = normalize.feature_table(p, PART_METRICS, SPEC.minutes, 30, key=SPEC.key)
     return out.select(SPEC.key, *[f"{m}_percentile" for m in PART_METRICS],
                       *[f"{m}_scaled" for m in PART_METRICS])
 
@@ -225,7 +225,7 @@ def _basket_out(best: DataFrame) -> DataFrame:
 def _market_once(spark, sf) -> DataFrame:
     """Market rows materialised once (reliable checkpoint): the basket
     solver and the member join both read them."""
-    return market_table(spark, sf).checkpoint(eager=True)
+    return materialize(market_table(spark, sf))
 
 
 def _best(spark, sf, only=None, mk=None):

@@ -55,3 +55,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def parquet(spark: SparkSession, sf_dir: str, table: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def materialize(df):
+    """Reliable checkpoint (eager) into the shared checkpoint folder.
+
+    Cuts lineage so later stages restart from stored rows after an
+    executor loss; never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
