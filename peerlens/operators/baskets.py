@@ -34,7 +34,10 @@ MAX_SCENARIOS = 4096
 TOL = 1e-6          # constraint tolerance (solver-like)
 VTOL = 1e-7         # slack on value bounds (keeps pruning exact under rounding)
 TOP_M = {2: 48, 3: 10}
-GRID = 1024        # items per side of one enumeration task (grid salting)
+GRID = 1024        # items per side of one pair-enumeration task (grid salting)
+GRID3 = 256        # third-member items per triple-enumeration task
+PAIRS_PER_BUCKET = 1_000_000  # (upper-bound) pairs per pair bucket of a third position
+MAX_PAIR_BUCKETS = 1024
 
 SCENARIO_FIELDS = ["fee_budget_m", "wage_ceiling_k_pw", "target_signings_count",
                    "max_avg_age", "min_prog_passes", "min_defensive_actions",
@@ -147,20 +150,25 @@ def _enumerate(fi: DataFrame, k: int, gmin: DataFrame, bound: DataFrame | None =
                ) -> DataFrame:
     """Feasible k-baskets (k in 2, 3) of the (scenario, item) rows ``fi``.
 
-    Joins go through the position-pair dimension: equi keys
-    (sid, pa, pb), then (sid, pc) for the third member."""
-    # Grid salting: the items of a (scenario, position) are hashed into
-    # ns = ceil(count / GRID) salts; side a is replicated over b's salts and
-    # side b over a's, so each (sid, pa, pb, sa, sb) task joins at most
-    # GRID x GRID items even when one position holds a third of all rows.
-    pos = fi.groupBy("sid", "pos").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(GRID))).cast("int").alias("ns"))
-    pdim = (pos.select("sid", F.col("pos").alias("pa"), F.col("ns").alias("nsa"))
-            .join(pos.select("sid", F.col("pos").alias("pb"), F.col("ns").alias("nsb")), "sid")
-            .where(F.col("pa") < F.col("pb")))
-    # explicit repartition: small inputs, large output - size-based
-    # coalescing must not pack the enumeration into a single task
+    Pairs are joined through the position-pair dimension (pa < pb) with
+    equi keys only; grid salting hashes the items of a (scenario, position)
+    into ns = ceil(count / GRID) salts and replicates each side over the
+    other side's salts, so one task joins at most GRID x GRID items even
+    when a position holds a third of all rows.  For k = 3 the surviving
+    pairs meet the third member (pc > pb) on (sid, pc, pair bucket, salt):
+    pairs are hashed into buckets sized from an upper bound of their count, third-member items into
+    ceil(count / GRID3) salts, each side replicated over the other's.
+    Every side is explicitly partitioned on its join keys (small inputs,
+    large output: size-based coalescing must not pack them in one task)."""
     nparts = int(fi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pos = fi.groupBy("sid", "pos").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def salts(grid: int) -> Column:
+        return F.ceil(F.col("cnt") / F.lit(float(grid))).cast("int")
+
+    pdim = (pos.select("sid", F.col("pos").alias("pa"), salts(GRID).alias("nsa"))
+            .join(pos.select("sid", F.col("pos").alias("pb"), salts(GRID).alias("nsb")), "sid")
+            .where(F.col("pa") < F.col("pb")))
     keys = ["sid", "pa", "pb", "sa", "sb"]
     xa = (pdim.join(_side(fi, "a", with_params=True), ["sid", "pa"])
           .withColumn("sa", F.pmod(F.xxhash64("key_a"), F.col("nsa")).cast("int"))
@@ -174,21 +182,39 @@ def _enumerate(fi: DataFrame, k: int, gmin: DataFrame, bound: DataFrame | None =
     tags = ["a", "b"]
     tol = F.lit(TOL)
     if k == 3:
-        # pair-level bounds: the third slot at its most favourable value
-        combos = (combos.join(gmin, "sid").where(
+        # pair-level bounds: the third slot at its most favourable value.
+        # gmin / bound have one row per scenario (<= MAX_SCENARIOS): broadcast.
+        combos = (combos.join(F.broadcast(gmin), "sid").where(
             (F.col("fee_a") + F.col("fee_b") + F.col("g_fee") <= F.col("s_fee") + tol)
             & (F.col("wage_a") + F.col("wage_b") + F.col("g_wage") <= F.col("s_wage") + tol))
             .drop("g_fee", "g_wage"))
         if bound is not None:
-            combos = (combos.join(bound, "sid", "left")
+            combos = (combos.join(F.broadcast(bound), "sid", "left")
                       .where(F.col("vstar").isNull()
                              | (F.col("value_a") + F.col("value_b")
                                 + _best_other(F.col("tops"), [F.col("pa"), F.col("pb")], 1)
                                 >= F.col("vstar") - F.lit(VTOL)))
                       .drop("vstar", "tops"))
-        pc = pos.select("sid", F.col("pos").alias("pc"))
-        combos = (combos.join(pc, "sid").where(F.col("pb") < F.col("pc"))
-                  .join(_side(fi, "c"), ["sid", "pc"]))
+        # pair buckets per third position from an upper bound of its pairs:
+        # sum over pa < pb < pc of n_a n_b = ((sum n)^2 - sum n^2) / 2
+        below = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        cdim = (pos.withColumn("_s", F.coalesce(F.sum("cnt").over(below), F.lit(0)).cast("double"))
+                   .withColumn("_q", F.coalesce(F.sum(F.col("cnt") * F.col("cnt")).over(below),
+                                                F.lit(0)).cast("double"))
+                   .select("sid", F.col("pos").alias("pc"), salts(GRID3).alias("nsc"),
+                           F.least(F.lit(MAX_PAIR_BUCKETS), F.greatest(F.lit(1), F.ceil(
+                               (F.col("_s") * F.col("_s") - F.col("_q")) / F.lit(2.0 * PAIRS_PER_BUCKET))
+                           )).cast("int").alias("nsp")))
+        keys3 = ["sid", "pc", "sp", "sc"]
+        xp = (combos.join(cdim, "sid").where(F.col("pb") < F.col("pc"))
+              .withColumn("sp", F.pmod(F.xxhash64("key_a", "key_b"), F.col("nsp")).cast("int"))
+              .withColumn("sc", F.explode(F.sequence(F.lit(0), F.col("nsc") - 1)))
+              .drop("nsc", "nsp").repartition(nparts, *keys3))
+        xc = (cdim.join(_side(fi, "c"), ["sid", "pc"])
+              .withColumn("sc", F.pmod(F.xxhash64("key_c"), F.col("nsc")).cast("int"))
+              .withColumn("sp", F.explode(F.sequence(F.lit(0), F.col("nsp") - 1)))
+              .drop("nsc", "nsp").repartition(nparts, *keys3))
+        combos = xp.join(xc, keys3).drop("sp", "sc")
         tags = ["a", "b", "c"]
     age_excess = None
     for t in tags:

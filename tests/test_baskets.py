@@ -95,6 +95,8 @@ def test_exact_against_brute_force(spark, monkeypatch):
     import peerlens.operators.baskets as B
     for prune, grid in ((True, 1024), (False, 1024), (True, 2), (False, 3)):
         monkeypatch.setattr(B, "GRID", grid)     # small grid: several salts per position
+        monkeypatch.setattr(B, "GRID3", max(1, grid // 2))
+        monkeypatch.setattr(B, "PAIRS_PER_BUCKET", 10 if grid < 10 else 1_000_000)
         got = {r.scenario_id: r.keys for r in best_baskets(df, sc, SPEC, BS, prune=prune).collect()}
         assert got == want, (prune, grid)
     assert any(v is None for v in want.values()) and any(v is not None for v in want.values())
