@@ -9,13 +9,17 @@ which is the squared Euclidean distance of the weighted z-scores (the
 means cancel).  All queries are answered by one plan:
 
 * pool moments are one ``groupBy(pool)`` (one row per cohort/position);
-* queries are hashed into ``B`` blocks per pool, B sized so that one task
-  scores at most ``pair_budget`` (query, candidate) pairs, and every
-  candidate is replicated once per block of its pool; the join key is
-  ``(pool, block)`` so a hot cohort is spread over many tasks;
-* the top-k window is partitioned by ``(pool, block, query)``, which the
-  join's hash partitioning already satisfies (no shuffle of the pairs),
-  and ``row_number() <= k`` plans a ``WindowGroupLimit``.
+* no pool is scored pair by pair: a pool larger than ``EXHAUSTIVE_POOL``
+  is gridded on the z-scores of its heaviest features and every query
+  searches its neighbouring cells, then (when the radius of its k-th best
+  score reaches past them) the box of cells within that radius, and only
+  an unresolved outlier scans its pool -- each step exact (``_grid_top``);
+* every join is keyed by ``(pool, cell, block)`` with blocks sized so one
+  task scores at most ``pair_budget`` pairs, so a hot cohort or cell is
+  spread over many tasks; exact duplicate vectors collapse first;
+* the top-k windows are partitioned by ``(pool, cell, block, query)``,
+  which the join's hash partitioning already satisfies (no shuffle of the
+  pairs), and ``row_number() <= k`` plans a ``WindowGroupLimit``.
 
 Normalisation happens before any age / league filter (filters only remove
 candidates after scoring), and a query whose position has no cohort is
@@ -25,6 +29,8 @@ its own row added to the moments.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +118,9 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
           strict_position: bool | None = False, pair_budget: int = DEFAULT_PAIR_BUDGET,
           carry: list[str] | None = None, prepared: DataFrame | None = None,
           sample: int = 64, few_queries: bool = False,
-          materialize: bool = True) -> DataFrame:
+          materialize: bool = True, exhaustive_pool: int | None = None,
+          cell_target: int | None = None, max_box_cells: int | None = None,
+          diagnostics: dict | None = None) -> DataFrame:
     """Top-k statistical twins for every row of ``queries``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
@@ -144,7 +152,7 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
 
     # Candidate pools: cohort pools hold mapped rows, position pools all rows.
     valid = base.where("valid")
-    cand_cols = list(dict.fromkeys([spec.key, spec.age, spec.league, *xs]))
+    cand_cols = list(dict.fromkeys([spec.key, spec.age, spec.league, "cohort_idx", *xs]))
     pools = []
     if strict_position is not True:
         pools.append(valid.where("mapped").select(
@@ -215,75 +223,274 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
                .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
         return finish(top)
 
-    # Blocks: about 4 blocks per shuffle partition (for balance) and at most
-    # pair_budget pairs per block; both join sides are then repartitioned
-    # explicitly on (pool, block).  The inputs are small in bytes but the
-    # pair stream is large, so size-based coalescing must not merge them.
-    nparts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    qn = q.groupBy("pool").agg(F.count(F.lit(1)).alias("nq"))
-    cn = cand.groupBy("pool").agg(F.count(F.lit(1)).alias("nc"))
-    st = qn.join(cn, "pool").withColumn("np", F.col("nq").cast("double") * F.col("nc"))
-    total = st.agg(F.sum("np")).scalar()
-    budget = F.greatest(F.lit(float(MIN_BLOCK_PAIRS)),
-                        F.least(F.lit(float(pair_budget)), total / F.lit(4.0 * nparts)))
-    blocks = st.select(
-        "pool", "nc", F.least(F.col("nq"), F.greatest(F.lit(1), F.ceil(F.col("np") / budget))
-                              ).cast("int").alias("nb"))
-    q = q.join(blocks.drop("nc"), "pool").withColumn(
-        "block", F.pmod(F.col("query_id"), F.col("nb")).cast("int")).drop("nb")
-
-    # Scoring only needs the key, the filter columns and the slots.
-    core = cand.select("pool", F.col(spec.key).alias("_ck"), F.col(spec.age).alias("_cage"),
-                       F.col(spec.league).alias("_clg"), *xs)
+    top = _grid_top(base.sparkSession, q, cand, moments, dims, spec, nslot,
+                    pair_budget=pair_budget, sample=sample,
+                    exhaustive_pool=exhaustive_pool or EXHAUSTIVE_POOL,
+                    cell_target=cell_target or CELL_TARGET,
+                    max_box_cells=max_box_cells or MAX_BOX_CELLS,
+                    diagnostics=diagnostics)
+    return finish(top)
 
-    def replicate(df: DataFrame) -> DataFrame:
-        return df.join(blocks.drop("nc"), "pool").select(
-            "*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")).drop("nb")
 
-    qcols = ["pool", "block", "query_id", "top_n", "max_age", "selected_leagues", "m",
+# ------------------------------------------------------------------ grid
+GRID_DIMS = 3               # features a pool is gridded on (its heaviest)
+EXHAUSTIVE_POOL = 4096      # pools up to this size are one cell
+CELL_TARGET = 256           # mean candidates per cell of a gridded pool
+MAX_BOX_CELLS = 512         # radius boxes above this go to the pool scan
+
+
+def _grid_slot_table(dims: Dimensions) -> Column:
+    """Per cohort, the 0-based slots of its GRID_DIMS heaviest features."""
+    rows = []
+    for _, fs in dims.role_metrics:
+        order = sorted(range(len(fs)), key=lambda j: (-fs[j][1], j))[:GRID_DIMS]
+        order += [order[-1]] * (GRID_DIMS - len(order))
+        rows.append(F.array(*[F.lit(j) for j in order]))
+    return F.array(*rows)
+
+
+def _pick(prefix: str, nslot: int, idx: Column) -> Column:
+    return F.array(*[F.col(f"{prefix}{j}") for j in range(1, nslot + 1)])[idx]
+
+
+def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Dimensions,
+              spec: ProfileSpec, nslot: int, *, pair_budget: int, sample: int,
+              exhaustive_pool: int, cell_target: int, max_box_cells: int,
+              diagnostics: dict | None = None) -> DataFrame:
+    """Exact top-k for every query without scoring all pairs of a pool.
+
+    Each pool is gridded on the z-scores of its cohort's GRID_DIMS heaviest
+    features (cell side ``h`` from the pool size; a pool of at most
+    ``exhaustive_pool`` rows is one cell).  A candidate outside a box of
+    cells differs from the query by more than the box margin in one grid
+    feature, which alone bounds its distance from below.
+
+    1. sample: every query is scored against a hash sample of ~``sample``
+       rows of its pool; the k-th best sampled score is a lower bound of
+       the true k-th best (ties kept), so lower scores are dropped early.
+    2. neighbourhood: the query's cell and its 3^D neighbours (+ the
+       sample) give a k-th best score t; every true twin scores >= t, i.e.
+       lies within the radius R(t).  If the R-box around the query stays in
+       the searched cells, this top-k is exact.
+    3. box: other queries search all cells of their R-box (at most
+       ``max_box_cells``); the rest (no k candidates, or huge boxes) scan
+       their whole pool.  Every step is exact, so is the union.
+
+    Every join is keyed by (pool, cell, block); blocks split a (cell, query
+    set) so one task scores at most ``pair_budget`` pairs.  In gridded
+    pools, exact duplicate vectors collapse to the k+1 smallest keys per
+    (vector, age, league), so a hot duplicate value is not a hot cell."""
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    xs = [f"x{j}" for j in range(1, nslot + 1)]
+    gslots = _grid_slot_table(dims)
+    D = GRID_DIMS
+    gkeys = [f"t{d}" for d in range(1, D + 1)]
+
+    geo = moments.select(
+        "pool", "n",
+        *[F.col(f"mu{j}").alias(f"gm{j}") for j in range(1, nslot + 1)],
+        *[guarded_scale(F.col(f"sd{j}"), F.col(f"mu{j}")).alias(f"gs{j}")
+          for j in range(1, nslot + 1)],
+        F.when(F.col("n") > F.lit(exhaustive_pool),
+               F.lit(6.0) / F.ceil(F.pow(F.col("n").cast("double") / F.lit(float(cell_target)),
+                                         F.lit(1.0 / D)))).alias("_h"))
+    gridded = geo.agg(F.max(F.col("_h").isNotNull().cast("int"))).first()[0] == 1
+
+    def cells(prefix: str, out: str) -> list[Column]:
+        """z-scores (pool moments) of the grid features and their cells."""
+        cols = []
+        for d in range(D):
+            sl = gslots[F.col("cohort_idx")][d]
+            z = (_pick(prefix, nslot, sl) - _pick("gm", nslot, sl)) / _pick("gs", nslot, sl)
+            cols.append(z.alias(f"{out}z{d + 1}"))
+        return cols
+
+    def cell_ids(zprefix: str, out: str) -> list[Column]:
+        return [F.when(F.col("_h").isNull(), F.lit(0)).otherwise(
+                    F.floor(F.col(f"{zprefix}z{d}") / F.col("_h"))).cast("long").alias(f"{out}{d}")
+                for d in range(1, D + 1)]
+
+    # candidates: key, filter columns, slots, grid cells
+    core = cand.select("pool", F.col(spec.key).alias("_ck"), F.col(spec.age).alias("_cage"),
+                       F.col(spec.league).alias("_clg"), "cohort_idx", *xs)
+    if gridded:
+        core = (core.join(geo, "pool").select(*core.columns, "_h", *cells("x", "c"))
+                .select("*", *cell_ids("c", "g")))
+    else:   # every pool is one cell
+        core = core.select("*", *[F.lit(0).cast("long").alias(f"g{d}") for d in range(1, D + 1)])
+    if gridded:
+        kmax = q.agg(F.max("top_n")).first()[0] or 0
+        wd = Window.partitionBy("pool", *xs, "_cage", "_clg").orderBy("_ck")
+        core = (core.withColumn("_dr", F.row_number().over(wd))
+                .where(F.col("_dr") <= F.lit(int(kmax) + 1)).drop("_dr"))
+
+    # queries: cells and the squared scale f_d of each grid feature
+    qcols = ["pool", "query_id", "top_n", "max_age", "selected_leagues", "m", "_rk",
              *[f"q{x}" for x in xs], *[f"k{j}" for j in range(1, nslot + 1)]]
-
-    def scored(qside: DataFrame, cside: DataFrame) -> DataFrame:
-        qside = qside.repartition(nparts, "pool", "block")
-        cside = cside.repartition(nparts, "pool", "block")
-        pairs = qside.join(cside, ["pool", "block"]).where(F.col("_ck") != F.col("_rk"))
-        pairs = pairs.where(
+    qg = q.select(*[c for c in qcols if c != "_rk"], F.col("ref_key").alias("_rk"), "cohort_idx")
+    if gridded:
+        qg = qg.join(geo.drop("n"), "pool")
+    fcols = []
+    for d in range(D):
+        sl = gslots[F.col("cohort_idx")][d]
+        s = _pick("gs", nslot, sl)
+        fcols.append((_pick("k", nslot, sl) * s * s).alias(f"f{d + 1}"))
+    if gridded:
+        qg = qg.select("*", *cells("qx", "q"), *fcols).select("*", *cell_ids("q", "qg"))
+        qkeep = [*qcols, "_h", *[f"qz{d}" for d in range(1, D + 1)],
+                 *[f"qg{d}" for d in range(1, D + 1)], *[f"f{d}" for d in range(1, D + 1)]]
+    else:
+        qg = qg.select("*", *[F.lit(0).cast("long").alias(f"qg{d}") for d in range(1, D + 1)])
+        qkeep = [*qcols, *[f"qg{d}" for d in range(1, D + 1)]]
+    qg = qg.select(*qkeep)
+
+    cside = core.select("pool", "_ck", "_cage", "_clg", *xs,
+                        *[F.col(f"g{d}") for d in range(1, D + 1)])
+
+    def blocked(qside: DataFrame, cands: DataFrame, keys: list[str],
+                thr: DataFrame | None = None) -> DataFrame:
+        """Scored, filtered pairs of queries and candidates with equal keys;
+        (keys, block) groups hold at most ~pair_budget pairs.  ``thr``
+        (query_id, _thr) is joined after the blocks are sized, so the query
+        side read for the sizes does not carry the threshold's lineage."""
+        nq = qside.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq"))
+        nc = cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("nc"))
+        st = nq.join(nc, keys).withColumn("np", F.col("nq").cast("double") * F.col("nc"))
+        total = st.agg(F.sum("np")).scalar()
+        budget = F.greatest(F.lit(50_000.0),
+                            F.least(F.lit(float(pair_budget)), total / F.lit(4.0 * nparts)))
+        bl = st.select(*keys, F.least(F.col("nq"), F.greatest(
+            F.lit(1), F.ceil(F.col("np") / budget))).cast("int").alias("nb"))
+        qb = (qside.join(bl, keys)
+              .withColumn("block", F.pmod(F.col("query_id"), F.col("nb")).cast("int"))
+              .drop("nb"))
+        if thr is not None:
+            qb = qb.join(thr, "query_id", "left").fillna({"_thr": -1.0})
+        qb = qb.repartition(nparts, *keys, "block")
+        cb = (cands.join(bl, keys)
+              .select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
+              .drop("nb").repartition(nparts, *keys, "block"))
+        pairs = qb.join(cb, [*keys, "block"]).where(F.col("_ck") != F.col("_rk")).where(
             (F.col("max_age").isNull() | (F.col("_cage") <= F.col("max_age")))
             & (F.col("selected_leagues").isNull() | (F.size("selected_leagues") == 0)
                | F.array_contains(F.col("selected_leagues"), F.col("_clg"))))
         return pairs.withColumn("similarity_score", _score(nslot))
 
-    w = Window.partitionBy("pool", "block", "query_id").orderBy(
-        F.col("similarity_score").desc(), F.col("_ck").asc())
-
-    # Pass 1: score every query against a deterministic hash sample of about
-    # `sample` candidates of its pool.  The k-th best sampled score is a lower
-    # bound of the true k-th best score, so pass 2 may drop every pair below
-    # it before the top-k sort without changing the result (ties kept).
-    qk = q.select(*qcols, F.col("ref_key").alias("_rk"))
-    smp = replicate(core.join(blocks.select("pool", "nc"), "pool")
-                    .where(F.pmod(F.xxhash64("_ck"), F.col("nc")) < F.lit(sample)).drop("nc"))
-    thr = (scored(qk, smp).withColumn("_r", F.row_number().over(w))
-           .where(F.col("_r") <= F.col("top_n"))
-           .groupBy("pool", "block", "query_id")
+    def local_top(pairs: DataFrame, keys: list[str], extra: list[str] = ()) -> DataFrame:
+        # partitioned like the join (keys, block): WindowGroupLimit, no shuffle
+        w = Window.partitionBy(*keys, "block", "query_id").orderBy(
+            F.col("similarity_score").desc(), F.col("_ck").asc())
+        return (pairs.select(*keys, "block", "query_id", "top_n", "_ck", "similarity_score",
+                             *extra)
+                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("top_n"))
+                .drop("_r"))
+
+    def per_query_top(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(),
+                                                  F.col("_ck").asc())
+        return (rows.select("query_id", "top_n", "_ck", "similarity_score")
+                .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_n")))
+
+    # 1. sample threshold (and, in gridded pools, sampled rows outside the
+    #    query's neighbourhood join the neighbourhood search)
+    smp = (cside.join(geo.select("pool", "n"), "pool")
+           .where(F.pmod(F.xxhash64("_ck"), F.col("n")) < F.lit(sample)).drop("n"))
+    sp = local_top(blocked(qg, smp, ["pool"]), ["pool"],
+                   [*[f"g{d}" for d in range(1, D + 1)], *[f"qg{d}" for d in range(1, D + 1)]])
+    stop = per_query_top(sp).select(
+        "query_id", "top_n", "_ck", "similarity_score")
+    thr = (stop.groupBy("query_id")
            .agg(F.min("similarity_score").alias("_t"), F.count(F.lit(1)).alias("_n"),
                 F.first("top_n").alias("_k"))
-           .select("pool", "block", "query_id",
-                   F.when(F.col("_n") >= F.col("_k"), F.col("_t")).otherwise(F.lit(-1.0))
-                    .alias("_thr")))
-    qk = qk.join(thr, ["pool", "block", "query_id"], "left").fillna({"_thr": -1.0})
-
-    # Pass 2: all pairs, pruned by the threshold, then the top-k window.
+           .select("query_id", F.when(F.col("_n") >= F.col("_k"), F.col("_t"))
+                   .otherwise(F.lit(-1.0)).alias("_thr")))
+    if gridded:
+        thr = _materialize(thr)
+
+    # 2. neighbourhood search
+    offsets = [F.struct(*[F.lit(o[d]).alias(f"o{d + 1}") for d in range(D)])
+               for o in itertools.product((-1, 0, 1), repeat=D)]
+    zero = F.array(F.struct(*[F.lit(0).alias(f"o{d + 1}") for d in range(D)]))
+    if gridded:
+        qa = (qg.select("*", F.explode(F.when(F.col("_h").isNull(), zero)
+                                       .otherwise(F.array(*offsets))).alias("_o"))
+              .select("*", *[(F.col(f"qg{d}") + F.col(f"_o.o{d}")).alias(f"t{d}")
+                             for d in range(1, D + 1)]).drop("_o"))
+        ca = cside.select("*", *[F.col(f"g{d}").alias(f"t{d}") for d in range(1, D + 1)])
+        akeys = ["pool", *gkeys]
+    else:   # the neighbourhood is the pool
+        qa, ca, akeys = qg, cside, ["pool"]
     # (coalesce: a null-tolerant predicate, so Catalyst does not infer and
     #  push isnotnull() copies of the whole score expression below the join)
-    top = (scored(qk, replicate(core))
-           .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr"))
-           .select("pool", "block", "query_id", "top_n", "_ck", "similarity_score")
-           .withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= F.col("top_n"))
-           .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
+    near = local_top(blocked(qa, ca, akeys, thr)
+                     .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")),
+                     akeys)
+    if not gridded:
+        return per_query_top(near).select(
+            "query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank")
+
+    outside = F.lit(False)
+    for d in range(1, D + 1):
+        outside = outside | (F.abs(F.col(f"g{d}") - F.col(f"qg{d}")) > F.lit(1))
+    sampled_out = sp.where(outside)
+    topa = _materialize(per_query_top(
+        near.select("query_id", "top_n", "_ck", "similarity_score")
+        .unionByName(sampled_out.select("query_id", "top_n", "_ck", "similarity_score"))))
+
+    # resolution: radius of the k-th best score, box of cells it spans
+    ka = topa.groupBy("query_id").agg(F.min("similarity_score").alias("_ta"),
+                                      F.count(F.lit(1)).alias("_na"))
+    qr = (qg.join(thr, "query_id", "left").fillna({"_thr": -1.0})
+          .join(ka, "query_id", "left"))
+    nsc = F.rint(F.col("_ta") * F.lit(100.0))
+    ok = (F.coalesce(F.col("_na"), F.lit(0)) >= F.col("top_n")) & (nsc >= F.lit(1.0))
+    r2 = (F.lit(-4.0) * F.col("m").cast("double") * F.log((nsc - F.lit(0.5)) / F.lit(1e4))
+          * F.lit(1.0 + 1e-9) + F.lit(1e-9))
+    qr = qr.select("*", ok.alias("_ok"), F.when(ok, r2).alias("_r2"),
+                   # a k-th best of a subset also bounds the later searches
+                   F.greatest(F.col("_thr"), F.when(
+                       F.coalesce(F.col("_na"), F.lit(0)) >= F.col("top_n"), F.col("_ta"))
+                       .otherwise(F.lit(-1.0))).alias("_thr2"))
+    bounds = []
+    for d in range(1, D + 1):
+        hw = F.sqrt(F.col("_r2") / F.col(f"f{d}"))
+        bounds += [F.floor((F.col(f"qz{d}") - hw) / F.col("_h")).cast("long").alias(f"lo{d}"),
+                   F.floor((F.col(f"qz{d}") + hw) / F.col("_h")).cast("long").alias(f"hi{d}")]
+    qr = qr.select("*", *bounds)
+    inside = F.col("_ok")
+    ncell = F.lit(1.0)
+    for d in range(1, D + 1):
+        inside = inside & (F.col(f"lo{d}") >= F.col(f"qg{d}") - 1) & (
+            F.col(f"hi{d}") <= F.col(f"qg{d}") + 1)
+        ncell = ncell * (F.col(f"hi{d}") - F.col(f"lo{d}") + 1).cast("double")
+    qr = qr.withColumn("_stage", F.when(F.col("_h").isNull() | F.coalesce(inside, F.lit(False)),
+                                        F.lit(1))
+                       .when(F.col("_ok") & (ncell <= F.lit(float(max_box_cells))), F.lit(2))
+                       .otherwise(F.lit(3)))
+    qr = _materialize(qr)
+    if diagnostics is not None:   # per-query stage (1 near, 2 box, 3 scan)
+        diagnostics["resolution"] = qr.select("query_id", "pool", "_stage")
+
+    done_a = topa.join(qr.where(F.col("_stage") == 1).select("query_id"), "query_id", "left_semi")
+
+    # 3a. box search
+    qb = qr.where(F.col("_stage") == 2)
+    for d in range(1, D + 1):
+        qb = qb.select("*", F.explode(F.sequence(F.col(f"lo{d}"), F.col(f"hi{d}"))).alias(f"t{d}"))
+    qb = qb.select(*qkeep, F.col("_thr2").alias("_thr"), *gkeys)
+    box = per_query_top(local_top(
+        blocked(qb, ca, akeys)
+        .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), akeys))
+
+    # 3b. whole-pool scan for the rest
+    qc = qr.where(F.col("_stage") == 3).select(*qkeep, F.col("_thr2").alias("_thr"))
+    scan = per_query_top(local_top(
+        blocked(qc, cside, ["pool"])
+        .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), ["pool"]))
+
+    return (done_a.unionByName(box).unionByName(scan)
+            .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
 
-    return finish(top)
 
 
 def _score(nslot: int) -> Column:

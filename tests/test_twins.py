@@ -70,3 +70,47 @@ def test_vector_twins_unit_weights(spark):
     out = {(r.ref_key, r.rank): r.cand_key for r in
            vector_twins(df, "id", "v", "label", top_n=2).collect()}
     assert out[(1, 1)] == 2 and out[(3, 1)] == 2 and out[(4, 1)] == 5
+
+
+def _grid_case(spark):
+    """Parts of sf0.001 plus 60 exact copies of one part (a hot duplicate
+    vector), with per-row age / league filters on some queries."""
+    from pyspark.sql import functions as F
+    from peerlens.plans import registry as R
+    from conftest import SMALL_SF
+    p = R.profile(spark, SMALL_SF)
+    one = p.orderBy(R.SPEC.key).limit(1)
+    copies = one.crossJoin(spark.range(1, 61).withColumnRenamed("id", "_i")).select(
+        *[(F.col(R.SPEC.key) * 1000 + F.col("_i")).cast(p.schema[R.SPEC.key].dataType)
+          .alias(c) if c == R.SPEC.key else
+          F.concat(F.col(c), F.lit("#"), F.col("_i").cast("string")).alias(c) if c == R.SPEC.name
+          else F.col(c) for c in p.columns])
+    prof = p.unionByName(copies)
+    leagues = [r[0] for r in prof.select(R.SPEC.league).distinct().limit(2).collect()]
+    q = prof.select(
+        F.col(R.SPEC.name).alias("reference"),
+        F.when(F.col(R.SPEC.key) % 7 == 0, F.col(R.SPEC.age) + 5).cast("int").alias("max_age"),
+        F.when(F.col(R.SPEC.key) % 5 == 0, F.array(*[F.lit(x) for x in leagues]))
+         .alias("selected_leagues"),
+        (F.col(R.SPEC.key) % 3 == 0).alias("strict_position"),
+        (F.col(R.SPEC.key) % 4 + 2).cast("int").alias("top_n"))
+    return R, prof, q
+
+
+@pytest.mark.parametrize("ex,ct,mb", [(8, 2, 512), (8, 1, 4), (16, 4, 27)])
+def test_grid_search_equals_exhaustive(spark, ex, ct, mb):
+    """Gridded pools (neighbourhood, radius box and pool-scan stages, the
+    duplicate collapse) give exactly the exhaustive top-k."""
+    R, prof, q = _grid_case(spark)
+    cols = ["query_id", R.SPEC.key, "similarity_score", "rank"]
+    ref = {tuple(r) for r in twins(prof, R.DIMS, R.SPEC, q, strict_position=None)
+           .select(*cols).collect()}
+    diag = {}
+    got = {tuple(r) for r in twins(prof, R.DIMS, R.SPEC, q, strict_position=None,
+                                   exhaustive_pool=ex, cell_target=ct, max_box_cells=mb,
+                                   diagnostics=diag).select(*cols).collect()}
+    assert got == ref
+    stages = {r[0] for r in diag["resolution"].select("_stage").distinct().collect()}
+    assert 1 in stages and len(stages) >= 2
+    if (ex, ct, mb) == (8, 2, 512):
+        assert stages == {1, 2, 3}
