@@ -288,11 +288,14 @@ def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
                 "total_fee double, total_wage double")
     out = scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"),
                            F.col("target_signings_count").cast("int").alias("k"))
-    return (out.join(best.withColumnRenamed("sid", "scenario_id"), "scenario_id", "left")
-               .select("scenario_id",
-                       F.when(F.col("keys").isNull(), F.lit("infeasible"))
-                        .otherwise(F.lit("optimal")).alias("status"),
-                       "k", "keys", "total_value", "total_fee", "total_wage"))
+    res = (out.join(best.withColumnRenamed("sid", "scenario_id"), "scenario_id", "left")
+              .select("scenario_id",
+                      F.when(F.col("keys").isNull(), F.lit("infeasible"))
+                       .otherwise(F.lit("optimal")).alias("status"),
+                      "k", "keys", "total_value", "total_fee", "total_wage"))
+    # one row per scenario (<= MAX_SCENARIOS): stored once, so members,
+    # KPIs and checks read it instead of re-planning the enumeration
+    return _materialize(res) if materialize else res
 
 
 def basket_members(best: DataFrame, market: DataFrame, spec: ProfileSpec) -> DataFrame:

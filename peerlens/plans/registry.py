@@ -46,8 +46,15 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return part_profile(spark, sf)
 
 
-def market_table(spark: SparkSession, sf: str) -> DataFrame:
-    return market.enrich_market(profile(spark, sf), part_market(parquet(spark, sf, "lineitem")),
+def _profile_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile (a full lineitem aggregation) materialised once for a
+    query that reads it in several branches (reliable checkpoint)."""
+    return materialize(profile(spark, sf))
+
+
+def market_table(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    p = p if p is not None else profile(spark, sf)
+    return market.enrich_market(p, part_market(parquet(spark, sf, "lineitem")),
                                 SPEC.key, BSPEC, MARKET_DEFAULT)
 
 
@@ -67,14 +74,14 @@ def _twin_cols(df: DataFrame) -> DataFrame:
                      "similarity_score", "rank")
 
 
-def _all_twins(spark, sf, top_n=5) -> DataFrame:
-    p = profile(spark, sf)
+def _all_twins(spark, sf, top_n=5, p=None) -> DataFrame:
+    p = p if p is not None else profile(spark, sf)
     q = p.select(F.col(SPEC.name).alias("reference"), F.lit(top_n).alias("top_n"))
     return twins.twins(p, DIMS, SPEC, q, strict_position=False)
 
 
-def _rank1_pairs(spark, sf) -> DataFrame:
-    tw = _all_twins(spark, sf, top_n=1)
+def _rank1_pairs(spark, sf, p=None) -> DataFrame:
+    tw = _all_twins(spark, sf, top_n=1, p=p)
     return tw.select(F.col(SPEC.key).alias("cand_key"), F.col("ref_key").alias("bench_key"),
                      "similarity_score")
 
@@ -157,8 +164,9 @@ def q_peer_percentile(spark, sf):
 
 
 def q_radar_long(spark, sf):
-    pairs = _rank1_pairs(spark, sf).select("cand_key", "bench_key")
-    return reports.radar_long(pairs, profile(spark, sf), DIMS, SPEC)
+    p = _profile_once(spark, sf)
+    pairs = _rank1_pairs(spark, sf, p).select("cand_key", "bench_key")
+    return reports.radar_long(pairs, p, DIMS, SPEC)
 
 
 def q_twins_single(spark, sf):
@@ -275,8 +283,8 @@ def q_boardroom_summary(spark, sf):
     return b.select("scenario_id", "financial_json", "memo")
 
 
-def _tagged(spark, sf):
-    p = profile(spark, sf)
+def _tagged(spark, sf, p=None):
+    p = p if p is not None else profile(spark, sf)
     return tags.with_tags(p, DIMS, SPEC, part_secondary(parquet(spark, sf, "part")))
 
 
@@ -285,8 +293,9 @@ def q_tag_sets(spark, sf):
 
 
 def q_compat_pairs(spark, sf):
-    tw = _all_twins(spark, sf, top_n=EVAL_K).select("ref_key", SPEC.key, "rank")
-    f = tags.compat_flags(tw, _tagged(spark, sf), SPEC)
+    p = _profile_once(spark, sf)
+    tw = _all_twins(spark, sf, top_n=EVAL_K, p=p).select("ref_key", SPEC.key, "rank")
+    f = tags.compat_flags(tw, _tagged(spark, sf, p), SPEC)
     return f.select("ref_key", F.col(SPEC.key).alias("cand_key"), "rank", "compatible")
 
 
@@ -302,7 +311,8 @@ def q_recommender_eval(spark, sf):
 
 
 def _payloads(spark, sf):
-    return reports.scout_payload(_rank1_pairs(spark, sf), profile(spark, sf), DIMS, SPEC)
+    p = _profile_once(spark, sf)
+    return reports.scout_payload(_rank1_pairs(spark, sf, p), p, DIMS, SPEC)
 
 
 def q_payload_json(spark, sf):
@@ -329,12 +339,12 @@ def q_unit_drilldown(spark, sf):
 
 
 def q_invariants(spark, sf):
-    p = profile(spark, sf)
-    mk = _market_once(spark, sf)
+    p = _profile_once(spark, sf)
+    mk = materialize(market_table(spark, sf, p))
     sc = scenarios(spark)
     best = B.best_baskets(mk, sc, SPEC, BSPEC)
     mem = B.basket_members(best, mk, SPEC)
-    tw = _all_twins(spark, sf)
+    tw = _all_twins(spark, sf, p=p)
     return checks.violations(tw, best, mem, sc, p, SPEC, BSPEC, PART_METRICS)
 
 
