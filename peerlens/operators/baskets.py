@@ -331,17 +331,79 @@ def basket_kpis(best: DataFrame, market: DataFrame, scenarios: DataFrame,
         (F.col("max_avg_age") - F.col("portfolio_age")).alias("age_under_cap"))
 
 
-def skyline(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec) -> DataFrame:
+SKY_GROUP = 512          # items per local-skyline group
+SKY_SHRINK = 0.9         # a round keeping more than this share ends the rounds
+
+
+def _dominates(i: DataFrame, o: DataFrame) -> Column:
+    """o dominates i: no worse on every attribute, better (value, key)."""
+    return ((o["o_fee"] <= i["fee"]) & (o["o_wage"] <= i["wage"]) & (o["o_age"] <= i["age"])
+            & (o["o_prog"] >= i["prog"]) & (o["o_dfn"] >= i["dfn"]) & (o["o_cre"] >= i["cre"])
+            & ((o["o_value"] > i["value"])
+               | ((o["o_value"] == i["value"]) & (o["o_key"] < i["key"]))))
+
+
+def _local_skyline(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows not dominated by another row with the same ``keys``."""
+    o = df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+    cond = None
+    for k in keys:
+        e = df[k] == o[f"o_{k}"]
+        cond = e if cond is None else cond & e
+    return df.join(o, cond & (o["o_key"] != df["key"]) & _dominates(df, o), "left_anti")
+
+
+def skyline(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
+            group: int = SKY_GROUP, max_rounds: int = 32) -> DataFrame:
     """Items not dominated by another item of the same position.
 
     i dominates j when fee, wage, age are <= and prog, def, creation >=,
-    with a strictly higher value (or equal value and smaller key).  The
-    anti-join keeps the position as equi key (a hash join per position)."""
-    it = basket_items(market, spec, bspec)
-    o = it.select(*[F.col(c).alias(f"o_{c}") for c in it.columns])
-    cond = ((it["pos"] == o["o_pos"]) & (o["o_key"] != it["key"])
-            & (o["o_fee"] <= it["fee"]) & (o["o_wage"] <= it["wage"]) & (o["o_age"] <= it["age"])
-            & (o["o_prog"] >= it["prog"]) & (o["o_dfn"] >= it["dfn"]) & (o["o_cre"] >= it["cre"])
-            & ((o["o_value"] > it["value"])
-               | ((o["o_value"] == it["value"]) & (o["o_key"] < it["key"]))))
-    return it.join(o, cond, "left_anti")
+    with a strictly higher value (or equal value and smaller key) -- a
+    strict partial order, so a row dominated inside any subset is dominated
+    globally and the skyline of a position is the skyline of the union of
+    its groups' local skylines.  Rounds: hash the surviving items of each
+    position into groups of at most ``group`` rows (a fresh seed per round)
+    and keep each group's local skyline; a position that fits one group is
+    final.  No task compares more than ``group``^2 pairs, a hot position
+    included.  If a round stops shrinking (anti-correlated data, the
+    skyline is most of the rows) the rest is settled by a grid-salted
+    dominated-set join, also bounded per task."""
+    spark = market.sparkSession
+    cur = _materialize(basket_items(market, spec, bspec))
+    prev = None
+    for r in range(max_rounds):
+        cnt = cur.groupBy("pos").agg(F.count(F.lit(1)).alias("_n"))
+        st = cnt.agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
+        if st["mx"] is None or st["mx"] <= group:
+            return _local_skyline(cur, ["pos"])
+        if prev is not None and st["tot"] > SKY_SHRINK * prev:
+            break
+        prev = st["tot"]
+        salted = (cur.join(cnt, "pos")
+                  .withColumn("_g", F.pmod(F.xxhash64("key", F.lit(r)),
+                                           F.ceil(F.col("_n") / F.lit(float(group))))
+                              .cast("int"))
+                  .drop("_n"))
+        cur = _materialize(_local_skyline(salted, ["pos", "_g"]).drop("_g"))
+    return _salted_skyline(cur, group)
+
+
+def _salted_skyline(items: DataFrame, group: int) -> DataFrame:
+    """Exact skyline by a grid of (position, i-salt, o-salt) tasks: each
+    task finds the rows of its i-salt dominated by its o-salt; a row is in
+    the skyline when no task marks it."""
+    nparts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ns = (items.groupBy("pos").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group)))
+                                   .cast("int").alias("_ns")))
+    salt = F.pmod(F.xxhash64("key"), F.col("_ns")).cast("int")
+    i = (items.join(ns, "pos").withColumn("_si", salt)
+         .withColumn("_so", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
+         .repartition(nparts, "pos", "_si", "_so"))
+    o = (items.join(ns, "pos").withColumn("_so", salt)
+         .withColumn("_si", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns"))
+    o = o.select(*[F.col(c).alias(f"o_{c}") for c in o.columns]).repartition(
+        nparts, "o_pos", "o__si", "o__so")
+    cond = ((i["pos"] == o["o_pos"]) & (i["_si"] == o["o__si"]) & (i["_so"] == o["o__so"])
+            & (o["o_key"] != i["key"]) & _dominates(i, o))
+    dominated = i.join(o, cond, "left_semi").select("pos", "key").distinct()
+    return items.join(dominated, ["pos", "key"], "left_anti")
