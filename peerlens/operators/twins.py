@@ -132,6 +132,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
     Python list): it is broadcast against the pools and scored in one scan.
     Output: one row per (query, candidate) with the candidate's display
     columns, ``similarity_score`` and ``rank``."""
+    if few_queries and queries.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
+        few_queries = False       # size checked: larger query tables take the grid path
     base = prepared if prepared is not None else prepare(profile, dims, spec)
     if materialize and not few_queries:
         # The all-pairs plan reads the prepared rows in many branches
@@ -382,8 +384,8 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
             F.col("similarity_score").desc(), F.col("_ck").asc())
         return (pairs.select(*keys, "block", "query_id", "top_n", "_ck", "similarity_score",
                              *extra)
-                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("top_n"))
-                .drop("_r"))
+                .withColumn("rank", F.row_number().over(w))
+                .where(F.col("rank") <= F.col("top_n")))
 
     def per_query_top(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(),
@@ -397,9 +399,8 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
            .where(F.pmod(F.xxhash64("_ck"), F.col("n")) < F.lit(sample)).drop("n"))
     sp = local_top(blocked(qg, smp, ["pool"]), ["pool"],
                    [*[f"g{d}" for d in range(1, D + 1)], *[f"qg{d}" for d in range(1, D + 1)]])
-    stop = per_query_top(sp).select(
-        "query_id", "top_n", "_ck", "similarity_score")
-    thr = (stop.groupBy("query_id")
+    # keyed by pool alone, a query lies in one (pool, block): sp is per query
+    thr = (sp.groupBy("query_id")
            .agg(F.min("similarity_score").alias("_t"), F.count(F.lit(1)).alias("_n"),
                 F.first("top_n").alias("_k"))
            .select("query_id", F.when(F.col("_n") >= F.col("_k"), F.col("_t"))
@@ -425,9 +426,8 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
     near = local_top(blocked(qa, ca, akeys, thr)
                      .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")),
                      akeys)
-    if not gridded:
-        return per_query_top(near).select(
-            "query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank")
+    if not gridded:   # one (pool, block) per query: near is the answer
+        return near.select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank")
 
     outside = F.lit(False)
     for d in range(1, D + 1):
@@ -484,11 +484,12 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
 
     # 3b. whole-pool scan for the rest
     qc = qr.where(F.col("_stage") == 3).select(*qkeep, F.col("_thr2").alias("_thr"))
-    scan = per_query_top(local_top(
+    scan = local_top(
         blocked(qc, cside, ["pool"])
-        .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), ["pool"]))
+        .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), ["pool"])
 
-    return (done_a.unionByName(box).unionByName(scan)
+    cols = ["query_id", "top_n", "_ck", "similarity_score", "rank"]
+    return (done_a.select(*cols).unionByName(box.select(*cols)).unionByName(scan.select(*cols))
             .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
 
 
