@@ -36,7 +36,33 @@ def test_percentile_plan_has_no_global_window(spark):
 
 
 def test_basket_plan_has_equi_joins_only(spark):
-    df = R.q_basket_scenarios(spark, SF)
+    from peerlens.operators import baskets as B
+    # the registered query reads a stored result: check the enumeration plan
+    df = B.best_baskets(R.market_table(spark, SF), R.scenarios(spark), R.SPEC, R.BSPEC,
+                        materialize=False)
+    df.collect()
+    p = _plan(df)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_grid_twins_plan_keyed_by_cells(spark):
+    """Gridded pools: every pair join is keyed by (pool, cells, block) or
+    (pool, block); the duplicate collapse limits rows before its shuffle."""
+    from pyspark.sql import functions as F
+    from peerlens.operators import twins as T
+    p = R.profile(spark, SF)
+    q = p.select(F.col(R.SPEC.name).alias("reference"), F.lit(5).alias("top_n"))
+    df = T.twins(p, R.DIMS, R.SPEC, q, exhaustive_pool=16, cell_target=8)
+    df.collect()
+    plan = _plan(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "WindowGroupLimit" in plan
+    assert "hashpartitioning(pool" in plan and "t1" in plan and "block" in plan
+
+
+def test_skyline_plan_keyed(spark):
+    from peerlens.operators import baskets as B
+    df = B.skyline(R.market_table(spark, SF), R.SPEC, R.BSPEC, group=4)
     df.collect()
     p = _plan(df)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
