@@ -4,7 +4,11 @@ Same kernel as ``twins`` with m = vector length: per (cohort, dimension)
 population std from a ``posexplode`` + ``groupBy`` (cohorts x dims rows),
 folded back into one scale array per cohort (broadcast: bounded by
 cohorts x dims), then d2 = sum_j (a_j - b_j)^2 / s_j^2 with array HOFs.
-Queries are blocked per cohort exactly as in ``twins``.
+Queries are blocked per cohort (one task scores at most ``pair_budget``
+pairs) and a hash-sample pass gives each query a lower bound of its k-th
+best score, so only pairs above it reach the top-k sort.  Every pair of a
+cohort is still scored: coordinate or pivot bounds do not prune exactly
+in high dimension (see README).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from peerlens.operators.twins import DEFAULT_PAIR_BUDGET
 
 
 def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int = 5,
-                 pair_budget: int = DEFAULT_PAIR_BUDGET) -> DataFrame:
+                 pair_budget: int = DEFAULT_PAIR_BUDGET, sample: int = 64) -> DataFrame:
     v = df.select(key, cohort, F.transform(vector, lambda x: x.cast("double")).alias("vec"))
     v = v.where(F.col("vec").isNotNull() & F.col(cohort).isNotNull())
     long = v.select(cohort, F.posexplode("vec").alias("d", "x"))
@@ -38,7 +42,6 @@ def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int =
     c = (v.join(blocks, cohort)
           .select(F.col(key).alias("cand_key"), cohort, "vec",
                   F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")))
-    pairs = q.join(c, [cohort, "block"]).where(F.col("cand_key") != F.col("ref_key"))
     z = F.arrays_zip(F.col("vec").alias("a"), F.col("qvec").alias("b"), F.col("kvec").alias("k"))
     d2 = F.aggregate(z, F.lit(0.0), lambda acc, e: acc + e["k"] * (e["a"] - e["b"]) * (e["a"] - e["b"]))
     m = F.size("qvec").cast("double")
@@ -46,8 +49,25 @@ def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int =
     score = F.rint(sim * F.lit(100.0)) / F.lit(100.0)
     w = Window.partitionBy(cohort, "block", "ref_key").orderBy(
         F.col("similarity_score").desc(), F.col("cand_key").asc())
-    return (pairs.withColumn("similarity_score", score)
-                 .withColumn("rank", F.row_number().over(w))
+
+    def scored(cands: DataFrame) -> DataFrame:
+        return (q.join(cands, [cohort, "block"]).where(F.col("cand_key") != F.col("ref_key"))
+                 .withColumn("similarity_score", score))
+
+    # sample pass: the k-th best score against a hash sample (~``sample``
+    # rows per cohort) is a lower bound of the true k-th best, so lower
+    # pairs are dropped before the top-k sort (exact, ties kept)
+    smp = (c.join(sizes, cohort)
+            .where(F.pmod(F.xxhash64("cand_key"), F.col("n")) < F.lit(sample)).drop("n"))
+    thr = (scored(smp).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(top_n))
+           .groupBy(cohort, "block", "ref_key")
+           .agg(F.min("similarity_score").alias("_t"), F.count(F.lit(1)).alias("_c"))
+           .select(cohort, "block", "ref_key",
+                   F.when(F.col("_c") >= F.lit(top_n), F.col("_t")).alias("_thr")))
+    pairs = (scored(c).join(thr, [cohort, "block", "ref_key"], "left")
+             .where(F.col("_thr").isNull()
+                    | (F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr"))))
+    return (pairs.withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= F.lit(top_n))
                  .select("ref_key", F.col(cohort).alias("cohort"), "cand_key",
                          "similarity_score", "rank"))
