@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.operators.normalize import guarded_scale
-from peerlens.operators.twins import DEFAULT_PAIR_BUDGET
+from peerlens.operators.twins import DEFAULT_PAIR_BUDGET, EXHAUSTIVE_POOL
 
 
 def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int = 5,
-                 pair_budget: int = DEFAULT_PAIR_BUDGET, sample: int = 64) -> DataFrame:
+                 pair_budget: int = DEFAULT_PAIR_BUDGET, sample: int = 64,
+                 exhaustive_label: int = EXHAUSTIVE_POOL) -> DataFrame:
     v = df.select(key, cohort, F.transform(vector, lambda x: x.cast("double")).alias("vec"))
     v = v.where(F.col("vec").isNotNull() & F.col(cohort).isNotNull())
     long = v.select(cohort, F.posexplode("vec").alias("d", "x"))
@@ -57,6 +58,12 @@ def vector_twins(df: DataFrame, key: str, vector: str, cohort: str, top_n: int =
     # sample pass: the k-th best score against a hash sample (~``sample``
     # rows per cohort) is a lower bound of the true k-th best, so lower
     # pairs are dropped before the top-k sort (exact, ties kept)
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= exhaustive_label:
+        # every label is small: its pairs are few, sort them directly
+        return (scored(c).withColumn("rank", F.row_number().over(w))
+                .where(F.col("rank") <= F.lit(top_n))
+                .select("ref_key", F.col(cohort).alias("cohort"), "cand_key",
+                        "similarity_score", "rank"))
     smp = (c.join(sizes, cohort)
             .where(F.pmod(F.xxhash64("cand_key"), F.col("n")) < F.lit(sample)).drop("n"))
     thr = (scored(smp).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(top_n))

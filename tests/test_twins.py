@@ -114,3 +114,16 @@ def test_grid_search_equals_exhaustive(spark, ex, ct, mb):
     assert 1 in stages and len(stages) >= 2
     if (ex, ct, mb) == (8, 2, 512):
         assert stages == {1, 2, 3}
+
+
+def test_vector_twins_sample_pass_is_exact(spark):
+    """The sample-threshold pass (forced with a tiny label bound) keeps the
+    exhaustive top-k."""
+    from conftest import SMALL_SF
+    from peerlens.operators.vectors import vector_twins
+    from peerlens.session import parquet
+    emb = parquet(spark, SMALL_SF, "embeddings")
+    full = {tuple(r) for r in vector_twins(emb, "vec_id", "embedding", "label").collect()}
+    pruned = {tuple(r) for r in vector_twins(emb, "vec_id", "embedding", "label",
+                                             exhaustive_label=4, sample=4).collect()}
+    assert pruned == full and len(full) > 0
