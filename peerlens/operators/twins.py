@@ -238,7 +238,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
 GRID_DIMS = 3               # features a pool is gridded on (its heaviest)
 EXHAUSTIVE_POOL = 4096      # pools up to this size are one cell
 CELL_TARGET = 256           # mean candidates per cell of a gridded pool
-MAX_BOX_CELLS = 512         # radius boxes above this go to the pool scan
+MAX_BOX_CELLS = 512         # radius boxes above this go to the coarse grid
+COARSE = 4                  # coarse cell = COARSE^D grid cells
 
 
 def _grid_slot_table(dims: Dimensions) -> Column:
@@ -275,8 +276,10 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
        lies within the radius R(t).  If the R-box around the query stays in
        the searched cells, this top-k is exact.
     3. box: other queries search all cells of their R-box (at most
-       ``max_box_cells``); the rest (no k candidates, or huge boxes) scan
-       their whole pool.  Every step is exact, so is the union.
+       ``max_box_cells``), or else the same box on a COARSE-times coarser
+       grid (nested cells, so it covers the fine box); the rest (no k
+       candidates, or huge boxes) scan their whole pool.  Every step is
+       exact, so is the union.
 
     Every join is keyed by (pool, cell, block); blocks split a (cell, query
     set) so one task scores at most ``pair_budget`` pairs.  In gridded
@@ -463,12 +466,17 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
         inside = inside & (F.col(f"lo{d}") >= F.col(f"qg{d}") - 1) & (
             F.col(f"hi{d}") <= F.col(f"qg{d}") + 1)
         ncell = ncell * (F.col(f"hi{d}") - F.col(f"lo{d}") + 1).cast("double")
+    cncell = F.lit(1.0)
+    for d in range(1, D + 1):
+        cncell = cncell * (F.floor(F.col(f"hi{d}") / F.lit(COARSE))
+                           - F.floor(F.col(f"lo{d}") / F.lit(COARSE)) + 1).cast("double")
     qr = qr.withColumn("_stage", F.when(F.col("_h").isNull() | F.coalesce(inside, F.lit(False)),
                                         F.lit(1))
                        .when(F.col("_ok") & (ncell <= F.lit(float(max_box_cells))), F.lit(2))
-                       .otherwise(F.lit(3)))
+                       .when(F.col("_ok") & (cncell <= F.lit(float(max_box_cells))), F.lit(3))
+                       .otherwise(F.lit(4)))
     qr = _materialize(qr)
-    if diagnostics is not None:   # per-query stage (1 near, 2 box, 3 scan)
+    if diagnostics is not None:   # per-query stage (1 near, 2 box, 3 coarse box, 4 scan)
         diagnostics["resolution"] = qr.select("query_id", "pool", "_stage")
 
     done_a = topa.join(qr.where(F.col("_stage") == 1).select("query_id"), "query_id", "left_semi")
@@ -482,14 +490,28 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
         blocked(qb, ca, akeys)
         .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), akeys))
 
-    # 3b. whole-pool scan for the rest
-    qc = qr.where(F.col("_stage") == 3).select(*qkeep, F.col("_thr2").alias("_thr"))
+    # 3b. the same box on a COARSE-times coarser grid (COARSE^D fewer cells)
+    qk = qr.where(F.col("_stage") == 3)
+    for d in range(1, D + 1):
+        qk = qk.select("*", F.explode(F.sequence(
+            F.floor(F.col(f"lo{d}") / F.lit(COARSE)).cast("long"),
+            F.floor(F.col(f"hi{d}") / F.lit(COARSE)).cast("long"))).alias(f"t{d}"))
+    qk = qk.select(*qkeep, F.col("_thr2").alias("_thr"), *gkeys)
+    ck = cside.select("*", *[F.floor(F.col(f"g{d}") / F.lit(COARSE)).cast("long").alias(f"t{d}")
+                             for d in range(1, D + 1)])
+    coarse = per_query_top(local_top(
+        blocked(qk, ck, akeys)
+        .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), akeys))
+
+    # 3c. whole-pool scan for the rest (no radius, or a huge coarse box)
+    qc = qr.where(F.col("_stage") == 4).select(*qkeep, F.col("_thr2").alias("_thr"))
     scan = local_top(
         blocked(qc, cside, ["pool"])
         .where(F.coalesce(F.col("similarity_score"), F.lit(-1.0)) >= F.col("_thr")), ["pool"])
 
     cols = ["query_id", "top_n", "_ck", "similarity_score", "rank"]
-    return (done_a.select(*cols).unionByName(box.select(*cols)).unionByName(scan.select(*cols))
+    return (done_a.select(*cols).unionByName(box.select(*cols))
+            .unionByName(coarse.select(*cols)).unionByName(scan.select(*cols))
             .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
 
 

@@ -113,7 +113,7 @@ def test_grid_search_equals_exhaustive(spark, ex, ct, mb):
     stages = {r[0] for r in diag["resolution"].select("_stage").distinct().collect()}
     assert 1 in stages and len(stages) >= 2
     if (ex, ct, mb) == (8, 2, 512):
-        assert stages == {1, 2, 3}
+        assert stages == {1, 2, 3, 4}     # near, box, coarse box, pool scan
 
 
 def test_vector_twins_sample_pass_is_exact(spark):
