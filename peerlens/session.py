@@ -2,16 +2,18 @@
 
 On a cluster the caller owns the session; the library only reads
 ``spark.checkpoint.dir`` from it.  A directory of our own is set only when
-the session has none (local tests), never on a configured cluster.
+a local session has none (tests); on a cluster the setting is required.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -35,14 +37,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may go without the setting: it gets a temporary
+    folder that is removed when the driver's Python ends.  On a cluster a
+    machine-local folder would be invisible to the other machines, so a
+    missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="peerlens-ckpt-", dir="/tmp")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all "
+                             "executors share")
+        configured = tempfile.mkdtemp(prefix="peerlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -54,13 +65,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def parquet(spark: SparkSession, sf_dir: str, table: str):
-    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
 
+    Cuts the lineage like a checkpoint (an executor lost later costs only a
+    re-read) and, unlike one, keeps column pruning and pushed filters."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def materialize(df):
-    """Reliable checkpoint (eager) into the shared checkpoint folder.
 
-    Cuts lineage so later stages restart from stored rows after an
-    executor loss; never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Store a table that several branches read (see ``stored``)."""
+    return stored(df, "materialized")
