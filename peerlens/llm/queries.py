@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import html_extract, lm
+from peerlens.llm import html_extract, langid, lm, packing, quality
 from peerlens.llm.sharding import shard
 from peerlens.llm.url_filter import url_filter
 from peerlens.session import parquet
@@ -16,6 +16,14 @@ from peerlens.session import parquet
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"),
              ("allow", "org/fr/")]
 SHARDS = 8
+HELD_OUT = 2                        # of the id's checksum modulo 4, for the classifiers
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
 
 
 def id_crc(modulus: int) -> F.Column:
@@ -44,9 +52,31 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(parquet(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, id_crc(4) != HELD_OUT)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (id_crc(4) == HELD_OUT).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(parquet(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    models = langid.train(docs, id_crc(4) != HELD_OUT)
+    return langid.predict(docs, models).select(
+        "doc_id", (id_crc(4) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_html_extraction": op4_html_extraction,
+    "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
 }
