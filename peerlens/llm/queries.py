@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peerlens.llm import html_extract, langid, lm, packing, quality
 from peerlens.llm.sharding import shard
+from peerlens.llm.topk import topk
 from peerlens.llm.url_filter import url_filter
 from peerlens.session import parquet
 
@@ -71,6 +72,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (id_crc(4) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk(parquet(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_scoring": op2_lm_scoring,
@@ -79,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_topk": op10_topk,
 }
