@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.llm import html_extract, langid, lm, packing, quality
+from peerlens.llm.near_dup import near_duplicates
 from peerlens.llm.sharding import shard
 from peerlens.llm.topk import topk
 from peerlens.llm.url_filter import url_filter
@@ -53,6 +54,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(parquet(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(parquet(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels")
     model = quality.train(docs, labels, id_crc(4) != HELD_OUT)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_html_extraction": op4_html_extraction,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
