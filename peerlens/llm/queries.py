@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import html_extract, langid, lm, packing, quality
+from peerlens.llm import decontaminate, html_extract, langid, lm, packing, quality
 from peerlens.llm.near_dup import near_duplicates
 from peerlens.llm.sharding import shard
 from peerlens.llm.topk import topk
@@ -54,6 +54,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(parquet(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(parquet(spark, sf_dir, "documents"),
+                                      parquet(spark, sf_dir, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(parquet(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_html_extraction": op4_html_extraction,
+    "op5_decontamination": op5_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,

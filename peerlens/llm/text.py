@@ -96,19 +96,39 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def words(column: pa.Array) -> Words:
-    """Words of every string of ``column`` (null: none)."""
+#: Separators of plain words: every ASCII byte but letters and digits.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = [not chr(b).isalnum() for b in range(128)]
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Capital letters of U+00C0 to U+00DE (two bytes in UTF-8) as small ones."""
+    at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+                        & (data[1:] != 0x97)) + 1
+    if len(at):
+        data = data.copy()
+        data[at] += 0x20
+    return data
+
+
+def words(column: pa.Array, separators: np.ndarray = _SPACE, fold: bool = False) -> Words:
+    """Words of every string of ``column`` (null: none); ``fold`` makes Latin
+    capitals beyond ASCII small too."""
     data, offs = _buffers(column)
+    if fold:
+        data = _folded(data)
     if len(data) == 0:
         e = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), e, e, data)
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     cut = offs[(offs > 0) & (offs < len(data))]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
     before[cut] = False
     starts = np.flatnonzero(solid & ~before)
+    if len(starts) == 0:
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), starts, starts, data)
     after = np.empty_like(solid)
     after[-1] = False
     after[:-1] = solid[1:]
