@@ -13,8 +13,8 @@ the groups.  Links are confirmed on the full sets.
 3. A bucket does not emit its pairs but a star: its smallest node with every
    other one.  Surviving candidates are verified and linked.
 4. Nodes that their bucket's star left in another component than its centre
-   are then compared with all the bucket's nodes of other components, so no
-   link between different texts is lost to the stars.
+   are then joined, on the rare prefixes of their full sets, with the nodes of
+   other components, so no link between different texts is lost to the stars.
 
 Verification compares signatures batch by batch and gives a pair up as soon
 as the posterior chance (uniform prior) that its similarity reaches the
@@ -46,6 +46,7 @@ SHINGLE, THRESHOLD = 5, 75
 HASHES, BANDS = 128, 32
 MISS = 1e-7                     # per checkpoint of the sequential test
 CHECKPOINTS = (16, 32, 64, 128)
+SLOTS = 1 << 20                 # counters that order shingles from rare to common
 BROADCAST_IDS = 1_000_000       # ids (8 MB) up to which a filter is broadcast
 
 _RNG = np.random.default_rng(75)
@@ -162,27 +163,12 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def sketches(nodes: DataFrame) -> DataFrame:
-    """(node, s0, s1): the lowest bit of each minimum, two longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bits = np.packbits((_matrix(batch.column("sig")) & 1).astype(np.uint8), axis=1)
-                two = np.ascontiguousarray(bits).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(two[:, 0].copy()),
-                                                  pa.array(two[:, 1].copy())],
-                                                 names=["node", "s0", "s1"])
-
-    return nodes.select("node", "sig").mapInArrow(run, "node long, s0 long, s1 long")
-
-
 @cache
-def least_matches(seen: int, chance: float, similarity: float = THRESHOLD / 100) -> int:
+def least_matches(seen: int, chance: float) -> int:
     """The fewest matches among ``seen`` hashes with which the posterior chance
-    of reaching ``similarity`` is still ``chance``: under a uniform prior that
-    chance is P(Bin(seen + 1, similarity) <= matches)."""
-    total = 0.0
+    of reaching the threshold is still ``chance``: under a uniform prior that
+    chance is P(Bin(seen + 1, threshold) <= matches)."""
+    total, similarity = 0.0, THRESHOLD / 100
     for m in range(seen + 1):
         total += comb(seen + 1, m) * similarity ** m * (1 - similarity) ** (seen + 1 - m)
         if total >= chance:
@@ -269,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_verified(_survivors(stars, nodes), texts), "links")
     groups = stored(components(links), "groups")
 
-    rest = _unresolved(members, groups, nodes)
+    rest = _unresolved(members, groups, texts)
     more = _verified(_survivors(rest, nodes), texts)
     edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(edges)
@@ -305,32 +291,80 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out.join(again, same, "left_semi").dropDuplicates([id_col]))
 
 
-def _unresolved(members: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) that the stars did not settle: members that are
-    not in the component of their bucket's centre, each with all members of
-    other components.  A first look at the one-bit sketches happens in the
-    join, so that only plausible pairs leave it."""
-    of = groups.withColumnRenamed("node", "id")
-    placed = (members.join(of.select(F.col("id").alias("node"), F.col("component").alias("c")),
-                           "node", "left")
-              .join(of.select(F.col("id").alias("centre"), F.col("component").alias("cc")),
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each of ``SLOTS`` hash slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in chunks(batch):
+                hashes, _ = distinct(*shingles(part.column("text"))[:2])
+                counts += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+
+    rows = (texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot")
+            .agg(F.sum("n").alias("n")).toPandas())      # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["slot"]] = rows["n"]
+    return out
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(shingle, node, c, stray, rest, size): of every set the rarest quarter
+    of its shingles.  ``rest`` is the number of shingles from this one on, in
+    the order from rare to common (estimated by slot, then by hash)."""
+    shared = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                h, offsets = distinct(*shingles(part.column("text"))[:2])
+                if len(h) == 0:
+                    continue
+                owner, size = owners(offsets), np.diff(offsets)
+                common = shared.value[(h % np.uint64(SLOTS)).astype(np.int64)]
+                by = np.lexsort((h, common, owner))
+                place = np.arange(len(h)) - offsets[owner]      # owners stay in order
+                # a partner has at least THRESHOLD % of the set
+                most = size - -(-size * THRESHOLD // 100) + 1
+                take = place < most[owner]
+                o = pa.array(owner[take])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[by][take].view(np.int64)), part.column("node").take(o),
+                     part.column("c").take(o), part.column("stray").take(o),
+                     pa.array((size[owner] - place)[take]), pa.array(size[owner][take])],
+                    names=["shingle", "node", "c", "stray", "rest", "size"])
+
+    return texts.mapInArrow(run, "shingle long, node long, c long, stray boolean, rest long, size long")
+
+
+def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) that the stars did not settle: strays, nodes that
+    are not in the component of a bucket's centre, with the nodes of other
+    components in such buckets.
+
+    A pair can only be linked if the rarest shingle that both sets hold leaves
+    both of them enough of the rest: |A and B| >= t / (1 + t) (|A| + |B|).  So
+    an equality join on the rare prefixes finds every such pair, and a family
+    whose members keep their distance does not emit its pairs."""
+    placed = (members.join(groups.select("node", F.col("component").alias("c")), "node", "left")
+              .join(groups.select(F.col("node").alias("centre"), F.col("component").alias("cc")),
                     "centre", "left")
-              .select("key", "node", "centre", F.coalesce("c", "node").alias("c"),
+              .select("key", "node", F.coalesce("c", "node").alias("c"),
                       F.coalesce("cc", "centre").alias("cc")))
     placed = stored(placed, "placed")
-    strays = placed.where("c <> cc")
-    keys = strays.select("key").distinct()
-    sketch = stored(sketches(nodes.join(placed.join(keys, "key", "left_semi").select("node").distinct(),
-                                        "node", "left_semi")), "sketches")
-    strays = (strays.join(sketch, "node")
-              .select("key", F.col("node").alias("a"), F.col("c").alias("ca"),
-                      F.col("s0").alias("a0"), F.col("s1").alias("a1")))
-    others = (placed.where("node <> centre").join(keys, "key", "left_semi").join(sketch, "node")
-              .select("key", F.col("node").alias("b"), F.col("c").alias("cb"),
-                      F.col("s0").alias("b0"), F.col("s1").alias("b1")))
-    differ = (F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
-              + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))))
-    # one bit agrees with chance (1 + similarity) / 2
-    most = HASHES - least_matches(HASHES, MISS, (1 + THRESHOLD / 100) / 2)
-    pairs = strays.join(others, "key").where((F.col("ca") != F.col("cb")) & (differ <= most))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = placed.where("c <> cc").select("key").distinct()
+    nodes = stored(placed.join(keys, "key", "left_semi").groupBy("node", "c")
+                   .agg(F.max(F.col("c") != F.col("cc")).alias("stray")), "open-nodes")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    texts = stored(docs.join(wanted, docs["id"] == nodes["node"]).select("node", "c", "stray", "text"),
+                   "open-texts")
+    prefixes = stored(_prefixes(texts), "prefixes")
+    left = prefixes.where("stray").select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"),
+                                          F.col("rest").alias("rx"), F.col("size").alias("nx"))
+    right = prefixes.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"),
+                            F.col("rest").alias("ry"), F.col("size").alias("ny"))
+    enough = (F.least("rx", "ry") * (100 + THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD)
+    pairs = left.join(right, "shingle").where((F.col("cx") != F.col("cy")) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
