@@ -46,7 +46,7 @@ SHINGLE, THRESHOLD = 5, 75
 HASHES, BANDS = 128, 32
 MISS = 1e-7                     # per checkpoint of the sequential test
 CHECKPOINTS = (16, 32, 64, 128)
-SLOTS = 1 << 20                 # counters that order shingles from rare to common
+SLOTS = 1 << 16                 # counters that order shingles from rare to common
 BROADCAST_IDS = 1_000_000       # ids (8 MB) up to which a filter is broadcast
 
 _RNG = np.random.default_rng(75)
