@@ -164,11 +164,11 @@ def band_keys(nodes: DataFrame) -> DataFrame:
 
 
 @cache
-def least_matches(seen: int, chance: float) -> int:
+def least_matches(seen: int, chance: float, similarity: float = THRESHOLD / 100) -> int:
     """The fewest matches among ``seen`` hashes with which the posterior chance
-    of reaching the threshold is still ``chance``: under a uniform prior that
-    chance is P(Bin(seen + 1, threshold) <= matches)."""
-    total, similarity = 0.0, THRESHOLD / 100
+    of reaching ``similarity`` is still ``chance``: under a uniform prior that
+    chance is P(Bin(seen + 1, similarity) <= matches)."""
+    total = 0.0
     for m in range(seen + 1):
         total += comb(seen + 1, m) * similarity ** m * (1 - similarity) ** (seen + 1 - m)
         if total >= chance:
@@ -311,9 +311,10 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """(shingle, node, c, stray, rest, size): of every set the rarest quarter
-    of its shingles.  ``rest`` is the number of shingles from this one on, in
-    the order from rare to common (estimated by slot, then by hash)."""
+    """(shingle, node, c, stray, rest, size, s0, s1): of every set the rarest
+    quarter of its shingles.  ``rest`` is the number of shingles from this one
+    on, in the order from rare to common (estimated by slot, then by hash);
+    ``s0`` and ``s1`` are the lowest bits of the signature."""
     shared = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,13 +331,17 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 most = size - -(-size * THRESHOLD // 100) + 1
                 take = place < most[owner]
                 o = pa.array(owner[take])
+                bits = np.packbits((signatures(h, offsets) & 1).astype(np.uint8), axis=1)
+                bits = np.ascontiguousarray(bits).view(np.int64)[owner[take]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[by][take].view(np.int64)), part.column("node").take(o),
                      part.column("c").take(o), part.column("stray").take(o),
-                     pa.array((size[owner] - place)[take]), pa.array(size[owner][take])],
-                    names=["shingle", "node", "c", "stray", "rest", "size"])
+                     pa.array((size[owner] - place)[take]), pa.array(size[owner][take]),
+                     pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
+                    names=["shingle", "node", "c", "stray", "rest", "size", "s0", "s1"])
 
-    return texts.mapInArrow(run, "shingle long, node long, c long, stray boolean, rest long, size long")
+    return texts.mapInArrow(run, "shingle long, node long, c long, stray boolean, rest long, "
+                                 "size long, s0 long, s1 long")
 
 
 def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
@@ -362,9 +367,16 @@ def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataF
                    "open-texts")
     prefixes = stored(_prefixes(texts), "prefixes")
     left = prefixes.where("stray").select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"),
-                                          F.col("rest").alias("rx"), F.col("size").alias("nx"))
+                                          F.col("rest").alias("rx"), F.col("size").alias("nx"),
+                                          F.col("s0").alias("x0"), F.col("s1").alias("x1"))
     right = prefixes.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"),
-                            F.col("rest").alias("ry"), F.col("size").alias("ny"))
+                            F.col("rest").alias("ry"), F.col("size").alias("ny"),
+                            F.col("s0").alias("y0"), F.col("s1").alias("y1"))
     enough = (F.least("rx", "ry") * (100 + THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD)
-    pairs = left.join(right, "shingle").where((F.col("cx") != F.col("cy")) & enough)
+    # a first look at the signatures: a bit agrees with chance (1 + similarity) / 2
+    differ = (F.bit_count(F.col("x0").bitwiseXOR(F.col("y0")))
+              + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))))
+    most = HASHES - least_matches(HASHES, MISS, (1 + THRESHOLD / 100) / 2)
+    pairs = left.join(right, "shingle").where((F.col("cx") != F.col("cy")) & enough
+                                              & (differ <= most))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
