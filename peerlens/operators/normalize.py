@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from peerlens.dims import Dimensions
 from peerlens.functions import round_half_even
 from peerlens.schemas import ProfileSpec
+from peerlens.session import stored
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon
 
@@ -45,8 +46,10 @@ def running_counts(hist: DataFrame, groups: list[str], value: str,
     Scales with the number of distinct values: no task ever holds a whole
     group; one hot value is already a single histogram row."""
     nparts = _partitions(hist)
-    ranged = (hist.repartitionByRange(nparts, *groups, value)
-              .withColumn("_pid", F.spark_partition_id()))
+    # The boundaries of a range partitioning are sampled anew by every reader,
+    # so the ranged histogram is stored once and both branches read that.
+    ranged = stored(hist.repartitionByRange(nparts, *groups, value)
+                    .withColumn("_pid", F.spark_partition_id()), "ranged-histogram")
     w_local = (Window.partitionBy("_pid", *groups).orderBy(value)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_lcum", F.sum(count).over(w_local))
@@ -57,8 +60,7 @@ def running_counts(hist: DataFrame, groups: list[str], value: str,
                .withColumn("_off", F.coalesce(F.sum("_pc").over(w_off), F.lit(0)))
                .withColumn("n", F.sum("_pc").over(Window.partitionBy(*groups)))
                .drop("_pc"))
-    # offsets has at most |groups| x shuffle-partitions rows: broadcast-safe.
-    return (local.join(F.broadcast(offsets), [*groups, "_pid"])
+    return (local.join(offsets, [*groups, "_pid"])
             .withColumn("cum", F.col("_lcum") + F.col("_off"))
             .drop("_pid", "_lcum", "_off"))
 

@@ -1,13 +1,7 @@
 """Tactical tags and compatibility.
 
-Compatible-peer counts are computed without forming pairs: the number of
-same-position peers sharing at least one tag with a row is, by
-inclusion-exclusion over the non-empty subsets S of its tag set,
-
-    sum_S (-1)^(|S|+1) * #{rows of the position whose tags contain S}  - 1 (itself)
-
-and #{rows containing S} is one ``groupBy(position, S)`` over every row's
-own subsets.  Work is linear in rows x 2^|tags| (tag sets are small).
+Compatible-peer counts work on the distinct tag sets of a position, so
+neither rows nor the size of a tag set make pairs or subsets.
 """
 
 from __future__ import annotations
@@ -18,8 +12,6 @@ from pyspark.sql import functions as F
 from peerlens.dims import Dimensions
 from peerlens.schemas import ProfileSpec
 
-MAX_TAGS = 8  # 255 subsets per row at most
-
 
 def secondary_table(spark, dims: Dimensions) -> DataFrame:
     return dims.hybrid_family_df(spark)
@@ -41,28 +33,26 @@ def with_tags(df: DataFrame, dims: Dimensions, spec: ProfileSpec,
     return j.withColumn("tags", tags).drop("_skey", "_sec")
 
 
-_SUBSETS = ("transform(sequence(1, cast(shiftleft(1, size(tags)) as int) - 1), "
-            "m -> array_join(filter(tags, (x, i) -> (shiftright(m, i) & 1) = 1), '\u0001'))")
-_SIGNS = ("transform(sequence(1, cast(shiftleft(1, size(tags)) as int) - 1), "
-          "m -> if(bit_count(m) % 2 = 1, 1, -1))")
-
-
 def compat_counts(tagged: DataFrame, spec: ProfileSpec) -> DataFrame:
     """(key, position, n_compat): same-position peers (self excluded) whose
-    tag set overlaps the row's (A5 over J7, computed without pairs)."""
-    t = tagged.where(F.size("tags") <= MAX_TAGS).select(
-        spec.key, spec.position, "tags", F.expr(_SUBSETS).alias("_subs"),
-        F.expr(_SIGNS).alias("_signs"))
-    counts = (t.select(spec.position, F.explode("_subs").alias("_sub"))
-               .groupBy(spec.position, "_sub").agg(F.count(F.lit(1)).alias("_cnt")))
-    mine = t.select(spec.key, spec.position,
-                    F.explode(F.arrays_zip(F.col("_subs").alias("s"),
-                                           F.col("_signs").alias("g"))).alias("_z"))
-    mine = mine.select(spec.key, spec.position, F.col("_z.s").alias("_sub"),
-                       F.col("_z.g").alias("_sign"))
-    return (mine.join(counts, [spec.position, "_sub"])
-                .groupBy(spec.key, spec.position)
-                .agg((F.sum(F.col("_sign") * F.col("_cnt")) - F.lit(1)).alias("n_compat")))
+    tag set overlaps the row's (A5 over J7).
+
+    Rows never pair up: the distinct tag sets of a position are counted, sets
+    that share a tag are found by a join on the tag, and a row's count is the
+    sum over the sets that overlap its own.  A row without tags has none."""
+    t = tagged.select(spec.key, spec.position,
+                      F.array_sort(F.array_distinct("tags")).alias("_tags"))
+    sets = t.groupBy(spec.position, "_tags").agg(F.count(F.lit(1)).alias("_cnt"))
+    own = sets.select(spec.position, "_tags", F.explode("_tags").alias("_tag"))
+    other = sets.select(spec.position, F.col("_tags").alias("_other"), "_cnt",
+                        F.explode("_tags").alias("_tag"))
+    overlap = (own.join(other, [spec.position, "_tag"])
+               .select(spec.position, "_tags", "_other", "_cnt").distinct()
+               .groupBy(spec.position, "_tags").agg((F.sum("_cnt") - 1).alias("n_compat")))
+    return (t.where(F.col(spec.position).isNotNull())
+            .join(overlap, [spec.position, "_tags"], "left")
+            .select(spec.key, spec.position,
+                    F.coalesce("n_compat", F.lit(0)).cast("long").alias("n_compat")))
 
 
 def compat_flags(pairs: DataFrame, tagged: DataFrame, spec: ProfileSpec,

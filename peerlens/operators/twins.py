@@ -71,6 +71,17 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
     return q
 
 
+PARAMETERS = ("reference", "max_age", "selected_leagues", "strict_position", "top_n")
+
+
+def _identity() -> Column:
+    """128 bits over a request's parameters (the name without regard to case)."""
+    leagues = F.array_sort(F.col("selected_leagues"))
+    values = [F.lower(F.col("reference")), F.col("max_age"), leagues, F.col("strict_position"),
+              F.col("top_n")]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("b"), *values).alias("b"))
+
+
 def resolve(base: DataFrame, queries: DataFrame, spec: ProfileSpec) -> DataFrame:
     """Match query strings to profile rows, case-insensitively."""
     q = normalize_queries(queries)
@@ -115,13 +126,33 @@ def _adjusted_moments(dims: Dimensions) -> list[Column]:
 
 
 def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: DataFrame, *,
+          strict_position: bool | None = False, **options) -> DataFrame:
+    """Top-k statistical twins for every row of ``queries``.
+
+    Requests with the same parameters are answered once and the answer goes
+    to each of them, so a request table may repeat rows; ``query_id`` may be
+    of any type.  See ``distinct_twins`` for the parameters."""
+    asked = normalize_queries(queries)
+    if strict_position is not None:
+        asked = asked.withColumn("strict_position", F.lit(bool(strict_position)))
+    asked = asked.withColumn("_request", _identity())
+    once = asked.groupBy("_request").agg(*[F.first(c).alias(c) for c in PARAMETERS])
+    found = distinct_twins(profile, dims, spec, once.withColumnRenamed("_request", "query_id"),
+                           strict_position=strict_position, **options)
+    columns = found.columns
+    found = found.drop("reference", "max_age", "selected_leagues", "strict_position", "top_n")
+    return (found.withColumnRenamed("query_id", "_request")
+            .join(asked.select("_request", "query_id", *PARAMETERS), "_request").select(*columns))
+
+
+def distinct_twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: DataFrame, *,
           strict_position: bool | None = False, pair_budget: int = DEFAULT_PAIR_BUDGET,
           carry: list[str] | None = None, prepared: DataFrame | None = None,
           sample: int = 64, few_queries: bool = False,
           materialize: bool = True, exhaustive_pool: int | None = None,
           cell_target: int | None = None, max_box_cells: int | None = None,
           diagnostics: dict | None = None) -> DataFrame:
-    """Top-k statistical twins for every row of ``queries``.
+    """Top-k statistical twins for queries with distinct ``query_id``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
     ``spec.name``) and may carry ``max_age``, ``selected_leagues``,
@@ -367,7 +398,7 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
         bl = st.select(*keys, F.least(F.col("nq"), F.greatest(
             F.lit(1), F.ceil(F.col("np") / budget))).cast("int").alias("nb"))
         qb = (qside.join(bl, keys)
-              .withColumn("block", F.pmod(F.col("query_id"), F.col("nb")).cast("int"))
+              .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("nb")).cast("int"))
               .drop("nb"))
         if thr is not None:
             qb = qb.join(thr, "query_id", "left").fillna({"_thr": -1.0})
@@ -559,6 +590,6 @@ def find_similar(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, refere
         "reference string, max_age int, selected_leagues array<string>, "
         "strict_position boolean, top_n int")
     if require_match and unmatched(profile, q, spec).limit(1).count() > 0:
-        raise ValueError(f"Player '{reference}' not found in database.")
+        raise ValueError(f"no profile row is named {reference!r}")
     return with_metric_names(
         twins(profile, dims, spec, q, strict_position=strict_position, few_queries=True), dims)

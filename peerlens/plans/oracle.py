@@ -7,6 +7,7 @@ as ``registry``; it shares no execution code with the Spark operators.
 
 from __future__ import annotations
 
+from peerlens.operators.reports import BOARD_MEMO, DOSSIER, template_parts
 from peerlens.plans import registry as R
 from peerlens.plans.part_profile import (MARKET_DEFAULT, MARKET_SINCE, PART_METRICS,
                                          PART_TYPE_SECONDARY, PARTS)
@@ -268,6 +269,13 @@ def _metrics_json(prefix: str) -> str:
     return "CASE cb.cidx " + " ".join(cases) + " END"
 
 
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL that concatenates a template's texts and values."""
+    parts = [[s(text)] * bool(text) + ([values[field]] if field else [])
+             for text, field in template_parts(template)]
+    return "concat(" + ", ".join(p for part in parts for p in part) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     pb = PROFILE
     n = D.n_slots
@@ -414,21 +422,13 @@ SELECT pr.cand_key, pr.bench_key, cr.p_label AS cand_name, br.p_label AS bench_n
        {_metrics_json('cr')} AS cand_metrics, {_metrics_json('br')} AS bench_metrics
 FROM pr JOIN b2 cb ON cb.p_partkey = pr.cand_key JOIN prof cr ON cr.p_partkey = pr.cand_key
         JOIN prof br ON br.p_partkey = pr.bench_key"""
-    bar = "=" * 80
     club = R.TARGET_CLUB
-    sc_ = "CAST(pr.similarity_score AS VARCHAR)"
+    note = _filled(DOSSIER, {
+        "club": s(club), "name": "c.p_label", "team": "c.p_type", "age": "CAST(c.p_size AS VARCHAR)",
+        "position": "c.p_brand", "role": "c.p_kind", "other": "b.p_label", "other_team": "b.p_type",
+        "score": "CAST(pr.similarity_score AS VARCHAR)"})
     q["dossier_text"] = f"""{with_(pb, _payload_pairs())}
-SELECT pr.cand_key, pr.bench_key, concat(
-  {s(bar + chr(10) + 'EXECUTIVE SCOUTING DOSSIER | ' + club.upper() + ' RECRUITMENT' + chr(10) + 'Candidate: ')},
-  c.p_label, ' (', c.p_type, ') | Age: ', CAST(c.p_size AS VARCHAR), ' | Position: ', c.p_brand,
-  {s(chr(10) + 'Benchmark Reference: ')}, b.p_label, ' (', b.p_type, ') | Similarity: ', {sc_},
-  {s('%' + chr(10) + 'Role: ')}, c.p_kind, {s(chr(10) + bar + chr(10) + chr(10) + '1. EXECUTIVE SUMMARY' + chr(10))},
-  c.p_label, ' displays a ', {sc_}, '% tactical alignment with ', b.p_label, '. Fulfills ', {s(club)},
-  {s("'s positional criteria for an elite ")}, c.p_brand,
-  {s('.' + chr(10) + chr(10) + '2. ROLE-SPECIFIC TACTICAL STRENGTHS' + chr(10) + '- Metrics demonstrate top-tier execution across primary duties for ')},
-  c.p_kind,
-  {s('.' + chr(10) + '- High capability under pressing actions and in tactical transitions.' + chr(10) + chr(10) + '3. SYSTEM CONCERNS & ADAPTATION RISKS' + chr(10) + '- Tactical adjustment to physical intensity and fixture load demands.' + chr(10) + chr(10) + '4. TRANSFER VERDICT' + chr(10) + 'RECOMMENDED: Fits ')},
-  c.p_kind, {s(' parameters. Proceed to formal inquiries.' + chr(10) + bar)}) AS dossier
+SELECT pr.cand_key, pr.bench_key, {note} AS dossier
 FROM pr JOIN prof c ON c.p_partkey = pr.cand_key JOIN prof b ON b.p_partkey = pr.bench_key"""
     q["catalog_options"] = f"""{with_(pb)}
 SELECT DISTINCT kind, option FROM (
@@ -446,15 +446,12 @@ SELECT DISTINCT kind, option FROM (
            f"'committed_wages_k_pw': {r1('wages')}, 'wage_savings_k_pw': {r1('wage_budget - wages')}, "
            f"'average_portfolio_age': {r1('avg_age')}, 'combined_prog_passes_per90': {r1('prog')}, "
            f"'combined_defensive_actions_per90': {r1('dfn')}}})")
-    nl = chr(10)
-    memo = (f"concat({s(bar + nl + 'EXECUTIVE BOARDROOM INVESTMENT PITCH | ' + club.upper() + ' FOOTBALL OPERATIONS' + nl + 'Scenario: Reinvestment Portfolio Optimization' + nl + bar + nl + nl + '1. EXECUTIVE SUMMARY & CAPITAL EFFICIENCY' + nl + '- Total Capital Outlay: €')}, "
-            f"{f1('spent')}, 'M (Budget: €', {f1('budget')}, 'M | Preserved Cash: €', {f1('budget - spent')}, "
-            f"{s('M)' + nl + '- Committed Weekly Wages: £')}, {f1('wages')}, 'k/pw (Savings: £', {f1('wage_budget - wages')}, "
-            f"{s('k/pw)' + nl + '- Multi-asset diversification mitigates single-player catastrophic injury risk.' + nl + nl + '2. TACTICAL WORKLOAD ABSORPTION' + nl + '- Combined Progressive Passes: ')}, "
-            f"{f1('prog')}, {s('/90' + nl + '- Combined Defensive Disruptions: ')}, {f1('dfn')}, "
-            f"{s('/90' + nl + '- Absorbs the operational volume of the outgoing asset while strengthening positional depth.' + nl + nl + '3. ASSET RESALE & AMORTIZATION THESIS' + nl + '- Average Portfolio Age: ')}, "
-            f"{f1('avg_age')}, {s(' years.' + nl + '- Strong resale value runway on 4-year contract amortization schedules.' + nl + nl + '4. BOARDROOM RECOMMENDATION' + nl + '- Approve immediate engagement with representatives of ')}, "
-            f"'[' || array_to_string(list_transform(names, lambda x: {QQ} || x || {QQ}), ', ') || ']', {s('.' + nl + bar)})")
+    listed = (f"('[' || array_to_string(list_transform(names, lambda x: {QQ} || x || {QQ}), ', ')"
+              " || ']')")
+    memo = _filled(BOARD_MEMO, {
+        "club": s(club), "spent": f1("spent"), "budget": f1("budget"), "left": f1("budget - spent"),
+        "wages": f1("wages"), "room": f1("wage_budget - wages"), "prog": f1("prog"),
+        "defence": f1("dfn"), "age": f1("avg_age"), "names": listed})
     q["boardroom_summary"] = f"""{with_(pb, baskets_sql())},
 agg AS (SELECT m.scenario_id, any_value(sc.fee_budget_m) AS budget, any_value(sc.wage_ceiling_k_pw) AS wage_budget,
                sum(fee) AS spent, sum(wage) AS wages, avg(CAST(p_size AS DOUBLE)) AS avg_age,

@@ -103,7 +103,7 @@ SCENARIO = T.StructType([
 ])
 
 TWIN_QUERY = T.StructType([
-    T.StructField("reference_player_name", _S),
+    T.StructField("reference", _S),
     T.StructField("max_age", _I),
     T.StructField("selected_leagues", T.ArrayType(_S)),
     T.StructField("strict_position", T.BooleanType()),

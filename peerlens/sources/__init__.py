@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 class MissingSource(FileNotFoundError):
-    """Raised when a profile source path does not exist (local paths only)."""
-
-
-def _check_local(path: str) -> None:
-    if "://" in path and not path.startswith("file:"):
-        return  # remote stores: let the scan report it (AnalysisException)
-    local = path[5:] if path.startswith("file:") else path
-    if not os.path.exists(local):
-        raise MissingSource(f"Missing source {path}")
+    """Raised when a source path does not exist, wherever it lies."""
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -26,17 +17,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
     CSV is for small fixtures; Parquet (column pruning, pushed filters) is
     the format for everything at scale."""
-    _check_local(path)
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "FAILFAST")
-        if schema is not None:
-            reader = reader.schema(schema)
-        return reader.csv(path)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.format(fmt).load(path)
+    try:
+        return reader.format(fmt).load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise MissingSource(f"missing source {path}") from e
+        raise
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",

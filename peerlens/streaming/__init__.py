@@ -29,16 +29,14 @@ def answer_requests(requests: DataFrame, profile: DataFrame, dims: Dimensions,
     a ``reference`` column; ``sink_path`` receives Parquet rows of the
     ``twins`` output plus ``batch_id``.  Both paths belong in the shared
     storage named by ``spark.checkpoint.dir`` on a cluster."""
-    from pyspark.sql import functions as F
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         n = batch.limit(max_requests_per_batch + 1).count()
         if n == 0:
             return
         out = twins(profile, dims, spec, batch, strict_position=None,
                     few_queries=n <= max_requests_per_batch)
-        (out.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("append").parquet(sink_path))
+        # a folder per batch: a batch that is run again replaces its rows
+        out.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     writer = (requests.writeStream.foreachBatch(handle)
               .option("checkpointLocation", checkpoint_path))

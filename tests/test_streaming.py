@@ -13,7 +13,7 @@ from peerlens.streaming import answer_requests
 def test_stream_of_requests(spark, players):
     req_dir = shared_path(spark, "requests")
     spark.createDataFrame([("Rodri", None, None, False, 5), ("bukayo saka", None, None, False, 2)],
-                          TWIN_QUERY).withColumnRenamed("reference_player_name", "reference") \
+                          TWIN_QUERY) \
         .write.parquet(req_dir)
     schema = "reference string, max_age int, selected_leagues array<string>, " \
              "strict_position boolean, top_n int"
