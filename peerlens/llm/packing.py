@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-MAX_WORDS = 400_000     # cached words, and as many cached parts, per worker
+MAX_WORDS = 200_000     # cached words, and as many cached parts, per worker
 MAX_CACHED = 40         # longer words are not cached
 
 #: ASCII and Latin letters that normalizing leaves alone and that lower-case one to one.

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 20        # bytes hashed at once
-CHUNK_BYTES = 4 << 20   # text bytes per kernel call
+CHUNK_BYTES = 2 << 20   # text bytes per kernel call
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
