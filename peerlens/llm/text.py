@@ -78,13 +78,12 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base = starts[i]
         j = int(np.searchsorted(ends, base + WINDOW, "right"))
         if j <= i:                      # one word longer than the window
-            total = np.uint64(0)
-            scale = np.ones(1, np.uint64)
+            total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
             for at in range(int(base), int(ends[i]), WINDOW):
                 part = _BYTE[data[at:min(at + WINDOW, int(ends[i]))]]
-                total = total + (part * _POW[:len(part)]).sum(dtype=np.uint64) * scale[0]
-                scale = scale * _POW[WINDOW]
-            out[i] = total
+                total += (part * _POW[:len(part)]).sum(dtype=np.uint64, keepdims=True) * scale
+                scale *= _POW[WINDOW]
+            out[i] = total[0]
             i += 1
             continue
         span = _BYTE[data[base:ends[j - 1]]] * _POW[:ends[j - 1] - base]
