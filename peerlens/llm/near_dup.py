@@ -47,6 +47,7 @@ HASHES, BANDS = 128, 32
 MISS = 1e-7                     # per checkpoint of the sequential test
 CHECKPOINTS = (16, 32, 64, 128)
 SLOTS = 1 << 16                 # counters that order shingles from rare to common
+BEFORE = 6                      # preceding shingles that a prefix row carries
 BROADCAST_IDS = 1_000_000       # ids (8 MB) up to which a filter is broadcast
 
 _RNG = np.random.default_rng(75)
@@ -310,11 +311,21 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _before(hashes: np.ndarray, rows: np.ndarray, place: np.ndarray) -> pa.Array:
+    """Per row the up to ``BEFORE`` hashes that precede it in its document."""
+    n = np.minimum(place, BEFORE)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    index = np.repeat(rows - n - offsets[:-1], n) + np.arange(offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
+                                    pa.array(hashes[index].view(np.int64)))
+
+
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """(shingle, node, c, stray, rest, size, s0, s1): of every set the rarest
-    quarter of its shingles.  ``rest`` is the number of shingles from this one
-    on, in the order from rare to common (estimated by slot, then by hash);
-    ``s0`` and ``s1`` are the lowest bits of the signature."""
+    """(shingle, node, c, stray, rest, size, s0, s1, before): of every set the
+    rarest quarter of its shingles.  ``rest`` is the number of shingles from
+    this one on, in the order from rare to common (estimated by slot, then by
+    hash, the same in all sets); ``s0`` and ``s1`` are the lowest bits of the
+    signature; ``before`` holds the shingles just before this one."""
     shared = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,15 +344,17 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 o = pa.array(owner[take])
                 bits = np.packbits((signatures(h, offsets) & 1).astype(np.uint8), axis=1)
                 bits = np.ascontiguousarray(bits).view(np.int64)[owner[take]]
+                h = h[by]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[by][take].view(np.int64)), part.column("node").take(o),
+                    [pa.array(h[take].view(np.int64)), part.column("node").take(o),
                      part.column("c").take(o), part.column("stray").take(o),
                      pa.array((size[owner] - place)[take]), pa.array(size[owner][take]),
-                     pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
-                    names=["shingle", "node", "c", "stray", "rest", "size", "s0", "s1"])
+                     pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
+                     _before(h, np.flatnonzero(take), place[take])],
+                    names=["shingle", "node", "c", "stray", "rest", "size", "s0", "s1", "before"])
 
     return texts.mapInArrow(run, "shingle long, node long, c long, stray boolean, rest long, "
-                                 "size long, s0 long, s1 long")
+                                 "size long, s0 long, s1 long, before array<long>")
 
 
 def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
@@ -352,7 +365,10 @@ def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataF
     A pair can only be linked if the rarest shingle that both sets hold leaves
     both of them enough of the rest: |A and B| >= t / (1 + t) (|A| + |B|).  So
     an equality join on the rare prefixes finds every such pair, and a family
-    whose members keep their distance does not emit its pairs."""
+    whose members keep their distance does not emit its pairs.  A row whose
+    sets share one of the shingles just before it is not the rarest one of its
+    pair, which has a row of its own, so it is left out; a pair of strays comes
+    from its smaller node only."""
     placed = (members.join(groups.select("node", F.col("component").alias("c")), "node", "left")
               .join(groups.select(F.col("node").alias("centre"), F.col("component").alias("cc")),
                     "centre", "left")
@@ -368,15 +384,19 @@ def _unresolved(members: DataFrame, groups: DataFrame, docs: DataFrame) -> DataF
     prefixes = stored(_prefixes(texts), "prefixes")
     left = prefixes.where("stray").select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"),
                                           F.col("rest").alias("rx"), F.col("size").alias("nx"),
-                                          F.col("s0").alias("x0"), F.col("s1").alias("x1"))
-    right = prefixes.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"),
+                                          F.col("s0").alias("x0"), F.col("s1").alias("x1"),
+                                          F.col("before").alias("bx"))
+    right = prefixes.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"), "stray",
                             F.col("rest").alias("ry"), F.col("size").alias("ny"),
-                            F.col("s0").alias("y0"), F.col("s1").alias("y1"))
+                            F.col("s0").alias("y0"), F.col("s1").alias("y1"),
+                            F.col("before").alias("by"))
     enough = (F.least("rx", "ry") * (100 + THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD)
     # a first look at the signatures: a bit agrees with chance (1 + similarity) / 2
     differ = (F.bit_count(F.col("x0").bitwiseXOR(F.col("y0")))
               + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))))
     most = HASHES - least_matches(HASHES, MISS, (1 + THRESHOLD / 100) / 2)
-    pairs = left.join(right, "shingle").where((F.col("cx") != F.col("cy")) & enough
-                                              & (differ <= most))
+    once = ~F.col("stray") | (F.col("x") < F.col("y"))
+    first = ~F.arrays_overlap("bx", "by")
+    pairs = left.join(right, "shingle").where((F.col("cx") != F.col("cy")) & once & enough
+                                              & (differ <= most) & first)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
