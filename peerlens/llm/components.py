@@ -6,7 +6,7 @@ join on node ids; no task holds a component or a node's neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from peerlens.session import stored
@@ -29,21 +29,24 @@ def _small_star(e: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges with their number and checksum, taken while writing."""
+    seen = Observation()
+    marks = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    e = stored(e.observe(seen, *marks), "edges")
+    return e, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); the
     component is its smallest node."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"),
-                                            F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _mark(e)
+    e, mark = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"),
+                                                 F.least("a", "b").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        e = stored(_small_star(_large_star(e)), "edges")
-        if (now := _mark(e)) == mark:
+        e, now = _kept(_small_star(_large_star(e)))
+        if now == mark:
             break
         mark = now
     else:

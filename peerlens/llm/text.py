@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 20        # bytes hashed at once
+WINDOW = 1 << 16        # bytes hashed at once, a bound of the kernel's arrays
 CHUNK_BYTES = 2 << 20   # text bytes per kernel call
 
 _RNG = np.random.default_rng(20240229)
