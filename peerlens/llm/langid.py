@@ -11,7 +11,9 @@ that a share of ``MISS`` of a held-out part of the sample passes, and by
 
 Models are fitted on a bounded sample: per language at most ``TRAIN_ROWS``
 texts of up to ``TRAIN_CHARS`` characters, those with the smallest id hash,
-for the ``MAX_LANGS`` most frequent languages.  Every text is judged whole.
+for the ``MAX_LANGS`` most frequent languages.  A task fits and calibrates a
+language, counting ``FIT_SYMBOLS`` at a time; the driver gets only the tables.
+Every text is judged whole.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and
 rejected; ties go to the alphabetically first language; null ids and null
@@ -26,13 +28,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from peerlens.llm.text import chunks, mix, owners, words
 
 ORDER = 4
 TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 400, 20_000, 64
+SPARE = 4                   # rows per training row that the window ranks
+FIT_SYMBOLS = 1 << 18       # symbols counted at once
 MISS, MARGIN, SIGMAS = 0.001, 1.5, 4.0
 LEAST_LIMIT = 1.5           # bits per symbol
 UNKNOWN_SYMBOLS = 2000      # symbols that share the mass of unseen ones
@@ -121,17 +125,42 @@ class Models(NamedTuple):
         return -np.log2(p)
 
 
+def _batches(texts: list[str]) -> Iterator[np.ndarray]:
+    """The symbols of the texts, some ``FIT_SYMBOLS`` (a text at least) at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 1
+        if size >= FIT_SYMBOLS:
+            yield symbols(code_points("\n".join(held)))
+            held, size = [], 0
+    if held:
+        yield symbols(code_points("\n".join(held)))
+
+
+def _longest(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the n-grams of the longest order, and per such n-gram its
+    hashes and its contexts' hashes [order][n-gram]."""
+    grams = ctx = np.zeros((ORDER, 0), np.uint64)
+    count = np.zeros(0, np.int64)
+    for c in _batches(texts):
+        at, new = events(c)
+        around = contexts(c, at)
+        _, first, n = np.unique(new[-1], return_index=True, return_counts=True)
+        grams = np.concatenate([grams, new[:, first]], axis=1)
+        ctx = np.concatenate([ctx, around[:, first]], axis=1)
+        _, first, inverse = np.unique(grams[-1], return_index=True, return_inverse=True)
+        count = np.bincount(inverse, weights=np.r_[count, n], minlength=len(first)).astype(np.int64)
+        grams, ctx = grams[:, first], ctx[:, first]
+    return count, grams, ctx
+
+
 def _kneser_ney(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per order: n-gram hashes, their discounted shares, contexts, masses left."""
-    c = symbols(code_points("\n".join(texts)))
-    at, grams = events(c)
-    ctx = contexts(c, at)
-    out = []
-    count = None
+    count, grams, ctx = _longest(texts)
+    keys, first, out = grams[-1], np.arange(len(count)), []
     for k in range(ORDER - 1, -1, -1):
-        if count is None:
-            keys, first, count = np.unique(grams[k], return_index=True, return_counts=True)
-        else:       # continuation counts: distinct longer n-grams that end in it
+        if k < ORDER - 1:       # continuation counts: distinct longer n-grams that end in it
             keys, pick, count = np.unique(grams[k][first], return_index=True, return_counts=True)
             first = first[pick]
         n1, n2 = (count == 1).sum(), (count == 2).sum()
@@ -143,35 +172,50 @@ def _kneser_ney(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
     return out[::-1]
 
 
-def fit(samples: dict[str, list[str]]) -> Models | None:
-    """Models of the languages, fitted on three of four texts; the fourth ones
-    calibrate the rejection (all, if there are fewer than four)."""
-    samples = {lang: [t for t in texts if symbols(code_points(t)).any()] for lang, texts in samples.items()}
-    langs = sorted(lang for lang, texts in samples.items() if texts)
-    if not langs:
+def pooled(every: list[Models]) -> Models | None:
+    """The models of some languages as one, each with the values it had alone."""
+    every = sorted(every, key=lambda m: m.langs)
+    if not every:
         return None
-    own = [_kneser_ney([t for k, t in enumerate(samples[x]) if k % 4 or len(samples[x]) < 4])
-           for x in langs]
-
-    def pooled(k: int, keys: int, values: int, absent: float) -> Table:
-        every = np.unique(np.concatenate([m[k][keys] for m in own]))
-        table = np.full((len(every), len(langs)), absent, np.float32)
-        for col, m in enumerate(own):
-            table[np.searchsorted(every, m[k][keys]), col] = m[k][values]
-        return Table(every, table)
-
-    models = Models(langs, [pooled(k, 0, 1, 0.0) for k in range(ORDER)],
-                    [pooled(k, 2, 3, 1.0) for k in range(ORDER)], *np.zeros((3, len(langs))))
-    for col, lang in enumerate(langs):
-        texts = [t for k, t in enumerate(samples[lang]) if k % 4 == 0] or samples[lang]
-        bits, n = code_lengths(models, pa.array(texts, pa.string()))
-        models.mean[col] = bits[:, col].sum() / n.sum()
-        c = symbols(code_points("\n".join(texts)))
-        at, grams = events(c)
-        models.spread[col] = models.bits(grams, contexts(c, at))[:, col].std()
-        excess = bits[:, col] / n - models.mean[col]
-        models.limit[col] = max(LEAST_LIMIT, MARGIN * np.quantile(excess, 1 - MISS))
-    return models
+
+    def table(parts: list[Table], absent: float) -> Table:
+        keys = np.unique(np.concatenate([t.keys for t in parts]))
+        values = np.full((len(keys), len(parts)), absent, np.float32)
+        for col, t in enumerate(parts):
+            values[np.searchsorted(keys, t.keys), col] = t.values[:, 0]
+        return Table(keys, values)
+
+    return Models([m.langs[0] for m in every],
+                  [table([m.seen[k] for m in every], 0.0) for k in range(ORDER)],
+                  [table([m.left[k] for m in every], 1.0) for k in range(ORDER)],
+                  *(np.concatenate([m[k] for m in every]) for k in (3, 4, 5)))
+
+
+def fit_language(lang: str, texts: list[str]) -> Models | None:
+    """The model of one language, fitted on three of four texts; the fourth
+    ones calibrate the rejection (all, if there are fewer than four).  None
+    if no text has a letter."""
+    texts = [t for t in texts if symbols(code_points(t)).any()]
+    if not texts:
+        return None
+    orders = _kneser_ney([t for k, t in enumerate(texts) if k % 4 or len(texts) < 4])
+    tables = [[Table(o[k], o[k + 1].astype(np.float32)[:, None]) for o in orders] for k in (0, 2)]
+    model = Models([lang], *tables, *np.zeros((3, 1)))
+    texts = texts[::4]
+    bits, n = code_lengths(model, pa.array(texts, pa.string()))
+    model.mean[0] = bits.sum() / n.sum()
+    coded = [model.bits(grams, contexts(c, at))[:, 0]
+             for c in _batches(texts) for at, grams in [events(c)]]
+    model.spread[0] = np.concatenate(coded).std()
+    excess = bits[:, 0] / n - model.mean[0]
+    model.limit[0] = max(LEAST_LIMIT, MARGIN * np.quantile(excess, 1 - MISS))
+    return model
+
+
+def fit(samples: dict[str, list[str]]) -> Models | None:
+    """Models of the languages of a sample."""
+    found = [fit_language(lang, texts) for lang, texts in samples.items()]
+    return pooled([m for m in found if m])
 
 
 def code_lengths(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -231,31 +275,54 @@ def identify(models: Models | None, column: pa.Array) -> tuple[list[str], np.nda
 
 
 def sample(docs: DataFrame, use: F.Column, id_col: str = "doc_id", text_col: str = "text",
-           lang_col: str = "lang") -> dict[str, list[str]]:
-    """The training texts by language, from rows for which ``use`` holds."""
+           lang_col: str = "lang") -> DataFrame:
+    """(lang, h, text): the training texts, from rows for which ``use`` holds.
+
+    Only rows with a hash below a language's bound, ``SPARE`` times the sample
+    on average, reach the window, so no task ranks a language's rows."""
     usable = docs.where(use & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-                        & F.length(text_col).between(1, TRAIN_CHARS))
-    langs = [r[0] for r in usable.groupBy(lang_col).count()
-             .orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()]
-    if not langs:
-        return {}
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = (usable.where(F.col(lang_col).isin(langs)).select(id_col, lang_col)
-              .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_ROWS)
-              .select(F.col(id_col).alias("_id")).distinct())
-    rows = (usable.join(F.broadcast(picked), F.col(id_col) == F.col("_id"))     # bounded
-            .select(lang_col, F.xxhash64(id_col).alias("h"), text_col)
-            .dropDuplicates([lang_col, "h"]).collect())
-    out: dict[str, list[str]] = {}
-    for lang, _, text in sorted((r for r in rows if r[0] in langs), key=lambda r: (r[0], r[1])):
-        out.setdefault(lang, []).append(text)
-    return out
+                        & F.length(text_col).between(1, TRAIN_CHARS)).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    below = F.lit(False)
+    for lang, n in langs:
+        bound = min(2**63 - 1, -2**63 + int(2**64 * min(1.0, SPARE * TRAIN_ROWS / n)))
+        below = below | ((F.col("lang") == lang) & (F.col("h") <= F.lit(bound)))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    return (usable.where(below).groupBy("lang", "h").agg(F.min("text").alias("text"))
+            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_ROWS)
+            .select("lang", "h", "text"))
+
+
+def _fitted(table: pa.Table) -> pa.Table:
+    """A language's sample as a row of its model's arrays."""
+    table = table.sort_by("h")
+    lang = table.column("lang")[0].as_py()
+    model = fit_language(lang, table.column("text").to_pylist())
+    row = {"lang": lang}
+    if model:
+        row["numbers"] = [float(x[0]) for x in model[3:]]
+        row["keys"] = [t.keys.tobytes() for t in [*model.seen, *model.left]]
+        row["shares"] = [t.values.tobytes() for t in [*model.seen, *model.left]]
+    return pa.Table.from_pylist([row] if model else [], pa.schema([
+        ("lang", pa.string()), ("numbers", pa.list_(pa.float64())),
+        ("keys", pa.list_(pa.binary())), ("shares", pa.list_(pa.binary()))]))
+
+
+def _model(row: Row) -> Models:
+    tables = [Table(np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)[:, None])
+              for k, v in zip(row["keys"], row["shares"])]
+    return Models([row["lang"]], tables[:ORDER], tables[ORDER:],
+                  *(np.array([x]) for x in row["numbers"]))
 
 
 def train(docs: DataFrame, use: F.Column | None = None, **columns):
     """Broadcast models, bounded by the sample."""
     use = F.lit(True) if use is None else use
-    return docs.sparkSession.sparkContext.broadcast(fit(sample(docs, use, **columns)))
+    rows = (sample(docs, use, **columns).groupBy("lang")
+            .applyInArrow(_fitted, "lang string, numbers array<double>, keys array<binary>, "
+                                   "shares array<binary>").collect())    # a row per language
+    return docs.sparkSession.sparkContext.broadcast(pooled([_model(r) for r in rows]))
 
 
 def predict(docs: DataFrame, models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
