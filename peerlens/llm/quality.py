@@ -7,7 +7,8 @@ repeat token.  Single tokens and pairs are hashed into ``BUCKETS`` weights;
 a text's features are their shares of the text, so length alone says nothing.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled texts, those with the
-smallest id hash; scoring covers every text whole.
+smallest id hash: tasks make their sparse rows, one task applies the updates
+in turn, the driver gets only the weights.  Scoring covers every text whole.
 
 Cases: a null or empty text has no feature and gets the score of the bias; a
 null id is scored but never trained on; of repeated labels of an id the
@@ -118,18 +119,22 @@ class Ftrl:
         return self._weights(self.z, self.n), float(self._bias())
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled texts, in the given order each epoch."""
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their values."""
+    buckets, values, _ = features(pa.array([text], pa.string()))
+    at, inverse = np.unique(buckets, return_inverse=True)
+    x = np.bincount(inverse, weights=values, minlength=len(at))
+    return at.astype(np.int32), x.astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """Weights and bias from (buckets, values, label) rows, shuffled each epoch."""
     learner = Ftrl()
-    rows = []
-    for text, y in zip(texts, labels):
-        buckets, values, _ = features(pa.array([text], pa.string()))
-        at, inverse = np.unique(buckets, return_inverse=True)
-        rows.append((at, np.bincount(inverse, weights=values, minlength=len(at)), y))
     order = np.random.default_rng(9)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
-            learner.update(*rows[k])
+            at, x, y = rows[k]
+            learner.update(at, x.astype(float), y)
     return learner.model()
 
 
@@ -142,20 +147,43 @@ def scores(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, use: F.Column, label_col: str = "quality",
-             id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_ROWS`` labelled texts of ids for which ``use`` holds."""
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y): at most ``TRAIN_ROWS`` labelled texts of ids for which
+    ``use`` holds."""
     usable = (labels.where(use & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-              .groupBy(id_col).agg(F.min(label_col).alias("y")))
+              .groupBy(id_col).agg(F.min(label_col).cast("int").alias("y")))
     picked = F.broadcast(usable.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS))
-    rows = (docs.select(id_col, text_col).join(picked, id_col).dropDuplicates([id_col])
-            .select(id_col, text_col, "y").limit(TRAIN_ROWS).collect())
-    rows.sort(key=lambda r: str(r[0]))
-    return [r[1] or "" for r in rows], [int(r[2]) for r in rows]
+    return (docs.select(id_col, text_col).join(picked, id_col)
+            .groupBy(F.col(id_col).cast("string").alias("id")).agg(
+                F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.first("y").alias("y")))
 
 
 def train(docs: DataFrame, labels: DataFrame, use: F.Column, **columns):
     """A broadcast model (``BUCKETS`` weights)."""
-    model = fit(*labelled(docs, labels, use, **columns))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                made = [sparse(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("y"),
+                     pa.array([at.tobytes() for at, _ in made], pa.binary()),
+                     pa.array([x.tobytes() for _, x in made], pa.binary())],
+                    names=["id", "y", "buckets", "x"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(r["id"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["x"], np.float32),
+                 r["y"]) for batch in batches for r in batch.to_pylist()]
+        held.sort(key=lambda r: r[0])
+        weights, bias = fit([r[1:] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()),
+                                          pa.array([bias])], names=["weights", "bias"])
+
+    # TRAIN_ROWS rows in the one task: the updates follow each other
+    row = (labelled(docs, labels, use, **columns)
+           .mapInArrow(rows, "id string, y int, buckets binary, x binary").repartition(1)
+           .mapInArrow(fitted, "weights binary, bias double").first())
+    model = (np.frombuffer(row["weights"]), row["bias"]) if row else Ftrl().model()
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
