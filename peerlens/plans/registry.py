@@ -110,8 +110,7 @@ def q_cohort_lookup(spark, sf):
 def q_lookup_ci(spark, sf):
     cust = parquet(spark, sf, "customer")
     q = cust.select(F.upper("c_name").alias("reference"))
-    names = cust.select(F.lower("c_name").alias("_l"), "c_custkey", "c_name")
-    return q.join(names, F.lower(q["reference"]) == names["_l"]).select(
+    return twins.resolve(cust, q, twins.ProfileSpec(key="c_custkey", name="c_name")).select(
         "reference", "c_custkey", "c_name")
 
 
@@ -304,7 +303,7 @@ def q_compat_counts(spark, sf):
 
 
 def q_recommender_eval(spark, sf):
-    p = profile(spark, sf)
+    p = _profile_once(spark, sf)
     ev = evaluate.evaluate(p, DIMS, SPEC, EVAL_K, part_secondary(parquet(spark, sf, "part")))
     return ev.select("k", "evaluated", "total", F.round("precision_pct", 6).alias("precision_pct"),
                      F.round("mrr", 6).alias("mrr"), "verdict")

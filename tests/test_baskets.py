@@ -119,3 +119,28 @@ def test_exact_against_brute_force(spark, monkeypatch):
         got = {r.scenario_id: r.keys for r in best_baskets(df, sc, SPEC, BS, prune=prune).collect()}
         assert got == want, (prune, grid)
     assert any(v is None for v in want.values()) and any(v is not None for v in want.values())
+
+
+def test_any_size_and_scenario_blocks_against_brute_force(spark, monkeypatch):
+    """Baskets of 1 and 4, in one and in several blocks of scenarios."""
+    import peerlens.operators.baskets as B
+    rnd = random.Random(11)
+    rows = [(f"p{i:02d}", f"P{i % 6}", "T", "L", "R", rnd.randint(18, 30), float(rnd.randint(1, 6) * 10),
+             float(rnd.randint(1, 6) * 20), float(rnd.randint(2, 8)), float(rnd.randint(1, 5)), 0.1,
+             float(rnd.choice([0.1, 0.2])), float(rnd.choice([1.0, 1.2]))) for i in range(18)]
+    df = spark.createDataFrame(rows, "player_name string, position string, team string, "
+                               "league string, primary_role string, age int, "
+                               "market_value_eur_m double, wage_gbp_k_pw double, "
+                               "progressive_passes_per90 double, tackles_interceptions_per90 double, "
+                               "xag_per90 double, npxg_per90 double, resale_potential_multiplier double")
+    scen = [(f"s{i}", k * float(rnd.randint(2, 5) * 10), k * float(rnd.randint(3, 6) * 20), k,
+             float(rnd.randint(22, 28)), k * float(rnd.randint(2, 5)), k * float(rnd.randint(1, 3)), 0.2 * k)
+            for i, k in enumerate([1, 1, 1, 4, 4, 4])]
+    items = [r.asDict() for r in B.basket_items(df, SPEC, BS).collect()]
+    want = {s[0]: _brute(items, s) for s in scen}
+    assert any(want.values()) and len({s[3] for s in scen if want[s[0]]}) > 1
+    for block, prune in ((3, True), (4096, False)):
+        monkeypatch.setattr(B, "MAX_SCENARIOS", block)
+        got = {r.scenario_id: r.keys
+               for r in best_baskets(df, _scen(spark, scen), SPEC, BS, prune=prune).collect()}
+        assert got == want, (block, prune)
