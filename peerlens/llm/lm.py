@@ -8,14 +8,17 @@ state has an arc per kept continuation and one failure arc, weighted by its
 backoff, to the state of the next shorter suffix.  One left-to-right pass
 over a text carries the state and adds up log10 probabilities.
 
-Distribution.  Word counts are exact and cover every training text; they stay
-a distributed table.  What is broadcast is bounded by shares of the corpus,
-at every size alike: a word is *frequent* when it makes up at least
-``WORD_SHARE`` of all tokens (at most 1/``WORD_SHARE`` words can), a word is a
-*state* from ``STATE_SHARE`` on, and an n-gram of state words is an arc from
-``ARC_SHARE`` on.  Rarer words take the failure arcs to the empty state, where
-a join with the count table gives their probability; no rare word fills a
-hot key, because a frequent one is never sent there.
+Distribution.  Words and n-grams are counted exactly over every training text
+and stay distributed tables; an n-gram is kept from ``LEAST`` occurrences on,
+whatever its words, so the model grows with the input.  The state after a
+token depends on the two tokens before it alone, so a text's score is a sum
+over its n-grams: every word, pair and triple has one value, in which the
+failure weights of the contexts are included.  Values of words that make up
+``WORD_SHARE`` of all tokens, and of n-grams of ``HOT_SHARE`` of the training
+tokens, are broadcast (at most one by the share of each, at every size); the
+others reach a text by a join, in which no key is hot, because a frequent one
+is never sent there.  A bit map of ``BITS`` bits keeps most n-grams without a
+value out of that join; where it is full it lets all pass.
 
 Cases: a null or empty text has only its end token; a null id counts as the
 empty id for the split; repeated rows are scored one by one; without training
@@ -38,12 +41,17 @@ from peerlens.llm.text import chunks, owners, words
 from peerlens.session import stored
 
 WORD_SHARE = 1e-6       # at most 10^6 frequent words, 16 MB
-STATE_SHARE = 2e-4      # at most 5,000 state words
-ARC_SHARE = 1e-6        # at most 10^6 arcs per order
+HOT_SHARE = 1e-5        # at most 10^5 broadcast n-grams per order
+LEAST = 2               # occurrences of a kept n-gram
+BITS = 27               # log2 of the bits of a map of kept n-grams
 DISCOUNT = 0.75         # of n-grams of two and three words
 SEGMENT = 256           # tokens a lockstep lane walks
 BUFFER = 1 << 21        # distinct keys a counting task holds before it emits them
 END = np.uint64(0x0F1E2D3C4B5A6978)     # the end token's hash
+#: Odd factors: a pair's key is LEFT * word + RIGHT * word, a triple's
+#: LEFT3 * pair + RIGHT3 * pair (mod 2^64), so key and context give the other part.
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LEFT3, RIGHT3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x165667B19E3779F9)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +64,21 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Sums integer columns by key in a bounded buffer of distinct keys."""
+    """Sums integer columns by key in a bounded buffer of distinct keys.
+    A column ``same``, equal in all rows of a key, is the last one."""
 
-    def __init__(self, columns: int):
+    def __init__(self, columns: int, same: bool = False):
         self.parts: list[np.ndarray] = []
-        self.held, self.columns = 0, columns
+        self.held, self.columns, self.same = 0, columns, same
 
-    def add(self, keys: np.ndarray, values: list[np.ndarray]) -> bool:
+    def add(self, keys: np.ndarray, values: list[np.ndarray],
+            same: np.ndarray | None = None) -> bool:
         """True if the buffer is full."""
-        uniq, at = np.unique(keys, return_inverse=True)
-        rows = np.empty((self.columns + 1, len(uniq)), np.int64)
+        uniq, one, at = np.unique(keys, return_index=True, return_inverse=True)
+        rows = np.empty((self.columns + 1 + self.same, len(uniq)), np.int64)
         rows[0] = uniq.view(np.int64)
+        if self.same:
+            rows[-1] = same[one].view(np.int64)
         for k, v in enumerate(values):
             rows[k + 1] = np.bincount(at, weights=v, minlength=len(uniq))
         self.parts.append(rows)
@@ -81,8 +93,10 @@ class _Counter:
         first = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
         merged = np.empty((len(rows), len(first)), np.int64)
         merged[0] = rows[0, first]
-        for k in range(1, len(rows)):
+        for k in range(1, self.columns + 1):
             merged[k] = np.add.reduceat(rows[k], first)
+        if self.same:
+            merged[-1] = rows[-1, first]
         self.parts, self.held = [merged], len(first)
 
     def take(self) -> Iterator[np.ndarray]:
@@ -124,7 +138,7 @@ class Unigrams(NamedTuple):
     n: int                  # N: training tokens
     v: int                  # V: distinct training tokens
     discount: float
-    states: np.ndarray      # positions in hashes of the state words
+    states: np.ndarray      # positions in hashes of the words with training counts
 
     def known(self, c):
         return (c - self.discount) / self.n
@@ -147,7 +161,7 @@ def unigrams(counts: DataFrame) -> Unigrams:
     hashes, train = hashes[order], frequent["train"].to_numpy(np.int64)[order]
     n1, n2 = s["n1"], s["n2"]
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
-    states = np.flatnonzero((train > 0) & (train >= STATE_SHARE * s["n"]))
+    states = np.flatnonzero(train > 0)
     return Unigrams(hashes, train, s["n"], s["v"], discount, states)
 
 
@@ -168,44 +182,156 @@ def _state_ids(state_hashes: np.ndarray, toks: np.ndarray) -> np.ndarray:
     return Lookup(state_hashes)(toks)
 
 
-def ngram_counts(docs: DataFrame, state_hashes: np.ndarray, bigrams: np.ndarray | None,
-                 least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (base-S numbers of state ids, sorted) and training counts of the
-    n-grams of state words that reach ``least``: pairs, or, given the kept
-    pairs, triples both of whose pairs are kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((state_hashes, bigrams))
+def ngrams(toks: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of the pairs and triples of a text that begin at each token, and
+    whether one does."""
+    if len(toks) < 2:
+        none = np.zeros(0, np.uint64)
+        return none, none.astype(bool), none, none.astype(bool)
+    owner = owners(offs)
+    two = LEFT * toks[:-1] + RIGHT * toks[1:]
+    three = LEFT3 * two[:-1] + RIGHT3 * two[1:]
+    return two, owner[:-1] == owner[1:], three, owner[:-2] == owner[2:]
+
+
+def ngram_counts(docs: DataFrame, kept: np.ndarray | None) -> DataFrame:
+    """(key, context, n): exact training counts of the pairs that occur
+    ``LEAST`` times, the context being the first word, or, given the bit map of
+    the kept pairs, of such triples, the context being the first pair."""
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = shared.value
-        size = len(hashes)
-        counter = _Counter(1)
+        bits = shared.value
+        counter = _Counter(1, same=True)
 
         def emit():
             for rows in counter.take():
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows],
+                                                 names=["key", "n", "context"])
         for batch in batches:
             for part in chunks(batch):
                 toks, offs = tokens(part)
-                ids = _state_ids(hashes, toks)
-                owner = owners(offs)
-                pair = (ids[:-1] >= 0) & (ids[1:] >= 0) & (owner[:-1] == owner[1:])
-                keys = ids[:-1] * size + ids[1:]
-                if kept is not None:
-                    pair &= Lookup(kept)(keys) >= 0
-                    pair, keys = pair[:-1] & pair[1:], keys[:-1] * size + ids[2:]
-                keys = keys[pair]
-                if counter.add(keys, [np.ones(len(keys))]):
+                two, in_two, three, in_three = ngrams(toks, offs)
+                if bits is None:
+                    keys, context = two[in_two], toks[:-1][in_two]
+                else:
+                    # a triple's pairs occur as often as it does
+                    pair = _held(bits, two)
+                    at = in_three & pair[:-1] & pair[1:]
+                    keys, context = three[at], two[:-1][at]
+                if counter.add(keys, [np.ones(len(keys))], context):
                     yield from emit()
         yield from emit()
 
-    partial = docs.where("train").select("text").mapInArrow(count, "key long, n long")
-    # at most 1 / ARC_SHARE rows reach the driver: each holds that share of the tokens
-    rows = (partial.groupBy("key").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= max(least, 1)).toPandas())
-    keys, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    partial = docs.where("train").select("text").mapInArrow(count, "key long, n long, context long")
+    return (partial.groupBy("key").agg(F.sum("n").alias("n"), F.max("context").alias("context"))
+            .where(F.col("n") >= LEAST))
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """2^BITS bits, set for the keys by their upper and lowest bits.  A task
+    makes a 256th of the map, so the driver gets the map alone."""
+    size = 1 << BITS - 14
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("key").to_numpy().view(np.uint64)
+        out = np.zeros(size, np.uint64)
+        np.bitwise_or.at(out, ((k >> np.uint64(70 - BITS)) & np.uint64(size - 1)).astype(np.int64),
+                         np.uint64(1) << (k & np.uint64(63)))
+        return pa.table({"at": [int(k[0] >> np.uint64(56))], "bits": [out.tobytes()]})
+
+    out = np.zeros((256, size), np.uint64)
+    for at, bits in keys.select("key").groupBy(F.shiftrightunsigned("key", 56)).applyInArrow(
+            run, "at long, bits binary").toLocalIterator():
+        out[at] = np.frombuffer(bits, np.uint64)
+    return out.reshape(-1)
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word = bits[(keys >> np.uint64(70 - BITS)).astype(np.int64)]
+    return (word >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _looked_up(table: DataFrame, key: F.Column, dim: DataFrame, hot: F.Column) -> DataFrame:
+    """``table`` with the row of ``dim`` (column ``k``, every key once) of its
+    key; frequent rows are broadcast, so that no key of the other join is hot."""
+    table = table.withColumn("_k", key)
+    often, others = F.broadcast(dim.where(hot)), dim.where(~hot)
+    near = table.join(often, F.col("_k") == F.col("k"))
+    far = (table.join(F.broadcast(dim.where(hot).select("k")), F.col("_k") == F.col("k"), "left_anti")
+           .join(others, F.col("_k") == F.col("k")))
+    return near.union(far).drop("_k", "k")
+
+
+def _parts(table: DataFrame, left: np.uint64, right: np.uint64) -> DataFrame:
+    """n-grams with ``other``, their part after the context."""
+    inverse = np.uint64(pow(int(right), -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, context = (c.to_numpy() for c in batch.columns)
+            other = (key.view(np.uint64) - left * context.view(np.uint64)) * inverse
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(other.view(np.int64))],
+                                             names=["key", "n", "context", "other"])
+
+    return table.select("key", "n", "context").mapInArrow(
+        run, "key long, n long, context long, other long")
+
+
+def values(docs: DataFrame, counts: DataFrame, uni: Unigrams,
+           order: int) -> tuple[DataFrame, np.ndarray | None]:
+    """(key, n, word, value): what every training word and kept n-gram adds to
+    a text's log10 probability, and the bit map of the kept n-grams.
+
+    A word's value is log10 of its probability and of its failure weight.  A
+    pair's is what its arc weighs more than the failure weight of its first
+    word and its last word's probability, and its own failure weight; a
+    triple's is the same a word longer."""
+    own = counts.where("train > 0").select(
+        F.col("word").alias("k"), F.col("train").alias("c"),
+        F.log10((F.col("train") - F.lit(uni.discount)) / F.lit(float(max(1, uni.n)))).alias("p"))
+    word = F.lit(True).alias("word")
+    if order < 2:
+        return own.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
+                          F.col("p").alias("value")), None
+
+    def backoff(arcs: DataFrame, shorter: str, states: DataFrame, c: str) -> DataFrame:
+        """``states`` (key k, count c) with log10 of the mass their arcs leave
+        over the mass that the shorter states' arcs leave."""
+        gone = arcs.groupBy(F.col("context").alias("k")).agg(
+            F.sum(F.col("n") - DISCOUNT).alias("_high"), F.sum(F.pow(F.lit(10.0), shorter)).alias("_low"))
+        left = F.greatest(1 - F.col("_high") / F.col(c), F.lit(1e-12))
+        under = F.greatest(1 - F.col("_low"), F.lit(1e-12))
+        return states.join(gone, "k", "left").withColumn(
+            "fail", F.coalesce(F.log10(left / under), F.lit(0.0))).drop("_high", "_low")
+
+    hot = F.col("c") >= HOT_SHARE * uni.n
+    pairs = stored(_looked_up(_parts(stored(ngram_counts(docs, None), "lm-pairs"), LEFT, RIGHT),
+                              F.col("other"), own, hot)
+                   .select("key", "n", "context", F.col("p").alias("last")), "lm-pairs")
+    states = stored(backoff(pairs, "last", own, "c"), "lm-words")
+    singles = states.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
+                            (F.col("p") + F.col("fail")).alias("value"))
+    arcs = _looked_up(pairs, F.col("context"), states, hot).select(
+        F.col("key").alias("k"), F.col("n").alias("c"),
+        F.log10((F.col("n") - DISCOUNT) / F.col("c")).alias("p"),
+        (F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("fail") - F.col("last")).alias("more"))
+    word = F.lit(False).alias("word")
+    if order < 3:
+        return singles.union(arcs.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
+                                         F.col("more").alias("value"))), _bit_map(pairs)
+    arcs = stored(arcs, "lm-arcs")
+    found = stored(ngram_counts(docs, _bit_map(pairs)), "lm-triples")
+    triples = stored(_looked_up(_parts(found, LEFT3, RIGHT3), F.col("other"),
+                                arcs.select("k", "c", "p"), hot)
+                     .select("key", "n", "context", F.col("p").alias("last")), "lm-triples")
+    arcs = stored(backoff(triples, "last", arcs, "c"), "lm-arcs")
+    doubles = arcs.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
+                          (F.col("more") + F.col("fail")).alias("value"))
+    three = _looked_up(triples, F.col("context"), arcs.select("k", "c", "fail"), hot).select(
+        "key", "n", word,
+        (F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("fail") - F.col("last")).alias("value"))
+    return singles.union(doubles).union(three), _bit_map(pairs.select("key").union(triples.select("key")))
 
 
 class Automaton:
@@ -322,17 +448,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          train.alias("train"))
     counts = stored(word_counts(source.select("text", "train")), "lm-counts")
     uni = unigrams(counts)
-    pairs = triples = None
-    if order >= 2 and len(uni.states):
-        pairs = ngram_counts(source, uni.hashes[uni.states], None, ARC_SHARE * uni.n)
-        if order >= 3 and len(pairs[0]):
-            triples = ngram_counts(source, uni.hashes[uni.states], pairs[0], ARC_SHARE * uni.n)
-    model = spark.sparkContext.broadcast((Automaton(uni, pairs, triples), uni.counts, uni.n, uni.v))
+    table, bits = values(source, counts, uni, order)
+    table = stored(table, "lm-values")
+    # at most 1 / HOT_SHARE rows per order, and the frequent words
+    hot = table.where(~F.col("word") & (F.col("n") >= HOT_SHARE * uni.n)).select("key", "value").toPandas()
+    keys = hot["key"].to_numpy(np.int64).view(np.uint64)
+    by_key = np.argsort(keys)
+    worth = np.full(len(uni.hashes), math.log10(uni.unknown))
+    frequent = table.where("word").join(
+        F.broadcast(spark.createDataFrame(pa.table({"key": uni.hashes.view(np.int64)}))
+                    if len(uni.hashes) else counts.where("false").select(F.col("word").alias("key"))),
+        "key").select("key", "value").toPandas()
+    worth[Lookup(uni.hashes)(frequent["key"].to_numpy(np.int64).view(np.uint64))] = frequent["value"]
+    model = spark.sparkContext.broadcast((uni.hashes, uni.counts, worth, keys[by_key],
+                                          hot["value"].to_numpy(float)[by_key], bits, uni))
     id_type = source.schema["id"].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, freq, n, v = model.value
-        find = Lookup(automaton.frequent)
+        frequent, freq, worth, often, weight, bits, uni = model.value
+        find, find_often = Lookup(frequent), Lookup(often)
+        log_unknown, log_none = math.log10(uni.unknown), -math.log10(uni.n + uni.v + 1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch):
@@ -340,24 +475,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 owner, docs_n = owners(offs), part.num_rows
                 uniq, inverse = np.unique(toks, return_inverse=True)
                 place = find(uniq)[inverse]
-                known = np.where(place >= 0, freq[place] if len(freq) else 0, 0)
                 held = place >= 0
-                base = np.where(held, np.log10((known + 1) / (n + v + 1)), 0.0)
-                rare = np.flatnonzero(~held)
-                # (document, word) groups of the rare words, words in hash order
-                o = rare[np.lexsort((inverse[rare], owner[rare]))]
-                new = np.r_[True, (owner[o][1:] != owner[o][:-1])
-                            | (inverse[o][1:] != inverse[o][:-1])][:len(o)]
+                known = np.where(held, freq[place] if len(freq) else 0, 0)
+                base = np.where(held, np.log10(known + 1) + log_none, log_none)
+                own = np.where(held, worth[place] if len(worth) else 0.0, log_unknown)
+                score = np.bincount(owner, weights=own, minlength=docs_n)
+                rare, whose = [toks[~held]], [owner[~held]]
+                if bits is not None:
+                    two, in_two, three, in_three = ngrams(toks, offs)
+                    for grams, at in ((two, in_two), (three, in_three if order > 2 else in_three & False)):
+                        at = np.flatnonzero(at)
+                        at = at[_held(bits, grams[at])]
+                        uniq, inverse = np.unique(grams[at], return_inverse=True)
+                        place = find_often(uniq)[inverse]
+                        held = place >= 0
+                        score += np.bincount(owner[at[held]], weights=weight[place[held]],
+                                             minlength=docs_n)
+                        rare.append(grams[at[~held]])
+                        whose.append(owner[at[~held]])
+                # (document, key) groups of what the join values
+                rare, whose = np.concatenate(rare), np.concatenate(whose)
+                o = np.lexsort((rare, whose))
+                rare, whose = rare[o], whose[o]
+                new = np.r_[True, (whose[1:] != whose[:-1]) | (rare[1:] != rare[:-1])][:len(o)]
                 first = np.flatnonzero(new)
                 times = np.diff(np.r_[first, len(o)])
-                bounds = np.searchsorted(owner[o[first]], np.arange(docs_n + 1)).astype(np.int32)
+                bounds = np.searchsorted(whose[first], np.arange(docs_n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row + np.arange(docs_n)), part.column("id"), part.column("train"),
                     pa.array(np.diff(offs)),
                     pa.array(np.bincount(owner, weights=known > 0, minlength=docs_n).astype(np.int64)),
                     pa.array(np.bincount(owner, weights=base, minlength=docs_n)),
-                    pa.array(automaton.score(toks, offs, place)),
-                    pa.ListArray.from_arrays(bounds, pa.array(toks[o[first]].view(np.int64))),
+                    pa.array(score),
+                    pa.ListArray.from_arrays(bounds, pa.array(rare[first].view(np.int64))),
                     pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32)))],
                     names=["row", "id", "train", "n_tokens", "n_known", "base", "score",
                            "rare", "times"])
@@ -367,15 +517,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         walk, f"row long, id {id_type}, train boolean, n_tokens long, n_known long, base double, "
               "score double, rare array<long>, times array<int>"), "lm-walked")
     rare = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select(
-        "row", F.col("z.rare").alias("word"), F.col("z.times").alias("times"))
-    c = F.coalesce(F.col("train"), F.lit(0))
-    log_unknown = math.log10(uni.unknown)
-    joined = rare.join(counts.where("train > 0").select("word", "train"), "word", "left")
-    sums = joined.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(uni.n + uni.v + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.when(c > 0, F.log10((c - uni.discount) / F.lit(float(max(1, uni.n)))))
-              .otherwise(F.lit(log_unknown))).alias("more_score"))
+        "row", F.col("z.rare").alias("key"), F.col("z.times").alias("times"))
+    # a rare word was taken as unknown, an n-gram as not kept: the rows add the difference
+    rest = table.where(F.col("word") | (F.col("n") < HOT_SHARE * uni.n)).select(
+        "key", F.col("word").cast("int").alias("known"),
+        F.when(F.col("word"), F.log10(F.col("n") + 1)).otherwise(0.0).alias("base"),
+        (F.col("value") - F.when(F.col("word"), F.lit(math.log10(uni.unknown))).otherwise(0.0)).alias("value"))
+    sums = rare.join(rest, "key").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("known")).alias("more_known"),
+        F.sum(F.col("times") * F.col("base")).alias("more_base"),
+        F.sum(F.col("times") * F.col("value")).alias("more_score"))
     zero = F.lit(0)
     return walked.drop("rare", "times").join(sums, "row", "left").select(
         F.col("id").alias(id_col), F.col("train"), "n_tokens",

@@ -151,6 +151,52 @@ def test_automaton_is_a_distribution_and_lanes_do_not_matter():
         assert got[d] == pytest.approx(total)
 
 
+@pytest.mark.parametrize("share", [1e-6, 1e-3, 1.0])
+def test_lm_keeps_every_repeated_ngram(spark, texts, share, monkeypatch):
+    """Against brute force, with words and n-grams broadcast, in part, or all joined."""
+    monkeypatch.setattr(lm, "WORD_SHARE", share)
+    monkeypatch.setattr(lm, "HOT_SHARE", share, raising=False)
+    texts = [*texts, "one two three one two three four", "rarely seen together", "rarely seen together too"]
+    rows = [(k, t, k % 7 != 2) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, train=F.col("train")).collect()}
+    c = Counter()
+    for _, t, train in rows:
+        toks = [*plain_words(t), None]
+        for n in (1, 2, 3) if train else ():
+            c.update(tuple(toks[i:i + n]) for i in range(len(toks) - n + 1))
+    ones = {g: n for g, n in c.items() if len(g) == 1}
+    total = sum(ones.values())
+    n1, n2 = (sum(n == k for n in ones.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
+    kept = defaultdict(list)
+    for g, n in c.items():
+        if len(g) > 1 and n >= 2:
+            kept[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] - d) / total if c[g] else d * len(ones) / total
+        if len(g) > 1 and c[g] >= 2:
+            return (c[g] - lm.DISCOUNT) / c[g[:-1]]
+        if len(g) == 3 and c[g[:-1]] < 2:
+            return p(g[1:])
+        return fail(g[:-1]) * p(g[1:])
+
+    memo = {}
+
+    def fail(h):
+        if h not in memo:
+            memo[h] = (max(1 - sum(p(g) for g in kept[h]), 1e-12)
+                       / max(1 - sum(p(g[1:]) for g in kept[h]), 1e-12))
+        return memo[h]
+
+    for k, t, _ in rows:
+        toks = [*plain_words(t), None]
+        want = sum(math.log10(p(tuple(toks[max(0, i - 2):i + 1]))) for i in range(len(toks)))
+        assert got[k] == pytest.approx(want), k
+
+
 # ---------------------------------------------------------------- op3
 def test_sharding(spark, docs, texts):
     rows = sharding.shard(docs.union(docs.limit(3)).union(
