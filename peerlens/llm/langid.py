@@ -1,19 +1,19 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has a model of ``ORDER`` characters over the letter runs of
-words (a run's start and end are symbols of their own).  The models of all
-languages share one sorted array of n-gram hashes per order; a row holds the
-languages' values.  A text gets the language whose model codes it with the
+words (a run's start and end are symbols of their own).  The models of
+``BLOCK`` languages share one sorted array of n-gram hashes per order; a row
+holds the languages' values.  A text gets the language whose model codes it with the
 fewest bits per symbol.  A text is *rejected* when even that is more than the
 language's own texts need: more than their mean by ``MARGIN`` times the excess
 that a share of ``MISS`` of a held-out part of the sample passes, and by
 ``SIGMAS`` standard errors of the text's own length.
 
 Models are fitted on a bounded sample: per language at most ``TRAIN_ROWS``
-texts of up to ``TRAIN_CHARS`` characters, those with the smallest id hash,
-for the ``MAX_LANGS`` most frequent languages.  A task fits and calibrates a
-language, counting ``FIT_SYMBOLS`` at a time; the driver gets only the tables.
-Every text is judged whole.
+texts, those with the smallest id hash, of each the first ``TRAIN_CHARS``
+characters; every language that occurs gets a model.  A task fits and
+calibrates a language, counting ``FIT_SYMBOLS`` at a time; the driver gets only
+the tables.  Every text is judged whole, by one block of languages after the other.
 
 Cases: a null text or one without a letter is ``und`` with score 0, and
 rejected; ties go to the alphabetically first language; null ids and null
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from peerlens.llm.text import chunks, mix, owners, words
 
 ORDER = 4
-TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 400, 20_000, 64
+TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
+BLOCK = 16                  # languages that share a table
 SPARE = 4                   # rows per training row that the window ranks
 FIT_SYMBOLS = 1 << 18       # symbols counted at once
 MISS, MARGIN, SIGMAS = 0.001, 1.5, 4.0
@@ -212,19 +213,27 @@ def fit_language(lang: str, texts: list[str]) -> Models | None:
     return model
 
 
+def blocks(every: list[Models]) -> list[Models]:
+    """The models of all languages in blocks, in alphabetical order."""
+    every = sorted(every, key=lambda m: m.langs)
+    return [pooled(every[i:i + BLOCK]) for i in range(0, len(every), BLOCK)]
+
+
 def fit(samples: dict[str, list[str]]) -> Models | None:
     """Models of the languages of a sample."""
     found = [fit_language(lang, texts) for lang, texts in samples.items()]
     return pooled([m for m in found if m])
 
 
-def code_lengths(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of every text under every language, and its number of symbols.
+def code_lengths(models: Models | list[Models], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of every text under every language (of one block or several),
+    and its number of symbols.
 
     Equal words are coded once: a run's code depends on the run alone."""
     w = words(column)
     docs = len(column)
-    total, n = np.zeros((docs, len(models.langs))), np.zeros(docs, np.int64)
+    every = models if isinstance(models, list) else [models]
+    total, n = np.zeros((docs, sum(len(m.langs) for m in every))), np.zeros(docs, np.int64)
     if len(w.hashes) == 0:
         return total, n
     # the word hash folds A-Z, and so does lower-casing
@@ -242,35 +251,39 @@ def code_lengths(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarr
         return total, n
     ctx = contexts(c, at)
     _, one, back = np.unique(grams[-1], return_index=True, return_inverse=True)
-    bits = models.bits(grams[:, one], ctx[:, one])
     # an event at a separator ends the word before it
     of = word[at] - gap[at]
-    bits = np.ascontiguousarray(bits.T)
-    per_word = [np.bincount(of, weights=b[back], minlength=len(first)) for b in bits]
-    length = np.bincount(of, minlength=len(first))
     owner = owners(w.offsets)
-    for col in range(len(models.langs)):
-        total[:, col] = np.bincount(owner, weights=per_word[col][inverse], minlength=docs)
+    col = 0
+    for m in every:
+        for b in np.ascontiguousarray(m.bits(grams[:, one], ctx[:, one]).T):
+            per_word = np.bincount(of, weights=b[back], minlength=len(first))
+            total[:, col] = np.bincount(owner, weights=per_word[inverse], minlength=docs)
+            col += 1
+    length = np.bincount(of, minlength=len(first))
     n = np.bincount(owner, weights=length[inverse], minlength=docs).astype(np.int64)
     return total, n
 
 
-def identify(models: Models | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def identify(models: Models | list[Models] | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether it is rejected, of every text."""
     docs = len(column)
-    if models is None:
+    if not models:
         return [UNDETERMINED] * docs, np.zeros(docs), np.ones(docs, bool)
     total, n = code_lengths(models, column)
+    every = models if isinstance(models, list) else [models]
+    langs = [lang for m in every for lang in m.langs]
+    mean, spread, limit = (np.concatenate([m[k] for m in every]) for k in (3, 4, 5))
     rate = total / np.maximum(n, 1)[:, None]
     best = rate.argmin(1)
     low = rate[np.arange(docs), best]
     odds = 2.0 ** -((rate - low[:, None]) * np.minimum(n, SHARPNESS)[:, None])
     none = n == 0
     score = np.where(none, 0.0, 1 / odds.sum(1))
-    error = models.spread[best] / np.sqrt(np.maximum(n, 1))
-    allowed = models.mean[best] + models.limit[best] + SIGMAS * error
-    names = np.array([*models.langs, UNDETERMINED], dtype=object)
-    lang = list(names[np.where(none, len(models.langs), best)])
+    error = spread[best] / np.sqrt(np.maximum(n, 1))
+    allowed = mean[best] + limit[best] + SIGMAS * error
+    names = np.array([*langs, UNDETERMINED], dtype=object)
+    lang = list(names[np.where(none, len(langs), best)])
     return lang, score, none | (low > allowed)
 
 
@@ -281,15 +294,16 @@ def sample(docs: DataFrame, use: F.Column, id_col: str = "doc_id", text_col: str
     Only rows with a hash below a language's bound, ``SPARE`` times the sample
     on average, reach the window, so no task ranks a language's rows."""
     usable = docs.where(use & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-                        & F.length(text_col).between(1, TRAIN_CHARS)).select(
+                        & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    below = F.lit(False)
-    for lang, n in langs:
-        bound = min(2**63 - 1, -2**63 + int(2**64 * min(1.0, SPARE * TRAIN_ROWS / n)))
-        below = below | ((F.col("lang") == lang) & (F.col("h") <= F.lit(bound)))
+    # a row per language, like the models
+    langs = F.broadcast(usable.groupBy(F.col("lang").alias("_lang")).agg(F.count("h").alias("_all")))
+    share = SPARE * TRAIN_ROWS / F.col("_all")
+    below = usable.join(langs, F.col("lang") == F.col("_lang")).where(
+        (share >= 1) | (F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)).select(
+        "lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    return (usable.where(below).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return (below.groupBy("lang", "h").agg(F.min("text").alias("text"))
             .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_ROWS)
             .select("lang", "h", "text"))
 
@@ -317,12 +331,12 @@ def _model(row: Row) -> Models:
 
 
 def train(docs: DataFrame, use: F.Column | None = None, **columns):
-    """Broadcast models, bounded by the sample."""
+    """Broadcast models in blocks, bounded by the sample of each language."""
     use = F.lit(True) if use is None else use
     rows = (sample(docs, use, **columns).groupBy("lang")
             .applyInArrow(_fitted, "lang string, numbers array<double>, keys array<binary>, "
                                    "shares array<binary>").collect())    # a row per language
-    return docs.sparkSession.sparkContext.broadcast(pooled([_model(r) for r in rows]))
+    return docs.sparkSession.sparkContext.broadcast(blocks([_model(r) for r in rows]))
 
 
 def predict(docs: DataFrame, models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -434,6 +434,25 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, untrained).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    """More languages than one block or any cap, and one of over-long texts only."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    names = [f"l{k:02d}" for k in range(70)]
+    syllables = {n: ["".join(rng.choice(letters, 3)) for _ in range(4)] for n in names}
+
+    def line(lang, n=40):
+        return " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(n))
+
+    rows = [(4 * i + k, line(n, 4500 if n == "l69" else 40), n)
+            for i, n in enumerate(names) for k in range(4)]
+    assert all(len(t) > 20_000 for _, t, n in rows if n == "l69")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+    assert langid.keep(docs, langid.train(docs)).count() == len(rows)
+
+
 def test_kneser_ney_sums_to_one():
     models = langid.fit({"a": ["banana bandana cabana"] * 3, "b": ["xyz zyx"] * 3})
     c = langid.symbols(langid.code_points("ban"))
