@@ -8,9 +8,10 @@
    hold the passages.  Only directions of that space can make a cosine with a
    benchmark item, so corpus passages need no other.
 3. Every corpus passage (two neighbouring blocks of ``BLOCK`` words, so
-   passages overlap by half)
-   is projected, and items with a cosine of ``COSINE`` or more are candidates.
-4. A candidate is aligned with the item by the words they share, and their
+   passages overlap by half) is projected, and items are cut into passages of
+   that size likewise; an item with a passage that has a cosine of ``COSINE``
+   or more is a candidate, however long it is.
+4. A candidate, as a whole, is aligned with the item by the words they share, and their
    longest common subsequence is taken there.  The document is contaminated
    by the item when the subsequence covers ``COPIED`` of the item, or
    ``PARAPHRASED`` of it with the answer, the item's last ``ANSWER`` words, in
@@ -19,8 +20,8 @@
 Words are runs of letters and digits without regard to case (Latin letters),
 so marks or capitals do not hide a copy.
 
-The benchmark is used in parts of at most ``PART`` items, each with a latent
-space of full rank; ``PARTS`` of them (some 64 MB) are broadcast per pass.
+The benchmark is used in parts of at most ``PART`` passages, each with a latent
+space of full rank (a long item may stand in several); ``PARTS`` of them (some 64 MB) are broadcast per pass.
 
 Cases: null or empty texts and items without a word take no part; documents
 shorter than a block are one passage, long ones are searched whole; repeated
@@ -51,14 +52,23 @@ TOKENS = 1 << 13        # tokens projected at once
 
 
 class Part(NamedTuple):
-    """Some items of the benchmark and their latent space."""
+    """Some passages of the benchmark and their latent space."""
 
     items: list[int]            # item ids
+    numbers: list[int]          # the items' numbers in their group of parts
     words: list[np.ndarray]     # their word hashes
+    owner: list[int]            # the item of each passage
+    begin: list[int]            # the first word of each passage in its item
     vocabulary: np.ndarray      # sorted hashes
     weight: np.ndarray          # idf by term (float32)
     space: np.ndarray           # terms x rank, rows weighted by idf
-    targets: np.ndarray         # rank x items, of unit TF-IDF vectors
+    targets: np.ndarray         # rank x passages, of unit TF-IDF vectors
+
+
+def passages_of(words_: int) -> list[int]:
+    """Where the passages of an item of so many words begin."""
+    last = words_ - 2 * BLOCK
+    return [*range(0, last, BLOCK), last] if last > 0 else [0]
 
 
 def _blocks(w) -> tuple[np.ndarray, np.ndarray]:
@@ -230,19 +240,27 @@ def _search(part: Part, screen: np.ndarray, column: pa.Array) -> Iterator[tuple[
     zp[follow] += z[follow + 1]
     np2[follow] += norm2[follow + 1]
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    tried: set[tuple[int, int, int]] = set()
     idf = None
     for i in range(0, len(own), 4096):
         cos = (zp[i:i + 4096] @ part.targets) / np.sqrt(np2[i:i + 4096] + 1e-12)[:, None]
         for p, k in zip(*np.nonzero(cos >= COSINE)):
-            row = int(doc_of[i + p])
-            old = best.get((row, int(k)))
+            row, passage = int(doc_of[i + p]), k
+            k = part.owner[passage]
+            old = best.get((row, k))
             if old and old[1] >= 0.95:
                 continue
+            at_word, n = int(own[i + p] - first[row]) * BLOCK, len(part.words[k])
+            if n > 2 * BLOCK:       # passages that put a long item in the same place
+                place = row, k, (at_word - part.begin[passage]) // max(2 * BLOCK, n // 8)
+                if place in tried:
+                    continue
+                tried.add(place)
             idf = idf or dict(zip(part.vocabulary.tolist(), part.weight.tolist()))
             doc = w.hashes[w.offsets[row]:w.offsets[row + 1]]
-            share, answer = compare(part.words[k], doc, int(own[i + p] - first[row]) * BLOCK, idf)
+            share, answer = compare(part.words[k], doc, at_word, idf)
             if old is None or share > old[1]:
-                best[row, int(k)] = float(cos[p, k]), share, answer
+                best[row, k] = float(cos[p, passage]), share, answer
     for (row, k), (cosine, share, answer) in best.items():
         if share >= COPIED or share >= PARAPHRASED and answer:
             yield row, k, cosine, share, answer
@@ -253,32 +271,43 @@ def parts(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     """The benchmark's parts, ``PARTS`` at a time.  ``docs``: column ``text``."""
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    count = items.count()
+    # an item's passages, at some six characters a word
+    long = F.greatest(F.lit(0), F.length("text") - 12 * BLOCK)
+    count = items.agg(F.coalesce(F.sum(1 + F.ceil(long / (6 * BLOCK))), F.lit(0))).first()[0]
     groups = max(1, -(-count // (PART * PARTS)))
     for g in range(groups):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
         rows = sorted(mine.collect(), key=lambda r: (r["item"], r["text"]))     # one group
-        hashes = [words(pa.array([r["text"]], pa.string()), MARKS, True).hashes for r in rows]
-        kept = [(r["item"], r["text"], h) for r, h in zip(rows, hashes) if len(h)]
+        kept, cut = [], []          # (id, words) of items; (item, first word, text) of passages
+        for r in rows:
+            w = words(pa.array([r["text"]], pa.string()), MARKS, True)
+            for begin in passages_of(n) if (n := len(w.hashes)) else ():
+                end = min(n, begin + 2 * BLOCK)
+                cut.append((len(kept), begin,
+                            w.data[w.starts[begin]:w.ends[end - 1]].tobytes().decode("utf-8", "replace")))
+            if n:
+                kept.append((r["item"], w.hashes))
         if not kept:
             continue
-        vocabulary = np.unique(np.concatenate([h for *_, h in kept]))
-        idf = weights(vocabulary, *word_frequencies(docs, vocabulary), [h for *_, h in kept])
-        numbered = [(k // PART, text) for k, (_, text, _) in enumerate(kept)]
+        vocabulary = np.unique(np.concatenate([h for _, h in kept]))
+        idf = weights(vocabulary, *word_frequencies(docs, vocabulary), [h for _, h in kept])
+        numbered = [(k // PART, text) for k, (*_, text) in enumerate(cut)]
         passages = stored(docs.sparkSession.createDataFrame(numbered, "part int, text string"),
                           "benchmark-passages")
         out = []
         for p in range(numbered[-1][0] + 1):
-            some = kept[p * PART:(p + 1) * PART]
-            vocab = np.unique(np.concatenate([h for *_, h in some]))
+            some = cut[p * PART:(p + 1) * PART]
+            mine = sorted({k for k, *_ in some})
+            vocab = np.unique(np.concatenate([kept[k][1] for k in mine]))
             weight = idf[np.searchsorted(vocabulary, vocab)]
             vocab, weight = vocab[weight > 0], weight[weight > 0]
             v = randomised_svd(passages, vocab, weight, min(RANK, len(some), len(vocab)), p)
             screen, targets = _screen(vocab), np.zeros((v.shape[1], len(some)), np.float32)
-            for k, (_, text, _) in enumerate(some):
+            for k, (*_, text) in enumerate(some):
                 for terms, values in tfidf_rows(pa.array([text], pa.string()), vocab, weight, screen):
                     targets[:, k] = values @ v[terms]
-            out.append(Part([i for i, *_ in some], [h for *_, h in some], vocab,
+            out.append(Part([kept[k][0] for k in mine], mine, [kept[k][1] for k in mine],
+                            [mine.index(k) for k, *_ in some], [begin for _, begin, _ in some], vocab,
                             weight.astype(np.float32), (v * weight[:, None]).astype(np.float32),
                             targets))
         yield out
@@ -300,15 +329,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             screens = [_screen(p.vocabulary) for p in shared.value]
             for batch in batches:
                 for piece in chunks(batch):
+                    best = {}       # an item of several parts is reported once
                     for part, screen in zip(shared.value, screens):
-                        found = list(_search(part, screen, piece.column("text")))
-                        if found:
-                            row, item, cosine, share, answer = zip(*found)
-                            yield pa.RecordBatch.from_arrays(
-                                [piece.column("id").take(pa.array(row)),
-                                 pa.array([part.items[k] for k in item], pa.int64()),
-                                 pa.array(cosine), pa.array(share), pa.array(answer)],
-                                names=["id", "item_id", "cosine", "lcs_share", "answer_found"])
+                        for row, k, *found in _search(part, screen, piece.column("text")):
+                            key = row, part.numbers[k]
+                            if key not in best or found[1] > best[key][3]:
+                                best[key] = row, part.items[k], *found
+                    if best:
+                        row, item, cosine, share, answer = zip(*best.values())
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column("id").take(pa.array(row)),
+                             pa.array(item, pa.int64()),
+                             pa.array(cosine), pa.array(share), pa.array(answer)],
+                            names=["id", "item_id", "cosine", "lcs_share", "answer_found"])
 
         out = out.union(source.mapInArrow(run, schema))
     return out.withColumnRenamed("id", id_col)

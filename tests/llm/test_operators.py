@@ -293,6 +293,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    """Items of many passages, one of several parts: copied, shortened, halved."""
+    rng = np.random.default_rng(16)
+    vocab = ["".join(rng.choice(list("abcdefghiklmnoprstuv"), 6)) for _ in range(6000)]
+    items = [list(rng.choice(vocab, n)) for n in (1000, 1000, 400, 55, 6200)]
+    kept = [1.0, 0.75, 0.55, 0.8, 1.0]
+    dirty = []
+    for w, share in zip(items, kept):
+        body = [x for x in w[:-4] if rng.random() < share]
+        dirty.append(" ".join([*rng.choice(vocab, 130), *body, *w[-4:], *rng.choice(vocab, 90)]))
+    clean = [" ".join(rng.choice(vocab, 700)) for _ in range(30)]
+    docs = spark.createDataFrame([*enumerate(dirty + clean)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)],
+                                  "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(k, k) for k in range(5)]
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(5, 35))
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(50):
