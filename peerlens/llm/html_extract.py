@@ -41,6 +41,7 @@ TRAIN_PAGES = 256
 TRAIN_CHARS = 100_000
 TAG_DIM, WORD_DIM, HIDDEN = 40, 12, 16
 PLANT_RATE, SHOWN = 0.3, 2      # boilerplate per block, changed copies per page
+USUAL = 24                      # names of a path up to which it is not scaled down
 EPOCHS, BATCH, RATE = 14, 32, 0.02
 
 #: Element names with fixed meaning in HTML.
@@ -163,8 +164,8 @@ _paths: dict[tuple[str, ...], np.ndarray] = {}
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     if (v := _paths.get(path)) is None:
-        at = [crc32(n.encode()) % 4096 for n in dict.fromkeys(path[-24:])] or [0]
-        v = _TAGS[at].sum(0) / 2
+        at = [crc32(n.encode()) % 4096 for n in dict.fromkeys(path)] or [0]
+        v = _TAGS[at].sum(0) / max(2, (len(at) / USUAL) ** 0.5 * 2)
         if len(_paths) < 20_000:
             _paths[path] = v
     return v

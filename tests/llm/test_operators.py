@@ -247,6 +247,30 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_whole_path_is_seen(spark):
+    many = " ".join(f"u{k}-{k % 7}" for k in range(20))
+    deep = "".join(f'<div class="w{k} {many}">' for k in range(4))
+    short, long = (html_extract.blocks(f"<{tag}>{deep}<p>x") for tag in ("article", "aside"))
+    assert len(short[0].path) > 24
+    assert not np.array_equal(html_extract.vectors(short), html_extract.vectors(long))
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+
+    def p():
+        return " ".join(rng.choice(vocab, 12)) + "."
+
+    rows, want = [], {}
+    for k in range(80):     # the same words and lengths, so that the ancestors alone tell
+        seq = [(rng.random() < 0.5, p()) for _ in range(10)]
+        html = "".join(f'<{t}>{deep}<p>{x}</p></div></div></div></div></{t}>'
+                       for m, x in seq for t in ["article" if m else "aside"])
+        rows.append((k, "u", f"<html><body>{html}"))
+        want[k] = "\n\n".join(x for m, x in seq if m)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == want
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     net = html_extract.BiLstm(3, 2)
