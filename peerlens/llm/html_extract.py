@@ -15,7 +15,9 @@ smallest id hash among those of at most ``TRAIN_CHARS`` characters.
 
 Text of a block: character references decoded, white space runs to one space,
 trimmed; blocks in page order joined by a blank line.  Scripts, styles and
-comments of the markup are no blocks.
+comments of the markup are no blocks.  A head ends at the first tag or text
+that cannot stand in it; another unseen element that has no end tag of its own
+ends at the first ``FLOW`` tag, found by a second reading of such a page.
 
 Cases: null or empty html gives an empty text; broken markup is read to its
 end; very long pages are read whole; repeated rows and null ids are extracted
@@ -50,10 +52,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNSEEN = frozenset("head script style template noscript title svg math iframe object select "
                    "textarea".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template "
+                    "title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("body article section main div nav aside footer header form table ul ol dl td th "
                    "blockquote figure".split())
+#: Tags of visible content: an unseen element left open ends there.
+FLOW = SCOPES | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr center address fieldset details "
+                          "dialog menu".split())
 #: Names of boilerplate, as elements or as parts of class and id names.
 BOILER_TAGS = frozenset("nav footer aside form button menu dialog header".split())
 BOILER_NAMES = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie disqus "
@@ -68,18 +75,26 @@ class Block(NamedTuple):
 
 
 class _Leaves(HTMLParser):
-    """Collects the blocks of a page."""
+    """Collects the blocks of a page.  ``loose``: where unseen elements begin
+    that are left open; ``left`` collects these places."""
 
-    def __init__(self):
+    def __init__(self, loose: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.loose, self.left, self.at = loose, set(), 0
+        self.begun: list[int] = []      # where the open unseen elements begin
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
 
     def updatepos(self, i, j):
+        self.at = j
         return j                # line numbers are not needed
 
+    def set_cdata_mode(self, *args, **kwargs):
+        if not (self.begun and self.begun[-1] in self.loose):
+            super().set_cdata_mode(*args, **kwargs)
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -88,12 +103,27 @@ class _Leaves(HTMLParser):
                 self.blocks.append(Block(path, text, self.linked))
             self.parts, self.linked = [], 0
 
-    def _pop(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.hidden -= tag in UNSEEN
+    def _pop(self, at: int, ended: bool = False) -> None:
+        """Close the elements from ``at`` on, the first by its end tag if ``ended``."""
+        for k in range(len(self.open) - 1, at - 1, -1):
+            tag = self.open[k][0]
+            if tag in UNSEEN:
+                self.hidden -= 1
+                begin = self.begun.pop()
+                if tag != "head" and not (ended and k == at):
+                    self.left.add(begin)
             self.links -= tag == "a"
         del self.open[at:]
 
+    def _end_hidden(self, tag: str) -> None:
+        """Close the unseen elements that cannot hold ``tag``."""
+        while self.hidden:
+            at = max(k for k, (name, _) in enumerate(self.open) if name in UNSEEN)
+            if not (tag not in IN_HEAD if self.open[at][0] == "head"
+                    else tag in FLOW and self.begun[-1] in self.loose):
+                return
+            self._pop(at)
+
     def _close_implied(self, tags: set[str]) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             tag = self.open[at][0]
@@ -104,6 +134,8 @@ class _Leaves(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            self._end_hidden(tag)
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -118,7 +150,9 @@ class _Leaves(HTMLParser):
             if key in ("class", "id", "role") and value:
                 names += ["." + v for v in re.split(r"[\s_-]+", value.lower()) if v]
         self.open.append((tag, tuple(names)))
-        self.hidden += tag in UNSEEN
+        if tag in UNSEEN:
+            self.hidden += 1
+            self.begun.append(self.at)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -131,10 +165,12 @@ class _Leaves(HTMLParser):
             self.flush()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self._pop(at)
+                self._pop(at, ended=True)
                 return
 
     def handle_data(self, data):
+        if self.hidden == 1 and self.open[-1][0] == "head" and not data.isspace():
+            self._end_hidden("")
         if not self.hidden:
             self.parts.append(data)
             if self.links:
@@ -145,10 +181,17 @@ def blocks(html: str | None) -> list[Block]:
     """The leaf sequence of a page (none for a null or empty page)."""
     if not html:
         return []
-    leaves = _Leaves()
-    leaves.feed(html)
-    leaves.close()
-    leaves.flush()
+    def read(loose: frozenset[int]) -> _Leaves:
+        leaves = _Leaves(loose)
+        leaves.feed(html)
+        leaves.close()
+        leaves.flush()
+        leaves._pop(0)
+        return leaves
+
+    leaves = read(frozenset())
+    if leaves.left:
+        leaves = read(frozenset(leaves.left))
     return leaves.blocks
 
 

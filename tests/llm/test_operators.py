@@ -247,6 +247,25 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_open_hidden_elements():
+    def text(html):
+        return [b.text for b in html_extract.blocks(html)]
+
+    body = "<article><p>One.</p><p>Two.</p></article>"
+    assert text(f"<html><head><title>T</title><meta x><body>{body}") == ["One.", "Two."]
+    assert text(f"<html><head><title>T</title>{body}</html>") == ["One.", "Two."]
+    assert text("<head><title>T</title>Bare text<p>One.") == ["Bare text", "One."]
+    assert text(f"<head><noscript><iframe>x</iframe></noscript></head><body>{body}") == ["One.", "Two."]
+    for tag in ("svg", "select", "object", "template", "noscript", "title", "textarea", "iframe",
+                "script", "style", "math"):
+        assert text(f"<body><div><{tag}>hidden{body}<p>Three.</div></body>") == ["One.", "Two.", "Three."], tag
+        if tag in ("svg", "math", "select", "object", "template", "noscript"):  # may hold elements
+            assert text(f"<body><{tag}>hidden{body}<{tag}>x</{tag}><p>Three.") == [
+                "One.", "Two.", "Three."], tag
+        assert text(f"<body><{tag}>hidden</{tag}>{body}") == ["One.", "Two."], tag
+    assert text("<body><svg><foreignObject><p>hidden</p></foreignObject></svg><p>One.") == ["One."]
+
+
 def test_html_whole_path_is_seen(spark):
     many = " ".join(f"u{k}-{k % 7}" for k in range(20))
     deep = "".join(f'<div class="w{k} {many}">' for k in range(4))
