@@ -16,8 +16,8 @@ over its n-grams: every word, pair and triple has one value, in which the
 failure weights of the contexts are included.  Values of words that make up
 ``WORD_SHARE`` of all tokens, and of n-grams of ``HOT_SHARE`` of the training
 tokens, are broadcast (at most one by the share of each, at every size); the
-others reach a text by a join, in which no key is hot, because a frequent one
-is never sent there.  A bit map of ``BITS`` bits keeps most n-grams without a
+others reach a text by a join, to which a frequent one is never sent (an n-gram
+is judged by the training texts; one that only the others repeat is joined).  A bit map of ``BITS`` bits keeps most n-grams without a
 value out of that join; where it is full it lets all pass.
 
 Cases: a null or empty text has only its end token; a null id counts as the
