@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import decontaminate, html_extract, langid, lm, packing, quality
+from peerlens.llm import (decontaminate, html_extract, langid, lm, multi_index, packing, quality,
+                          resample, vector_codes)
 from peerlens.llm.near_dup import near_duplicates
 from peerlens.llm.sharding import shard
 from peerlens.llm.topk import topk
@@ -86,6 +87,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(parquet(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(parquet(spark, sf_dir, "embeddings"),
+                                          F.col("id") % 50 == 0, k=5)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(parquet(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_scoring": op2_lm_scoring,
@@ -97,4 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_topk": op10_topk,
+    "op11_nearest": op11_nearest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resampling": op13_resampling,
 }
