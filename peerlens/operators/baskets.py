@@ -1,91 +1,23 @@
 """Best-value baskets of exactly k entities under budget constraints.
 
-Exact optimum for every scenario of a scenarios table, without a solver:
-
-1. *Item bounds* — an item can only be in a feasible k-basket of scenario
-   s if it passes each constraint with the k-1 other slots at their most
-   favourable global value (min fee, min wage, min age, max floors).
-2. *Incumbent* — the best feasible basket among the top-M items per
-   (scenario, position) gives a value V* that the optimum must reach.
-3. *Value bound* — an item (and every partial basket) survives only if its
-   value plus the best values of distinct other positions can still reach V*.
-4. *Enumeration* — survivors are combined through a position-pair
-   dimension and then grown by one later position at a time, so every join
-   has equi keys on scenario and position: one-per-position holds by
-   construction, each unordered basket appears once, and a hot position
-   is spread over as many tasks as it has partner positions.  A partial
-   basket must pass all six constraints with its open slots at their most
-   favourable values.
-5. Best basket per scenario: value (rounded to 1e-9) desc, then the
-   sorted key list asc; scenarios with none get status ``infeasible``.
-
-Scenarios are parameters: blocks of some ``MAX_SCENARIOS`` of them at most
-are inlined as a literal array, so no join against them is needed; a larger
-table is answered block by block.  Any basket size from 1 on may occur; the
-work grows steeply with it.
+Exact optimum for every row of a scenarios table, without a solver: the market
+is stored once as trees of boxes (``descent.basket_index``) and one descent
+through them answers all scenarios, of any sizes, at once.  Best basket per
+scenario: value (to nine digits) desc, then the sorted key list asc; scenarios
+with none get status ``infeasible``.
 """
 
 from __future__ import annotations
 
-from math import factorial
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.operators.descent import (TOL, BasketIndex, basket_index,  # noqa: F401 (TOL: checks)
+                                        best_labels, descend)
 from peerlens.operators.market import composite_value_expr
 from peerlens.schemas import BasketSpec, ProfileSpec
 from peerlens.session import materialize as _materialize
 
-MAX_SCENARIOS = 4096  # per block, on average at most
-TOL = 1e-6          # constraint tolerance (solver-like)
-VTOL = 1e-7         # slack on value bounds (keeps pruning exact under rounding)
-TOP_M = {1: 48, 2: 48, 3: 10, 4: 4}    # larger baskets: 1
-GRID = 1024        # items per side of one pair-enumeration task (grid salting)
-GRID3 = 256        # third-member items per triple-enumeration task
-PAIRS_PER_BUCKET = 1_000_000  # (upper-bound) pairs per pair bucket of a third position
-MAX_PAIR_BUCKETS = 1024
-
-SCENARIO_FIELDS = ["fee_budget_m", "wage_ceiling_k_pw", "target_signings_count",
-                   "max_avg_age", "min_prog_passes", "min_defensive_actions",
-                   "min_creation_threat"]
-
-
-def _rint9(x: Column) -> Column:
-    return F.rint(x * F.lit(1e9)) / F.lit(1e9)
-
-
-def scenario_blocks(scenarios: DataFrame) -> list[DataFrame]:
-    """The scenario table in hash blocks that fit a literal array."""
-    n = -(-scenarios.count() // MAX_SCENARIOS)
-    block = F.pmod(F.xxhash64("scenario_id"), F.lit(n))
-    return [scenarios.where(block == b) for b in range(n)] if n > 1 else [scenarios]
-
-
-def scenario_literal(scenarios: DataFrame) -> tuple[Column, set[int]]:
-    """Collect a block's scenario parameters into a literal array; also
-    return the basket sizes present (only those plans are built)."""
-    rows = scenarios.select("scenario_id", *SCENARIO_FIELDS).collect()
-    structs = []
-    for r in rows:
-        k = int(r["target_signings_count"])
-        if k < 1:
-            raise ValueError(f"scenario {r['scenario_id']}: basket size {k} is below 1")
-        structs.append(F.struct(
-            F.lit(str(r["scenario_id"])).alias("sid"),
-            F.lit(float(r["fee_budget_m"])).alias("s_fee"),
-            F.lit(float(r["wage_ceiling_k_pw"])).alias("s_wage"),
-            F.lit(k).alias("k"),
-            F.lit(float(r["max_avg_age"])).alias("cap"),
-            F.lit(float(r["min_prog_passes"])).alias("f_prog"),
-            F.lit(float(r["min_defensive_actions"])).alias("f_def"),
-            F.lit(float(r["min_creation_threat"])).alias("f_cre")))
-    sizes = {int(r["target_signings_count"]) for r in rows}
-    if not structs:
-        return F.array().cast(
-            "array<struct<sid:string,s_fee:double,s_wage:double,k:int,cap:double,"
-            "f_prog:double,f_def:double,f_cre:double>>"), sizes
-    return F.array(*structs), sizes
-
 
 def basket_items(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec) -> DataFrame:
     """Normalised item rows; rows with a null input are left out (C17 counts them)."""
@@ -104,229 +36,33 @@ def basket_items(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec) -> Dat
     return items.where(ok)
 
 
-def _feasible_items(items: DataFrame, scen: Column) -> DataFrame:
-    """(scenario, item) rows passing the single-item bounds."""
-    g = items.agg(F.struct(
-        F.min("fee").alias("fee"), F.min("wage").alias("wage"), F.min("age").alias("age"),
-        F.max("prog").alias("prog"), F.max("dfn").alias("dfn"),
-        F.max("cre").alias("cre"))).scalar()
-    tol = F.lit(TOL)
-    gcols = ["fee", "wage", "age", "prog", "dfn", "cre"]
-    with_g = items.select("*", *[g[c].alias(f"_g{c}") for c in gcols])
-
-    def ok(s):
-        k1 = (s["k"] - 1).cast("double")
-        return ((F.col("fee") + k1 * F.col("_gfee") <= s["s_fee"] + tol)
-                & (F.col("wage") + k1 * F.col("_gwage") <= s["s_wage"] + tol)
-                & ((F.col("age") - s["cap"]) + k1 * (F.col("_gage") - s["cap"]) <= tol)
-                & (F.col("prog") + k1 * F.col("_gprog") >= s["f_prog"] - tol)
-                & (F.col("dfn") + k1 * F.col("_gdfn") >= s["f_def"] - tol)
-                & (F.col("cre") + k1 * F.col("_gcre") >= s["f_cre"] - tol))
-
-    return (with_g.select("*", F.explode(F.filter(scen, ok)).alias("s"))
-                  .select("s.*", *items.columns))
-
-
-PARAMS = ["k", "s_fee", "s_wage", "cap", "f_prog", "f_def", "f_cre"]
-ITEM = ["key", "pos", "fee", "wage", "age", "prog", "dfn", "cre", "value"]
-
-
-def _side(fi: DataFrame, tag: str, with_params: bool = False) -> DataFrame:
-    cols = [F.col("sid"), F.col("pos").alias(f"p{tag}")]
-    if with_params:
-        cols += [F.col(p) for p in PARAMS]
-    cols += [F.col(c).alias(f"{c}_{tag}") for c in ITEM if c != "pos"]
-    return fi.select(*cols)
-
+def market_index(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
+                 prune: bool = True) -> BasketIndex:
+    """The stored search trees of a market, for any number of ``best_baskets``."""
+    return basket_index(basket_items(market, spec, bspec), prune)
 
-def _sum(name: str, tags: list[str]) -> Column:
-    e = None
-    for t in tags:
-        e = F.col(f"{name}_{t}") if e is None else e + F.col(f"{name}_{t}")
-    return e
 
-
-def _best_other(tops: Column, excluded: list[Column], need: int) -> Column:
-    """Sum of the best ``need`` position maxima outside ``excluded``."""
-    def outside(t):
-        cond = F.lit(True)
-        for e in excluded:
-            cond = cond & (t["p"] != e)
-        return cond
-    vals = F.transform(F.slice(F.filter(tops, outside), 1, need), lambda t: -t["npv"])
-    return F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _within(tags: list[str], open_slots: int = 0) -> Column:
-    """The six constraints for the members ``tags``; open slots count with
-    the scenario's most favourable values (columns g_*)."""
-    tol = F.lit(TOL)
-
-    def total(name):
-        own = _sum(name, tags)
-        return own + F.lit(float(open_slots)) * F.col(f"g_{name}") if open_slots else own
-
-    excess = F.col(f"age_{tags[0]}") - F.col("cap")
-    for t in tags[1:]:
-        excess = excess + (F.col(f"age_{t}") - F.col("cap"))
-    if open_slots:
-        excess = excess + F.lit(float(open_slots)) * (F.col("g_age") - F.col("cap"))
-    return ((total("fee") <= F.col("s_fee") + tol) & (total("wage") <= F.col("s_wage") + tol)
-            & (excess <= tol) & (total("prog") >= F.col("f_prog") - tol)
-            & (total("dfn") >= F.col("f_def") - tol) & (total("cre") >= F.col("f_cre") - tol))
-
-
-def _enumerate(fi: DataFrame, k: int, gbest: DataFrame, bound: DataFrame | None = None
-               ) -> DataFrame:
-    """Feasible k-baskets of the (scenario, item) rows ``fi``.
-
-    Pairs are joined through the position-pair dimension (pa < pb) with
-    equi keys only; grid salting hashes the items of a (scenario, position)
-    into ns = ceil(count / GRID) salts and replicates each side over the
-    other side's salts, so one task joins at most GRID x GRID items even
-    when a position holds a third of all rows.  Each further member comes
-    from a later position: partial baskets meet it on (sid, position, bucket,
-    salt).  They are hashed into buckets sized from an upper bound of their
-    count, its items into ceil(count / GRID3) salts, each side replicated over
-    the other's.  Every side is explicitly partitioned on its join keys (small
-    inputs, large output: size-based coalescing must not pack them in one
-    task)."""
-    tags = [f"m{j}" for j in range(k)]
-    if k == 1:
-        return _baskets(_side(fi, tags[0], with_params=True), tags)
-    nparts = int(fi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pos = fi.groupBy("sid", "pos").agg(F.count(F.lit(1)).alias("cnt"))
-
-    def salts(grid: int) -> Column:
-        return F.ceil(F.col("cnt") / F.lit(float(grid))).cast("int")
-
-    pa, pb = (f"p{t}" for t in tags[:2])
-    pdim = (pos.select("sid", F.col("pos").alias(pa), salts(GRID).alias("nsa"))
-            .join(pos.select("sid", F.col("pos").alias(pb), salts(GRID).alias("nsb")), "sid")
-            .where(F.col(pa) < F.col(pb)))
-    keys = ["sid", pa, pb, "sa", "sb"]
-    xa = (pdim.join(_side(fi, tags[0], with_params=True), ["sid", pa])
-          .withColumn("sa", F.pmod(F.xxhash64(f"key_{tags[0]}"), F.col("nsa")).cast("int"))
-          .withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nsb") - 1)))
-          .drop("nsa", "nsb").repartition(nparts, *keys))
-    xb = (pdim.join(_side(fi, tags[1]), ["sid", pb])
-          .withColumn("sb", F.pmod(F.xxhash64(f"key_{tags[1]}"), F.col("nsb")).cast("int"))
-          .withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("nsa") - 1)))
-          .drop("nsa", "nsb").repartition(nparts, *keys))
-    combos = xa.join(xb, keys).drop("sa", "sb")
-    # partial baskets per later position: at most (items before it)^m / m!
-    below = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cnt").over(below), F.lit(0)).cast("double")
-    for m in range(2, k):
-        own, tag = tags[:m], tags[m]
-        # gbest / bound have one row per scenario of the block: broadcast.
-        combos = (combos.join(F.broadcast(gbest), "sid").where(_within(own, k - m))
-                  .drop(*[c for c in gbest.columns if c != "sid"]))
-        if bound is not None:
-            rest = _best_other(F.col("tops"), [F.col(f"p{t}") for t in own], k - m)
-            combos = (combos.join(F.broadcast(bound), "sid", "left")
-                      .where(F.col("vstar").isNull()
-                             | (_sum("value", own) + rest >= F.col("vstar") - F.lit(VTOL)))
-                      .drop("vstar", "tops"))
-        place, last = f"p{tag}", f"p{tags[m - 1]}"
-        cdim = (pos.withColumn("_s", before)
-                   .select("sid", F.col("pos").alias(place), salts(GRID3).alias("nsc"),
-                           F.least(F.lit(MAX_PAIR_BUCKETS), F.greatest(F.lit(1), F.ceil(
-                               F.pow("_s", F.lit(float(m))) / F.lit(factorial(m) * float(PAIRS_PER_BUCKET)))
-                           )).cast("int").alias("nsp")))
-        grown = ["sid", place, "sp", "sc"]
-        xp = (combos.join(cdim, "sid").where(F.col(last) < F.col(place))
-              .withColumn("sp", F.pmod(F.xxhash64(*[f"key_{t}" for t in own]), F.col("nsp")).cast("int"))
-              .withColumn("sc", F.explode(F.sequence(F.lit(0), F.col("nsc") - 1)))
-              .drop("nsc", "nsp").repartition(nparts, *grown))
-        xc = (cdim.join(_side(fi, tag), ["sid", place])
-              .withColumn("sc", F.pmod(F.xxhash64(f"key_{tag}"), F.col("nsc")).cast("int"))
-              .withColumn("sp", F.explode(F.sequence(F.lit(0), F.col("nsp") - 1)))
-              .drop("nsc", "nsp").repartition(nparts, *grown))
-        combos = xp.join(xc, grown).drop("sp", "sc")
-    return _baskets(combos, tags)
-
-
-def _baskets(combos: DataFrame, tags: list[str]) -> DataFrame:
-    total = _sum("value", tags)
-    return combos.where(_within(tags)).select(
-        "sid", F.array_sort(F.array(*[F.col(f"key_{t}") for t in tags])).alias("keys"),
-        total.alias("total_value"), _rint9(total).alias("value_r"),
-        _sum("fee", tags).alias("total_fee"), _sum("wage", tags).alias("total_wage"))
-
-
-def _best(baskets: DataFrame) -> DataFrame:
-    w = Window.partitionBy("sid").orderBy(F.col("value_r").desc(), F.col("keys").asc())
-    return baskets.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec,
-                 bspec: BasketSpec, prune: bool = True, materialize: bool = True) -> DataFrame:
+def best_baskets(market: DataFrame, scenarios: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
+                 prune: bool = True, index: BasketIndex | None = None) -> DataFrame:
     """One row per scenario: status, sorted member keys, totals.
 
-    The (scenario, feasible item) table is read by every later stage, so it
-    is stored once in the shared folder: the market lineage is not recomputed
-    per branch and the combinatorial stages restart from it after a loss."""
-    items = basket_items(market, spec, bspec)
-    if materialize:
-        items = _materialize(items)     # n narrow rows, read by every branch
-    out = None
-    for block in scenario_blocks(scenarios):
-        part = _solve(items, block, prune, materialize)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _solve(items: DataFrame, scenarios: DataFrame, prune: bool, materialize: bool) -> DataFrame:
-    """``best_baskets`` for a block of scenarios."""
-    scen, sizes = scenario_literal(scenarios)
-    fi = _feasible_items(items, scen)
-    if materialize:
-        fi = _materialize(fi)
-    # per-scenario best values over feasible items: every member of a basket
-    # is itself a feasible item of the scenario, so these bounds stay exact.
-    gbest = fi.groupBy("sid").agg(*[F.min(c).alias(f"g_{c}") for c in ("fee", "wage", "age")],
-                                  *[F.max(c).alias(f"g_{c}") for c in ("prog", "dfn", "cre")])
-    results = []
-    for k in sorted(sizes):
-        fk = fi.where(F.col("k") == F.lit(k))
-        bound = None
-        if prune:
-            # incumbent from the top-M items per (scenario, position)
-            wr = Window.partitionBy("sid", "pos").orderBy(F.col("value").desc(), F.col("key").asc())
-            top = (fk.withColumn("_r", F.row_number().over(wr))
-                     .where(F.col("_r") <= F.lit(TOP_M.get(k, 1))).drop("_r"))
-            inc = _best(_enumerate(top, k, gbest)).select("sid", F.col("value_r").alias("vstar"))
-            # best value per position; the top-k positions per scenario
-            pm = fk.groupBy("sid", "pos").agg(F.max("value").alias("pv"))
-            wp = Window.partitionBy("sid").orderBy(F.col("pv").desc(), F.col("pos").asc())
-            tops = (pm.withColumn("_r", F.row_number().over(wp)).where(F.col("_r") <= k)
-                      .groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(
-                          (-F.col("pv")).alias("npv"), F.col("pos").alias("p")))).alias("tops")))
-            bound = inc.join(tops, "sid")
-            fk = (fk.join(bound, "sid", "left")
-                    .where(F.col("vstar").isNull()
-                           | (F.col("value") + _best_other(F.col("tops"), [F.col("pos")], k - 1)
-                              >= F.col("vstar") - F.lit(VTOL)))
-                    .drop("vstar", "tops"))
-        results.append(_best(_enumerate(fk, k, gbest, bound)))
-    best = results[0] if results else None
-    for r in results[1:]:
-        best = best.unionByName(r)
-    if best is None:
-        best = fi.sparkSession.createDataFrame(
-            [], "sid string, keys array<string>, total_value double, value_r double, "
-                "total_fee double, total_wage double")
+    ``prune``: whether dominated items are left out of the trees; ``index``:
+    trees stored before, to answer a further table of scenarios."""
     out = scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"),
                            F.col("target_signings_count").cast("int").alias("k"))
+    least, most = out.agg(F.min("k"), F.max("k")).first()
+    if least is not None and least < 1:
+        raise ValueError(f"a scenario asks for a basket of size {least}, below 1")
+    index = index or market_index(market, spec, bspec, prune)
+    members = most or 1
+    best = best_labels(index, descend(index, scenarios, members), members)
     res = (out.join(best.withColumnRenamed("sid", "scenario_id"), "scenario_id", "left")
               .select("scenario_id",
                       F.when(F.col("keys").isNull(), F.lit("infeasible"))
                        .otherwise(F.lit("optimal")).alias("status"),
                       "k", "keys", "total_value", "total_fee", "total_wage"))
-    # one row per scenario: stored once, so members,
-    # KPIs and checks read it instead of re-planning the enumeration
-    return _materialize(res) if materialize else res
+    # one row per scenario: stored once for members, KPIs and checks
+    return _materialize(res)
 
 
 def basket_members(best: DataFrame, market: DataFrame, spec: ProfileSpec) -> DataFrame:

@@ -60,7 +60,7 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
     if "strict_position" not in cols:
         q = q.withColumn("strict_position", F.lit(False))
     if "top_n" not in cols:
-        q = q.withColumn("top_n", F.lit(5))
+        q = q.withColumn("top_n", F.lit(DEFAULT_TOP_N))
     q = q.withColumn("strict_position", F.coalesce(F.col("strict_position"), F.lit(False)))
     if "query_id" not in cols:
         leagues = F.coalesce(F.array_join(F.array_sort(F.col("selected_leagues")), "\u0001"),
@@ -71,6 +71,7 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
     return q
 
 
+DEFAULT_TOP_N = 5
 PARAMETERS = ("reference", "max_age", "selected_leagues", "strict_position", "top_n")
 
 
@@ -135,6 +136,8 @@ def twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, queries: Data
     asked = normalize_queries(queries)
     if strict_position is not None:
         asked = asked.withColumn("strict_position", F.lit(bool(strict_position)))
+    if options.get("top_n_bound") is None:
+        options["top_n_bound"] = int(asked.agg(F.max("top_n")).first()[0] or 0)
     asked = asked.withColumn("_request", _identity())
     once = asked.groupBy("_request").agg(*[F.first(c).alias(c) for c in PARAMETERS])
     found = distinct_twins(profile, dims, spec, once.withColumnRenamed("_request", "query_id"),
@@ -151,7 +154,7 @@ def distinct_twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, quer
           sample: int = 64, few_queries: bool = False,
           materialize: bool = True, exhaustive_pool: int | None = None,
           cell_target: int | None = None, max_box_cells: int | None = None,
-          diagnostics: dict | None = None) -> DataFrame:
+          top_n_bound: int | None = None, diagnostics: dict | None = None) -> DataFrame:
     """Top-k statistical twins for queries with distinct ``query_id``.
 
     ``queries`` needs a ``reference`` column (matched case-insensitively to
@@ -161,10 +164,17 @@ def distinct_twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, quer
     the per-row column.  ``few_queries=True`` declares a query table of
     bounded size (at most ``MAX_BROADCAST_QUERIES`` rows, e.g. built from a
     Python list): it is broadcast against the pools and scored in one scan.
+    ``top_n_bound`` is the largest ``top_n``, looked up if not given: as a
+    literal it cuts the pairs of a query before they are sorted.
     Output: one row per (query, candidate) with the candidate's display
     columns, ``similarity_score`` and ``rank``."""
     if few_queries and queries.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
         few_queries = False       # size checked: larger query tables take the grid path
+    if top_n_bound is None and "top_n" not in queries.columns:
+        top_n_bound = DEFAULT_TOP_N
+    if top_n_bound is None:
+        top_n_bound = int(queries.agg(F.max("top_n")).first()[0] or 0)
+    best = (F.col("rank") <= F.lit(top_n_bound)) & (F.col("rank") <= F.col("top_n"))
     base = prepared if prepared is not None else prepare(profile, dims, spec)
     if materialize and not few_queries:
         # The all-pairs plan reads the prepared rows in many branches
@@ -251,8 +261,7 @@ def distinct_twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, quer
         w1 = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(),
                                                     F.col("_ck").asc())
         top = (pairs.select("query_id", "top_n", "_ck", _score(nslot).alias("similarity_score"))
-               .withColumn("rank", F.row_number().over(w1))
-               .where(F.col("rank") <= F.col("top_n"))
+               .withColumn("rank", F.row_number().over(w1)).where(best)
                .select("query_id", F.col("_ck").alias(spec.key), "similarity_score", "rank"))
         return finish(top)
 
@@ -261,7 +270,7 @@ def distinct_twins(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, quer
                     exhaustive_pool=exhaustive_pool or EXHAUSTIVE_POOL,
                     cell_target=cell_target or CELL_TARGET,
                     max_box_cells=max_box_cells or MAX_BOX_CELLS,
-                    diagnostics=diagnostics)
+                    kmax=top_n_bound, diagnostics=diagnostics)
     return finish(top)
 
 
@@ -289,7 +298,7 @@ def _pick(prefix: str, nslot: int, idx: Column) -> Column:
 
 def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Dimensions,
               spec: ProfileSpec, nslot: int, *, pair_budget: int, sample: int,
-              exhaustive_pool: int, cell_target: int, max_box_cells: int,
+              exhaustive_pool: int, cell_target: int, max_box_cells: int, kmax: int,
               diagnostics: dict | None = None) -> DataFrame:
     """Exact top-k for every query without scoring all pairs of a pool.
 
@@ -318,6 +327,7 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
     (vector, age, league), so a hot duplicate value is not a hot cell."""
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     xs = [f"x{j}" for j in range(1, nslot + 1)]
+    best = (F.col("rank") <= F.lit(kmax)) & (F.col("rank") <= F.col("top_n"))
     gslots = _grid_slot_table(dims)
     D = GRID_DIMS
     gkeys = [f"t{d}" for d in range(1, D + 1)]
@@ -355,7 +365,6 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
     else:   # every pool is one cell
         core = core.select("*", *[F.lit(0).cast("long").alias(f"g{d}") for d in range(1, D + 1)])
     if gridded:
-        kmax = q.agg(F.max("top_n")).first()[0] or 0
         wd = Window.partitionBy("pool", *xs, "_cage", "_clg").orderBy("_ck")
         core = (core.withColumn("_dr", F.row_number().over(wd))
                 .where(F.col("_dr") <= F.lit(int(kmax) + 1)).drop("_dr"))
@@ -418,14 +427,13 @@ def _grid_top(spark, q: DataFrame, cand: DataFrame, moments: DataFrame, dims: Di
             F.col("similarity_score").desc(), F.col("_ck").asc())
         return (pairs.select(*keys, "block", "query_id", "top_n", "_ck", "similarity_score",
                              *extra)
-                .withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= F.col("top_n")))
+                .withColumn("rank", F.row_number().over(w)).where(best))
 
     def per_query_top(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(),
                                                   F.col("_ck").asc())
         return (rows.select("query_id", "top_n", "_ck", "similarity_score")
-                .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_n")))
+                .withColumn("rank", F.row_number().over(w)).where(best))
 
     # 1. sample threshold (and, in gridded pools, sampled rows outside the
     #    query's neighbourhood join the neighbourhood search)

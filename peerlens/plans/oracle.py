@@ -45,14 +45,16 @@ prof AS (
          CASE WHEN li.n_lines > 0 THEN CAST(n_open AS DOUBLE) / (li.n_lines * {d(1)}) END AS open_share
   FROM part LEFT JOIN li ON p_partkey = li.l_partkey)"""
 
-MARKET = f"""
+def _market(window: str = "") -> str:
+    """CTEs of the market; ``window`` is a condition on lineitem."""
+    return f"""
 mk AS (
   SELECT l_partkey AS mkey,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * {d(100000)}) AS fee,
          CAST(sum(CAST(l_quantity AS BIGINT) * 5) AS DOUBLE) / count(*) AS wage,
          CAST(count(*) AS INTEGER) AS contract_years,
          {d(1)} + CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * {d(50)}) AS resale
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '{MARKET_SINCE} 00:00:00' GROUP BY l_partkey),
+  FROM lineitem {window} GROUP BY l_partkey),
 market AS (
   SELECT prof.*, coalesce(fee, {d(MARKET_DEFAULT[0])}) AS fee,
          coalesce(wage, {d(MARKET_DEFAULT[1])}) AS wage,
@@ -65,6 +67,10 @@ valued AS (
   FROM market)"""
 
 
+MARKET = _market()
+RECENT = _market(f"WHERE l_shipdate >= TIMESTAMP '{MARKET_SINCE} 00:00:00'")
+
+
 def _case_idx(col: str, items: list, default: str = "NULL") -> str:
     whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(items))
     return f"CASE {col} {whens} ELSE {default} END"
@@ -370,7 +376,7 @@ pairs AS (
   FROM v q JOIN ks ON ks.label = q.label JOIN v c ON c.label = q.label AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_key ORDER BY similarity_score DESC, cand_key) AS rank FROM pairs)
 SELECT ref_key, cohort, cand_key, similarity_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
-    q["market_enrich"] = f"{with_(pb, MARKET)} SELECT p_partkey, fee, wage, contract_years, resale FROM market"
+    q["market_enrich"] = f"{with_(pb, RECENT)} SELECT p_partkey, fee, wage, contract_years, resale FROM market"
     q["composite_value"] = f"{with_(pb, MARKET)} SELECT p_partkey, composite_value FROM valued"
     q["skyline"] = f"""{with_(pb, MARKET, '''it AS (SELECT p_partkey AS key, p_brand AS pos, fee, wage, CAST(p_size AS DOUBLE) AS age,
   qty_avg AS prog, CAST(n_lines AS DOUBLE) AS dfn, ret_share + open_share AS cre, composite_value AS value

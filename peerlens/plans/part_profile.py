@@ -68,8 +68,8 @@ PART_ROLE_FAMILY = (
 )
 PART_TYPE_SECONDARY = (("PROMO", "drive"), ("LARGE", "heavy"), ("SMALL", "fastening"))
 PART_UNITS = (("U-A", 1, 6), ("U-B", 7, 12), ("U-C", 13, 18), ("U-D", 19, 25))
-# Market listing window: parts with a line shipped on/after this day get a
-# market profile; the others take the market defaults.
+# Listing window of market_enrich: parts with a line shipped on/after this day
+# get a market profile; the others take the market defaults.
 MARKET_SINCE = "2001-09-01"
 MARKET_DEFAULT = (30.0, 60.0, 3, 1.10)
 
@@ -129,9 +129,11 @@ def part_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_part_profile(parquet(spark, sf_dir, "part"), parquet(spark, sf_dir, "lineitem"))
 
 
-def part_market(lineitem: DataFrame, since: str = MARKET_SINCE) -> DataFrame:
-    """Sparse market dimension: parts traded since ``since``."""
-    recent = lineitem.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
+def part_market(lineitem: DataFrame, since: str | None = None) -> DataFrame:
+    """Market dimension from all lines, or only from those since a day (sparse)."""
+    recent = lineitem
+    if since is not None:
+        recent = lineitem.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
     n = F.count(F.lit(1))
     return recent.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double")

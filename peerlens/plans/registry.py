@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import baskets as B
 from peerlens.operators import checks, evaluate, market, normalize, reports, tags, twins
-from peerlens.plans.part_profile import (MARKET_DEFAULT, PART_BASKET, PART_METRICS, PART_SPEC,
+from peerlens.plans.part_profile import (MARKET_DEFAULT, MARKET_SINCE, PART_BASKET, PART_METRICS, PART_SPEC,
                                          PARTS, part_market, part_profile, part_secondary)
 from peerlens.schemas import SCENARIO
 from peerlens.session import materialize, parquet, shared_path
@@ -36,8 +36,14 @@ SCENARIOS = [
     ("s4", 90.0, 200.0, 3, 6.0, 75.0, 90.0, 2.4),
     ("s5", 5.0, 10.0, 3, 2.0, 100.0, 140.0, 4.0),
     ("s6", 150.0, 300.0, 3, 5.0, 70.0, 80.0, 2.0),
+    # within reach of a market priced from all lines
+    ("s7", 110.0, 260.0, 2, 20.0, 46.0, 70.0, 1.2),
+    ("s8", 155.0, 340.0, 3, 4.0, 62.0, 100.0, 1.7),
+    ("s9", 95.0, 220.0, 2, 30.0, 42.0, 60.0, 1.6),
+    # every item alone passes the bounds, no basket does
+    ("s10", 150.0, 330.0, 3, 4.0, 60.0, 115.0, 2.6),
 ]
-PAIR_SCENARIO, TRIPLE_SCENARIO = "s2", "s4"
+PAIR_SCENARIO, TRIPLE_SCENARIO = "s7", "s8"
 EVAL_K = 3
 TARGET_CLUB = "Manchester United"
 
@@ -52,9 +58,10 @@ def _profile_once(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(profile(spark, sf))
 
 
-def market_table(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+def market_table(spark: SparkSession, sf: str, p: DataFrame | None = None,
+                 since: str | None = None) -> DataFrame:
     p = p if p is not None else profile(spark, sf)
-    return market.enrich_market(p, part_market(parquet(spark, sf, "lineitem")),
+    return market.enrich_market(p, part_market(parquet(spark, sf, "lineitem"), since),
                                 SPEC.key, BSPEC, MARKET_DEFAULT)
 
 
@@ -77,7 +84,7 @@ def _twin_cols(df: DataFrame) -> DataFrame:
 def _all_twins(spark, sf, top_n=5, p=None) -> DataFrame:
     p = p if p is not None else profile(spark, sf)
     q = p.select(F.col(SPEC.name).alias("reference"), F.lit(top_n).alias("top_n"))
-    return twins.twins(p, DIMS, SPEC, q, strict_position=False)
+    return twins.twins(p, DIMS, SPEC, q, strict_position=False, top_n_bound=top_n)
 
 
 def _rank1_pairs(spark, sf, p=None) -> DataFrame:
@@ -207,8 +214,8 @@ def q_twins_embeddings(spark, sf):
 
 
 def q_market_enrich(spark, sf):
-    return market_table(spark, sf).select(SPEC.key, BSPEC.fee, BSPEC.wage, BSPEC.contract,
-                                          BSPEC.resale)
+    return market_table(spark, sf, since=MARKET_SINCE).select(
+        SPEC.key, BSPEC.fee, BSPEC.wage, BSPEC.contract, BSPEC.resale)
 
 
 def q_composite_value(spark, sf):

@@ -111,18 +111,16 @@ def test_exact_against_brute_force(spark, monkeypatch):
         composite_value_expr(BS).alias("value")).collect()]
     want = {s[0]: _brute(items, s) for s in scen}
     sc = _scen(spark, scen)
-    import peerlens.operators.baskets as B
-    for prune, grid in ((True, 1024), (False, 1024), (True, 2), (False, 3)):
-        monkeypatch.setattr(B, "GRID", grid)     # small grid: several salts per position
-        monkeypatch.setattr(B, "GRID3", max(1, grid // 2))
-        monkeypatch.setattr(B, "PAIRS_PER_BUCKET", 10 if grid < 10 else 1_000_000)
+    import peerlens.operators.descent as D
+    for prune, cell in ((True, D.CELL), (False, D.CELL), (True, 3), (False, 2)):
+        monkeypatch.setattr(D, "CELL", cell)     # small cells: several trees per position
         got = {r.scenario_id: r.keys for r in best_baskets(df, sc, SPEC, BS, prune=prune).collect()}
-        assert got == want, (prune, grid)
+        assert got == want, (prune, cell)
     assert any(v is None for v in want.values()) and any(v is not None for v in want.values())
 
 
-def test_any_size_and_scenario_blocks_against_brute_force(spark, monkeypatch):
-    """Baskets of 1 and 4, in one and in several blocks of scenarios."""
+def test_any_size_against_brute_force(spark):
+    """Baskets of 1 and 4 in one table, and the stored trees asked again."""
     import peerlens.operators.baskets as B
     rnd = random.Random(11)
     rows = [(f"p{i:02d}", f"P{i % 6}", "T", "L", "R", rnd.randint(18, 30), float(rnd.randint(1, 6) * 10),
@@ -139,8 +137,77 @@ def test_any_size_and_scenario_blocks_against_brute_force(spark, monkeypatch):
     items = [r.asDict() for r in B.basket_items(df, SPEC, BS).collect()]
     want = {s[0]: _brute(items, s) for s in scen}
     assert any(want.values()) and len({s[3] for s in scen if want[s[0]]}) > 1
-    for block, prune in ((3, True), (4096, False)):
-        monkeypatch.setattr(B, "MAX_SCENARIOS", block)
+    index = B.market_index(df, SPEC, BS)
+    for part, prune in ((scen, True), (scen, False), (scen[:2], True)):
         got = {r.scenario_id: r.keys
-               for r in best_baskets(df, _scen(spark, scen), SPEC, BS, prune=prune).collect()}
-        assert got == want, (block, prune)
+               for r in best_baskets(df, _scen(spark, part), SPEC, BS, prune=prune,
+                                     index=index if prune else None).collect()}
+        assert got == {sid: want[sid] for sid, *_ in part}, prune
+    assert best_baskets(df, _scen(spark, []), SPEC, BS, index=index).collect() == []
+    none = best_baskets(df.where("false"), _scen(spark, scen), SPEC, BS).collect()
+    assert {r.status for r in none} == {"infeasible"} and len(none) == len(scen)
+
+
+def _spec_items(spark, rows):
+    return spark.createDataFrame(rows, "player_name string, position string, team string, "
+                                 "league string, primary_role string, age int, "
+                                 "market_value_eur_m double, wage_gbp_k_pw double, "
+                                 "progressive_passes_per90 double, tackles_interceptions_per90 double, "
+                                 "xag_per90 double, npxg_per90 double, resale_potential_multiplier double")
+
+
+def test_many_scenarios_in_one_descent(spark):
+    """1,000 scenarios at once give what brute force gives for each."""
+    rnd = random.Random(5)
+    rows = [(f"p{i:02d}", f"P{i % 4}", "T", "L", "R", rnd.randint(18, 30), float(rnd.randint(10, 60)),
+             float(rnd.randint(20, 120)), rnd.random() * 8, rnd.random() * 5, rnd.random() / 2,
+             rnd.random() / 2, 1 + rnd.random()) for i in range(24)]
+    df = _spec_items(spark, rows)
+    scen = [(f"s{i}", float(rnd.randint(30, 120)), float(rnd.randint(60, 240)), rnd.randint(1, 2),
+             float(rnd.randint(20, 28)), rnd.random() * 8, rnd.random() * 5, rnd.random())
+            for i in range(1000)]
+    items = [r.asDict() for r in __import__("peerlens.operators.baskets", fromlist=["x"])
+             .basket_items(df, SPEC, BS).collect()]
+    want = {s[0]: _brute(items, s) for s in scen}
+    got = {r.scenario_id: r.keys for r in best_baskets(df, _scen(spark, scen), SPEC, BS).collect()}
+    assert got == want
+    assert 100 < sum(v is None for v in want.values()) < 900
+
+
+def test_infeasible_baskets_of_feasible_items(spark):
+    """Every item is within the bounds with some partner, no pair is within all."""
+    rows = [(f"a{i}", "A", "T", "L", "R", 20, 10.0 + i, 90.0 - i, 5.0, 3.0, 0.2, 0.2, 1.0) for i in range(40)]
+    rows += [(f"b{i}", "B", "T", "L", "R", 20, 10.0 + i, 90.0 - i, 5.0, 3.0, 0.2, 0.2, 1.0) for i in range(40)]
+    sc = _scen(spark, [("no", 60.0, 139.0, 2, 30.0, 1.0, 1.0, 0.1), ("yes", 60.0, 140.0, 2, 30.0, 1.0, 1.0, 0.1)])
+    got = {r.scenario_id: r.status for r in best_baskets(_spec_items(spark, rows), sc, SPEC, BS).collect()}
+    assert got == {"no": "infeasible", "yes": "optimal"}
+
+
+def test_dominated_items_leave_the_trees(spark):
+    """Of 5,000 correlated items few are left to search."""
+    import peerlens.operators.baskets as B
+    rnd = random.Random(9)
+    rows = []
+    for i in range(5000):
+        q = rnd.random()                  # good ones are cheap, young and strong
+        rows.append((f"p{i:04d}", f"P{i % 5}", "T", "L", "R", 18 + int(20 * (1 - q)), 60 - 50 * q,
+                     120 - 100 * q, 8 * q, 5 * q, q / 2, q / 2, 1 + q))
+    index = B.market_index(_spec_items(spark, rows), SPEC, BS)
+    assert index.edges.where("leaf AND parent = id").count() < 500
+
+
+def test_equi_depth_cells(spark):
+    from peerlens.operators.cells import equi_depth
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 3 else "g%d" % (i % 7), rnd.random(), float(rnd.randint(0, 3)), 1.0)
+            for i in range(2000)]
+    rows += [(i, "same", 1.0, 2.0, 3.0) for i in range(2000, 2300)]      # equal points
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double, z double")
+    out = equi_depth(df, ["g"], ["x", "y", "z"], "id", 50).collect()
+    assert sorted(r.id for r in out) == list(range(2300))
+    held = {}
+    for r in out:
+        held.setdefault((r.g, r.cell), []).append(r)
+    assert max(map(len, held.values())) <= 50
+    hot = [v for (g, _), v in held.items() if g == "hot"]
+    assert len(hot) <= 1334 // 50 * 3 and min(map(len, hot)) >= 5

@@ -24,24 +24,43 @@ def test_twins_plan(spark):
     assert "SinglePartition" not in p.split("Subquery")[0]
 
 
-def test_percentile_plan_has_no_global_window(spark):
+def _stored_plans(monkeypatch, *modules) -> list[str]:
+    """The plans of the tables that operators of ``modules`` store."""
+    from peerlens.session import stored
+    plans: list[str] = []
+
+    def kept(df, name):
+        plans.append(_plan(df))
+        return stored(df, name)
+    for m in modules:
+        monkeypatch.setattr(m, "stored", kept)
+    return plans
+
+
+def test_percentile_plan_has_no_global_window(spark, monkeypatch):
+    from peerlens.operators import normalize
+    written = _stored_plans(monkeypatch, normalize)
     df = R.q_percentile_rank(spark, SF)
     df.collect()
     p = _plan(df)
-    assert "rangepartitioning" in p.lower()
+    # the histogram is range-partitioned where it is written
+    assert any("rangepartitioning" in w.lower() for w in written)
+    assert not any("Exchange SinglePartition" in w for w in written)
     for line in p.splitlines():
         if "Window" in line:
             assert "partitionBy" not in line or "[]" not in line.split("partitionBy")[0]
     assert "Exchange SinglePartition" not in p.replace("Subquery", "")
 
 
-def test_basket_plan_has_equi_joins_only(spark):
+def test_basket_plan_has_equi_joins_only(spark, monkeypatch):
     from peerlens.operators import baskets as B
-    # the registered query reads a stored result: check the enumeration plan
-    df = B.best_baskets(R.market_table(spark, SF), R.scenarios(spark), R.SPEC, R.BSPEC,
-                        materialize=False)
+    # the registered query reads a stored result: check the plans of the descent
+    from peerlens.operators import cells, descent
+    written = _stored_plans(monkeypatch, cells, descent)
+    df = B.best_baskets(R.market_table(spark, SF), R.scenarios(spark), R.SPEC, R.BSPEC)
     df.collect()
-    p = _plan(df)
+    p = "\n".join([*written, _plan(df)])
+    assert len(written) > 4
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
