@@ -274,20 +274,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group left (its smallest id), with all
     their columns; of rows that repeat a kept id one stays, null ids stay."""
-    found = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept"),
+    own = "kept_id"
+    while own in {c.lower() for c in docs.columns}:     # the caller's columns are kept as they are
+        own += "_"
+    found = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias(own), "kept"),
                    "kept")
 
     def sized(ids: DataFrame) -> DataFrame:
         ids = stored(ids, "ids")
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    out = docs.join(sized(found.where("NOT kept").select("_id").distinct()),
-                    F.col(id_col) == F.col("_id"), "left_anti")
-    again = found.where("kept AND _id IS NOT NULL").groupBy("_id").count().where("count > 1")
-    again = sized(again.select("_id"))
+    same = F.col(id_col) == F.col(own)
+    out = docs.join(sized(found.where("NOT kept").select(own).distinct()), same, "left_anti")
+    again = found.where(F.col("kept") & F.col(own).isNotNull()).groupBy(own).count().where("count > 1")
+    again = sized(again.select(own))
     if again.isEmpty():
         return out
-    same = F.col(id_col) == F.col("_id")
     return out.join(again, same, "left_anti").unionByName(
         out.join(again, same, "left_semi").dropDuplicates([id_col]))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.llm import multi_index, resample, vector_codes
+from peerlens.llm import multi_index, near_dup, resample, vector_codes
 
 NAN, INF = float("nan"), float("inf")
 
@@ -283,3 +283,14 @@ def test_crc_of_long_words_and_runs():
              (lambda w: [" ".join(w[i:i + n]) for i in range(len(w) - n + 1)])(words_of(t))]
             for n in (1, 2, 3)]
     assert got == want
+
+
+def test_one_per_group_keeps_columns_named_like_helpers(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, 5, "a"), (2, text, 6, "b"), (2, text, 6, "b"), (3, text + " x", 7, "c"),
+            (4, "other words", 8, "d"), (4, "other words", 8, "d"), (None, None, 9, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, Kept_ID string")
+    kept = near_dup.one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [rows[0], rows[4], rows[6]], key=str)
