@@ -30,14 +30,24 @@ def basket_violations(best: DataFrame, members: DataFrame, scenarios: DataFrame,
                       spec: ProfileSpec, bspec: BasketSpec) -> DataFrame:
     per = members.groupBy("scenario_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(spec.position).alias("npos"),
-        F.sum(bspec.fee).alias("fee"), F.sum(bspec.wage).alias("wage"))
+        F.sum(bspec.fee).alias("fee"), F.sum(bspec.wage).alias("wage"),
+        F.avg(F.col(spec.age).cast("double")).alias("age"),
+        F.sum(bspec.prog).alias("prog"), F.sum(bspec.defence).alias("dfn"),
+        F.sum(F.col(bspec.creation_a) + F.col(bspec.creation_b)).alias("cre"))
     sc = scenarios.select(F.col("scenario_id").cast("string").alias("scenario_id"),
                           F.col("fee_budget_m").alias("b"), F.col("wage_ceiling_k_pw").alias("w"),
-                          F.col("target_signings_count").alias("k"))
+                          F.col("target_signings_count").alias("k"),
+                          F.col("max_avg_age").alias("cap"), F.col("min_prog_passes").alias("f_prog"),
+                          F.col("min_defensive_actions").alias("f_dfn"),
+                          F.col("min_creation_threat").alias("f_cre"))
     j = per.join(sc, "scenario_id")
     return j.agg(
         F.count_if(F.col("fee") > F.col("b") + F.lit(TOL)).alias("over_fee_budget"),
         F.count_if(F.col("wage") > F.col("w") + F.lit(TOL)).alias("over_wage_ceiling"),
+        F.count_if(F.col("age") > F.col("cap") + F.lit(TOL)).alias("over_age_cap"),
+        F.count_if(F.col("prog") < F.col("f_prog") - F.lit(TOL)).alias("under_prog_floor"),
+        F.count_if(F.col("dfn") < F.col("f_dfn") - F.lit(TOL)).alias("under_defence_floor"),
+        F.count_if(F.col("cre") < F.col("f_cre") - F.lit(TOL)).alias("under_creation_floor"),
         F.count_if(F.col("n") != F.col("k")).alias("wrong_basket_size"),
         F.count_if(F.col("npos") != F.col("n")).alias("duplicate_positions"))
 

@@ -477,12 +477,64 @@ tv AS (SELECT count_if(similarity_score < 0 OR similarity_score > 100) AS score_
               count_if(ref_key = cand_key) AS self_matches, count_if(rank > 5) AS over_top_n,
               CAST(0 AS BIGINT) AS age_violations, CAST(0 AS BIGINT) AS league_violations FROM tw),
 per AS (SELECT m.scenario_id, count(*) AS n, count(DISTINCT p_brand) AS npos, sum(fee) AS fee,
-               sum(wage) AS wage FROM mem m GROUP BY m.scenario_id),
+               sum(wage) AS wage, avg(CAST(p_size AS DOUBLE)) AS age, sum(qty_avg) AS prog,
+               sum(n_lines) AS dfn, sum(ret_share + open_share) AS cre FROM mem m GROUP BY m.scenario_id),
 bv AS (SELECT count_if(per.fee > sc.fee_budget_m + {TOL}) AS over_fee_budget,
               count_if(per.wage > sc.wage_ceiling_k_pw + {TOL}) AS over_wage_ceiling,
+              count_if(per.age > sc.max_avg_age + {TOL}) AS over_age_cap,
+              count_if(per.prog < sc.min_prog_passes - {TOL}) AS under_prog_floor,
+              count_if(per.dfn < sc.min_defensive_actions - {TOL}) AS under_defence_floor,
+              count_if(per.cre < sc.min_creation_threat - {TOL}) AS under_creation_floor,
               count_if(per.n <> sc.k) AS wrong_basket_size, count_if(per.npos <> per.n) AS duplicate_positions
        FROM per JOIN scen sc USING (scenario_id)),
 iv AS (SELECT count(*) - count(DISTINCT p_partkey) AS duplicate_keys, count_if(p_brand IS NULL) AS null_positions,
               count_if({' OR '.join(f'{m} IS NULL' for m in PART_METRICS)}) AS null_metric_rows FROM prof)
 SELECT * FROM tv, bv, iv"""
+
+    mapped = ", ".join(s(b) for b, _ in D.position_cohort)
+    q["written_counts"] = f"""{with_(pb)}
+SELECT count(*) AS rows_written, count_if(n_lines >= {R.MIN_LINES}) AS rows_qualified,
+  count_if(p_brand NOT IN ({mapped})) AS rows_unmapped, count(*) AS rows_read_back FROM prof"""
+    q["lookup_exact"] = (f"{with_(pb)} SELECT p_partkey, p_label FROM prof "
+                         f"WHERE p_label IN ({s(R.EXACT_NAME)}, {s(R.EXACT_NAME.upper())})")
+    q["percentile_merged"] = f"""
+WITH h AS (SELECT c_acctbal AS value, count(*) AS c FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1),
+r AS (SELECT value, c, sum(c) OVER (ORDER BY value) AS cum, sum(c) OVER () AS n FROM h)
+SELECT value, CAST(n AS BIGINT) AS n,
+  round_even(((cum - (c - 1) / {d(2)}) / n * {d(100)}) * {d(10)}, 0) / {d(10)} AS average_pct,
+  round_even(((cum - c) / n * {d(100)}) * {d(10)}, 0) / {d(10)} AS strict_pct FROM r"""
+
+    def moments(where: str) -> str:
+        rows = " UNION ALL ".join(f"SELECT cohort, mapped, {s(m)} AS feature, CAST({m} AS DOUBLE) AS x FROM b2"
+                                  for m in PART_METRICS)
+        return f"""{with_(pb, _cohort_cte(), f'lm AS ({rows})')}
+SELECT cohort, feature, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd
+FROM lm WHERE x IS NOT NULL {where} GROUP BY cohort, feature"""
+    q["moments_merged"] = moments("")
+    q["moments_removed"] = moments("AND mapped")
+    cases = ", ".join(f"CASE WHEN {bad} THEN {s(name)} END" for name, bad in R.MARKET_RULES)
+    one = "SELECT * FROM market ORDER BY p_partkey LIMIT 1"
+    faults = ["99 AS p_size", "1 AS n_lines", "-1 AS fee", "-1 AS wage", "NULL AS qty_avg", "NULL AS p_brand"]
+    planted = " UNION ALL BY NAME ".join(
+        f"SELECT * REPLACE ({-1 - i} AS p_partkey, {f}) FROM ({one})" for i, f in enumerate(faults))
+    q["market_quarantine"] = f"""{with_(pb, MARKET)},
+al AS (SELECT * FROM market UNION ALL BY NAME {planted}),
+br AS (SELECT p_partkey, unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS rule FROM al)
+SELECT p_partkey, rule, count(*) OVER (PARTITION BY rule) AS rows_of_rule,
+  (SELECT count(DISTINCT p_partkey) FROM br) AS rows_rejected, (SELECT count(*) FROM al) AS rows_read FROM br"""
+    q["radar_unknown"] = f"""SELECT p_partkey AS cand_key, -1 - p_partkey AS bench_key, cohort, ord, pct AS cand_pct,
+  {d(50)} AS bench_pct FROM ({q['peer_percentile']})"""
+    q["boardroom_players"] = f"""{with_(pb, baskets_sql())}
+SELECT scenario_id, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY p_partkey) AS INTEGER) AS slot,
+  p_label AS player_name, p_brand AS position, p_type AS team, p_line AS league, p_size AS age,
+  fee AS market_value_eur_m, wage AS wage_gbp_k_pw, qty_avg AS progressive_passes_per90,
+  n_lines AS tackles_interceptions_per90, resale AS resale_potential_multiplier FROM mem"""
+    q["payload_fields"] = f"""{with_(pb, _payload_pairs())}
+SELECT pr.cand_key, pr.bench_key, c.p_label AS candidate_name, c.p_type AS candidate_team,
+  c.p_line AS candidate_league, c.p_brand AS candidate_position, c.p_kind AS candidate_primary_role,
+  CAST(c.p_size AS INTEGER) AS candidate_age, c.n_lines AS candidate_minutes_played,
+  b.p_label AS benchmark_name, b.p_type AS benchmark_team, b.p_brand AS benchmark_position,
+  b.p_kind AS benchmark_primary_role, CAST(b.p_size AS INTEGER) AS benchmark_age,
+  pr.similarity_score AS score
+FROM pr JOIN prof c ON c.p_partkey = pr.cand_key JOIN prof b ON b.p_partkey = pr.bench_key"""
     return q

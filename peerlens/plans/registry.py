@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.operators import baskets as B
-from peerlens.operators import checks, evaluate, market, normalize, reports, tags, twins
+from peerlens.operators import (checks, evaluate, market, normalize, reports, rules, states, tags,
+                                twins)
 from peerlens.plans.part_profile import (MARKET_DEFAULT, MARKET_SINCE, PART_BASKET, PART_METRICS, PART_SPEC,
                                          PARTS, part_market, part_profile, part_secondary)
 from peerlens.schemas import SCENARIO
 from peerlens.session import materialize, parquet, shared_path
-from peerlens.sources import read_table, write_table
+from peerlens.sources import read_table, write_counted, write_table
 
 SPEC, DIMS, BSPEC = PART_SPEC, PARTS, PART_BASKET
 
@@ -45,6 +46,17 @@ SCENARIOS = [
 ]
 PAIR_SCENARIO, TRIPLE_SCENARIO = "s7", "s8"
 EVAL_K = 3
+EXACT_NAME = "Brand#3/hot gear/3"
+MIN_LINES = 30
+# Rules of the market: a name and the condition of a bad row.
+MARKET_RULES = [
+    ("age above 45", "p_size > 45"),
+    ("few lines", "n_lines < 20"),
+    ("negative fee", "fee < 0"),
+    ("negative wage", "wage < 0"),
+    ("no metric", "qty_avg IS NULL"),
+    ("no position", "p_brand IS NULL"),
+]
 TARGET_CLUB = "Manchester United"
 
 
@@ -131,7 +143,82 @@ def q_unmatched_queries(spark, sf):
 
 
 def q_min_volume(spark, sf):
-    return normalize.volume_counts(profile(spark, sf), SPEC.minutes, 30)
+    return normalize.volume_counts(profile(spark, sf), SPEC.minutes, MIN_LINES)
+
+
+def q_written_counts(spark, sf):
+    """The counts of a sink's own job: no second scan of what was written."""
+    path = shared_path(spark, "qualified")
+    got = write_counted(profile(spark, sf), path, {
+        "rows_qualified": F.col(SPEC.minutes) >= MIN_LINES,
+        "rows_unmapped": ~F.col(SPEC.position).isin([b for b, _ in DIMS.position_cohort])},
+        partition_by=[SPEC.position])
+    back = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_read_back"))
+    return back.select(*[F.lit(n).cast("long").alias(c) for c, n in got.items()], "rows_read_back")
+
+
+def q_lookup_exact(spark, sf):
+    """P5: names are equal only with the same case."""
+    p = profile(spark, sf)
+    both = [twins.lookup(p, SPEC, name, case_insensitive=False)
+            for name in (EXACT_NAME, EXACT_NAME.upper())]
+    return both[0].unionByName(both[1]).select(SPEC.key, SPEC.name)
+
+
+def q_percentile_merged(spark, sf):
+    """W1/W2 from stored histograms: those of two arrivals, merged."""
+    cust = parquet(spark, sf, "customer")
+    late = F.col("c_nationkey") > 12
+    parts = [materialize(states.histogram_state(cust.where(c), [], "c_acctbal"))
+             for c in (~late, late)]
+    return states.percentiles_of(states.merge_histograms([], *parts), [])
+
+
+def _moment_parts(spark, sf):
+    """(profile with its cohorts, the moment states of two arrivals of parts)."""
+    p = normalize.with_cohort(_profile_once(spark, sf), DIMS, SPEC)
+    late = F.col(SPEC.age) > 25
+    return p, [materialize(states.moment_state(p.where(c), ["cohort"], PART_METRICS))
+               for c in (~late, late)]
+
+
+def _moments_out(state):
+    return state.select("cohort", "feature", "n", F.round("mean", 6).alias("mean"),
+                        F.round(states.std_pop(), 6).alias("sd"))
+
+
+def q_moments_merged(spark, sf):
+    """A1 from stored states: those of two arrivals, merged."""
+    _, parts = _moment_parts(spark, sf)
+    return _moments_out(states.merge_moments(["cohort"], *parts))
+
+
+def q_moments_removed(spark, sf):
+    """U1 the other way: the whole state without the rows of unmapped positions."""
+    p, parts = _moment_parts(spark, sf)
+    gone = states.moment_state(p.where(~F.col("mapped")), ["cohort"], PART_METRICS)
+    return _moments_out(states.remove_rows(states.merge_moments(["cohort"], *parts), gone, ["cohort"]))
+
+
+def q_market_quarantine(spark, sf):
+    """C17: rows that break rules; the part with the smallest key is planted again
+    with a fault for each rule."""
+    mk = materialize(market_table(spark, sf))
+    one = mk.orderBy(SPEC.key).limit(1)
+    faults = {SPEC.age: "CAST(99 AS INT)", SPEC.minutes: "CAST(1 AS INT)", BSPEC.fee: "-1D",
+              BSPEC.wage: "-1D", BSPEC.prog: "CAST(NULL AS DOUBLE)",
+              SPEC.position: "CAST(NULL AS STRING)"}
+    planted = None
+    for i, (column, fault) in enumerate(faults.items()):
+        row = one.withColumn(column, F.expr(fault).cast(mk.schema[column].dataType)).withColumn(
+            SPEC.key, F.lit(-1 - i).cast(mk.schema[SPEC.key].dataType))
+        planted = row if planted is None else planted.unionByName(row)
+    got = rules.apply_rules(mk.unionByName(planted), MARKET_RULES)
+    fired = F.create_map(*[x for n, c in got.counts.items() for x in (F.lit(n), F.lit(c))])
+    return got.bad.withColumn("rule", F.explode("rules")).select(
+        SPEC.key, "rule", fired[F.col("rule")].cast("long").alias("rows_of_rule"),
+        F.lit(got.rejected).cast("long").alias("rows_rejected"),
+        F.lit(got.rows).cast("long").alias("rows_read"))
 
 
 def q_percentile_rank(spark, sf):
@@ -175,6 +262,14 @@ def q_radar_long(spark, sf):
     return reports.radar_long(pairs, p, DIMS, SPEC)
 
 
+def q_radar_unknown(spark, sf):
+    """A benchmark that does not exist has the percentile 50.0 everywhere."""
+    p = _profile_once(spark, sf)
+    pairs = p.select(F.col(SPEC.key).alias("cand_key"), (-1 - F.col(SPEC.key)).alias("bench_key"))
+    return reports.radar_long(pairs, p, DIMS, SPEC).select(
+        "cand_key", "bench_key", "cohort", "ord", "cand_pct", "bench_pct")
+
+
 def q_twins_single(spark, sf):
     p = profile(spark, sf)
     return _twin_cols(twins.twins(p, DIMS, SPEC, _one_query(spark, TWIN_REF), few_queries=True))
@@ -289,6 +384,15 @@ def q_boardroom_summary(spark, sf):
     return b.select("scenario_id", "financial_json", "memo")
 
 
+def q_boardroom_players(spark, sf):
+    """The member records of the summary, a row each."""
+    mk = _market_once(spark, sf)
+    b = reports.boardroom_summary(_best(spark, sf, mk=mk), mk, scenarios(spark), SPEC, BSPEC,
+                                  TARGET_CLUB)
+    return b.select("scenario_id", F.posexplode("players").alias("slot", "p")).select(
+        "scenario_id", (F.col("slot") + 1).alias("slot"), "p.*")
+
+
 def _tagged(spark, sf, p=None):
     p = p if p is not None else profile(spark, sf)
     return tags.with_tags(p, DIMS, SPEC, part_secondary(parquet(spark, sf, "part")))
@@ -332,6 +436,17 @@ def q_payload_json(spark, sf):
                      F.to_json(F.col("payload.benchmark.metrics")).alias("bench_metrics"))
 
 
+def q_payload_fields(spark, sf):
+    """Every scalar field of the payload."""
+    sides = [F.col(f"payload.{side}.{f}").alias(f"{side}_{f}")
+             for side, fields in (("candidate", ("name", "team", "league", "position", "primary_role",
+                                                 "age", "minutes_played")),
+                                  ("benchmark", ("name", "team", "position", "primary_role", "age")))
+             for f in fields]
+    return _payloads(spark, sf).select("cand_key", "bench_key", *sides,
+                                       F.col("payload.similarity_score_pct").alias("score"))
+
+
 def q_dossier_text(spark, sf):
     return reports.dossier_text(_payloads(spark, sf), TARGET_CLUB)
 
