@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into ``SLOTS`` virtual slots, a number that never changes
-while shards come and go.  One aggregation counts rows and bytes per slot; a
+while shards come and go; size and checksum count too, so the texts of an id that
+repeats, or is null, do not meet in one slot.  One aggregation counts rows and bytes per slot; a
 versioned map (version, slot, shard) says which shard owns a slot.  Placing a
 record needs only its slot and the map.  ``rebalance`` edits a map by moving
 the fewest slots it finds until shard sizes are near equal; ``grow`` adds a
@@ -13,7 +14,7 @@ third shard count decides nothing by itself).
 
 Cases: a null text has size 1 and the checksum of no bytes; a null id is
 hashed as a null; repeated rows are counted first and get positions of their
-own; an empty table keeps the first map and gives no rows; other columns of
+own, ``COPIES`` of them at most in a slot together; an empty table keeps the first map and gives no rows; other columns of
 the input are ignored.
 """
 
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from peerlens.session import shared_path, stored
 
 SLOTS = 4096
+COPIES = 1024           # equal rows in a piece: each piece has a slot of its own
 TOLERANCE = 1e-4        # stop once the largest and smallest shard differ by this share
 
 
-def slot_of(id_col: str, slots: int = SLOTS) -> F.Column:
-    """The virtual slot of a record: a hash of its id."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit("slot")), F.lit(slots)).cast("int")
+def slot_of(columns: list[str], slots: int = SLOTS) -> F.Column:
+    """The virtual slot of a record: a hash of what tells it from others."""
+    return F.pmod(F.xxhash64(*columns, F.lit("slot")), F.lit(slots)).cast("int")
 
 
 def first_map(shards: int, slots: int = SLOTS) -> np.ndarray:
@@ -132,10 +134,13 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     records = df.select(F.col(id_col), (F.octet_length(raw) + 1).cast("long").alias("size"),
                         F.crc32(raw).alias("text_crc32"))
-    records = records.withColumn("virtual_slot", slot_of(id_col, slots))
-    # repeated rows collapse to one with a count, so that no slot is hot
-    keys = [id_col, "size", "text_crc32", "virtual_slot"]
+    # repeated rows collapse to pieces with a count, so that no slot is hot
+    keys = [id_col, "size", "text_crc32"]
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(COPIES))))
+    held = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("piece") * F.lit(COPIES))
     counted = stored(records.groupBy(*keys).agg(F.count("*").alias("n"))
+                     .withColumn("piece", piece).withColumn("n", held)
+                     .withColumn("virtual_slot", slot_of([*keys, "piece"], slots))
                      .withColumn("bytes", F.col("size") * F.col("n")), "sharding-records")
 
     size = slot_sizes(counted, slots)
@@ -151,7 +156,8 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
         Window.unboundedPreceding, -1)
     starts = per_slot.select("virtual_slot", "shard",
                              F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    in_slot = Window.partitionBy("virtual_slot").orderBy(F.col(id_col), "size", "text_crc32")
+    in_slot = Window.partitionBy("virtual_slot").orderBy(F.col(id_col), "size", "text_crc32",
+                                                                    "piece")
     before = F.coalesce(F.sum("n").over(in_slot.rowsBetween(Window.unboundedPreceding, -1)),
                         F.lit(0))
     placed = counted.withColumn("before", before).join(F.broadcast(starts), "virtual_slot")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.llm import multi_index, near_dup, resample, vector_codes
+from peerlens.llm import multi_index, near_dup, resample, sharding, topk, vector_codes
 
 NAN, INF = float("nan"), float("inf")
 
@@ -294,3 +294,31 @@ def test_one_per_group_keeps_columns_named_like_helpers(spark):
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(
         [rows[0], rows[4], rows[6]], key=str)
+
+
+def test_shards_stay_even_when_an_id_or_a_row_repeats(spark):
+    rng = np.random.default_rng(12)
+    texts = ["t" * int(n) for n in rng.integers(20, 60, 3000)]
+    rows = [(7 if k % 3 == 0 else (None if k % 50 == 1 else k), f"{t}{k}") for k, t in enumerate(texts)]
+    rows += [(9, "the same row again")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sharding.shard(df, 8).collect()
+    assert len(placed) == len(rows)
+    load, slots = Counter(), {}
+    for r in placed:
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(load) == 8 and max(load.values()) < 1.02 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter(r["doc_id"] for r in placed) == Counter(i for i, _ in rows)
+
+
+def test_scores_of_large_components(spark):
+    big = [float(2 ** 31), 1.0]
+    rows = [(0, big), (1, [1.0, 5.0]), (2, [1.0, 4.0]), (3, [-float(2 ** 35), 1.0]), (4, [0.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.topk(df, F.col("id") == 0, k=4).collect()
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = sorted(((-max(-2 ** 63, sum(a * b for a, b in zip(ints[0], v))), i)
+                   for i, v in ints.items() if i))
+    assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
