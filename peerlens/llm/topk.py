@@ -18,8 +18,8 @@ without an id, take no part; shorter vectors count as padded with zeros, and
 an empty vector scores 0; ties go to the smaller id; rows that repeat an id
 and its vector count once, and no row with the query's id is its result;
 with fewer than k candidates all are returned; an empty table gives an empty
-one; other columns are ignored.  Components are kept within +-2^40, scores
-within a long.
+one; other columns are ignored.  Integer components are exact below 2^62 and
+kept within that size; scores are exact and kept within a long.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from peerlens.session import stored
 SCALE = 1024.0
 PIVOTS = 256            # at most: sqrt of the rows, rounded up, below that
 QUERY_ROWS, DATA_ROWS = 512, 2048
-MAX_COMPONENT = float(1 << 40)
+MAX_COMPONENT = float(1 << 62)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -117,7 +117,9 @@ class Cells:
         """Which cells may hold one of a query's k best rows."""
         q, p = self._fit(q)
         dot, reach = q @ p.T, norms(q)[:, None] * self.radius
-        reach = reach * (1 + 1e-9) + 1e-6 * (1 + np.abs(dot))     # rounding
+        # rounding, of products whose terms may cancel too
+        slack = 1e-6 * (1 + np.abs(dot)) + 1e-12 * norms(q)[:, None] * norms(p)[None, :]
+        reach = reach * (1 + 1e-9) + slack
         low, high = dot - reach, dot + reach
         # from the summaries: the cells with the highest lower bounds hold k + 1 rows
         order = np.argsort(-low, axis=1, kind="stable")
@@ -131,7 +133,7 @@ class Cells:
         if p.shape[0] > k:
             others = np.where(self.ids[None, :] == ids[:, None], -np.inf, dot)
             kth = -np.partition(-others, k - 1, axis=1)[:, k - 1]
-            floor_ = np.maximum(floor_, kth - 1e-6 * (1 + np.abs(kth)))
+            floor_ = np.maximum(floor_, kth - 1e-6 * (1 + np.abs(kth)) - slack.max(1))
         return (high >= floor_[:, None]) & (self.rows > 0)
 
 
