@@ -35,6 +35,7 @@ from peerlens.llm.text import chunks, mix, owners, words
 
 ORDER = 4
 TRAIN_ROWS, TRAIN_CHARS = 400, 20_000
+PIECE_BYTES = 1 << 19       # text scored at once
 BLOCK = 16                  # languages that share a table
 SPARE = 4                   # rows per training row that the window ranks
 FIT_SYMBOLS = 1 << 18       # symbols counted at once
@@ -339,6 +340,20 @@ def train(docs: DataFrame, use: F.Column | None = None, **columns):
     return docs.sparkSession.sparkContext.broadcast(blocks([_model(r) for r in rows]))
 
 
+def _pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of about ``PIECE_BYTES`` (a row at least): scoring holds some
+    hundred bytes for each byte of text."""
+    for part in chunks(batch, column):
+        todo = [part]
+        while todo:
+            part = todo.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > PIECE_BYTES:
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def predict(docs: DataFrame, models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and rejected of every text."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -346,7 +361,7 @@ def predict(docs: DataFrame, models, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in _pieces(batch):
                 lang, score, rejected = identify(models.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(lang, pa.string()), pa.array(score),
@@ -361,7 +376,7 @@ def keep(docs: DataFrame, models, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in _pieces(batch, text_col):
                 column = part.column(part.schema.get_field_index(text_col))
                 yield part.filter(pa.array(~identify(models.value, column)[2]))
 

@@ -8,7 +8,8 @@ crosses documents.
 
 Tokenizing goes word by word.  The tokenizer's normalizer and splitter never
 join across ASCII white space, so the ids of a text are those of its words in
-turn; a bounded cache per worker holds the ids of words and of their parts.
+turn; bounded caches hold the ids of words, for a task, and of their parts, for
+the worker's life.
 Words with characters outside ``_PLAIN`` go through the whole tokenizer.
 
 Cases: a null or empty text has only the end id; very long texts are cut like
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 MAX_WORDS = 200_000     # cached words, and as many cached parts, per worker
+BLOCK_IDS = 1 << 19     # ids in a batch of results
 MAX_CACHED = 40         # longer words are not cached
 
 #: ASCII and Latin letters that normalizing leaves alone and that lower-case one to one.
@@ -151,11 +153,13 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
                     rows.append((k, start, size, crc32(piece), n, piece if with_ids else None))
                     start += size
                     held += size
-                    if held > 1 << 21:
+                    if held > BLOCK_IDS:
                         yield block(rows)
                         rows, held = [], 0
             if rows:
                 yield block(rows)
+        tok.words.clear()               # a worker that waits keeps little
+        pa.default_memory_pool().release_unused()
 
     schema = (f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
               + ", ids array<int>" * with_ids)
