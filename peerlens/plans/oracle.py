@@ -491,6 +491,11 @@ iv AS (SELECT count(*) - count(DISTINCT p_partkey) AS duplicate_keys, count_if(p
               count_if({' OR '.join(f'{m} IS NULL' for m in PART_METRICS)}) AS null_metric_rows FROM prof)
 SELECT * FROM tv, bv, iv"""
 
+    q["twins_indexed"] = " UNION ALL ".join(
+        f"SELECT *, {s(name)} AS search FROM ({q[of]})" for name, of in
+        (("single", "twins_single"), ("strict", "twins_strict"), ("filtered", "twins_filtered"),
+         ("unmapped", "pool_union")))
+
     mapped = ", ".join(s(b) for b, _ in D.position_cohort)
     q["written_counts"] = f"""{with_(pb)}
 SELECT count(*) AS rows_written, count_if(n_lines >= {R.MIN_LINES}) AS rows_qualified,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import baskets as B
 from peerlens.operators import (checks, evaluate, market, normalize, reports, rules, states, tags,
-                                twins)
+                                twin_index, twins)
 from peerlens.plans.part_profile import (MARKET_DEFAULT, MARKET_SINCE, PART_BASKET, PART_METRICS, PART_SPEC,
                                          PARTS, part_market, part_profile, part_secondary)
 from peerlens.schemas import SCENARIO
@@ -302,6 +302,19 @@ def q_twins_batch(spark, sf):
     return _twin_cols(_all_twins(spark, sf))
 
 
+def q_twins_indexed(spark, sf):
+    """C1 from a stored index: one pool is read per search."""
+    index = twin_index.build(profile(spark, sf), DIMS, SPEC)
+    asked = [("single", TWIN_REF, {}), ("strict", TWIN_REF, {"strict_position": True}),
+             ("filtered", TWIN_REF, {"max_age": FILTER_AGE, "selected_leagues": list(FILTER_LINES),
+                                     "top_n": 8}), ("unmapped", UNMAPPED_REF, {})]
+    out = None
+    for name, ref, how in asked:
+        one = _twin_cols(index.search(spark, ref, **how)).withColumn("search", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_twins_embeddings(spark, sf):
     from peerlens.operators.vectors import vector_twins
     emb = parquet(spark, sf, "embeddings")

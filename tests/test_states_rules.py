@@ -153,3 +153,21 @@ def test_counts_of_a_written_table(spark):
                         partition_by=["p"])
     assert got == {"rows_written": 100, "large ones": 10, "none": 0}
     assert spark.read.parquet(path).count() == 100
+
+
+def test_stored_twin_index(spark, squad):
+    """The index gives the rows of the search over the profiles."""
+    from peerlens.operators.twin_index import build
+    index = build(squad, FOOTBALL, SPEC)
+    names = [r[0] for r in squad.select("player_name").limit(3).collect()]
+    for name, how in ((names[0], {}), (names[1].upper(), {"strict_position": True, "top_n": 2}),
+                      (names[2], {"max_age": 27, "selected_leagues": ["Serie A", "La Liga"], "top_n": 9})):
+        want = find_similar(squad, FOOTBALL, SPEC, name, **how).orderBy("rank").collect()
+        got = index.search(spark, name, **how).orderBy("rank").collect()
+        assert [(r.player_name, r.similarity_score, r.rank, r.cohort) for r in got] == [
+            (r.player_name, r.similarity_score, r.rank, r.cohort) for r in want]
+    one = index.search(spark, names[0])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "pool" in plan.split("PartitionFilters: [")[1][:60]
+    with pytest.raises(ValueError):
+        index.search(spark, "nobody")
