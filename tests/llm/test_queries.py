@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("test data not available")
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     res = con.execute(ORACLES[name])
     columns = [c[0] for c in res.description]
