@@ -59,19 +59,29 @@ class TwinIndex(NamedTuple):
             out.append((weights[j - 1] if j <= len(weights) else 0.0) / (s * s))
         return out
 
+    def _nothing(self, spark: SparkSession) -> DataFrame:
+        """The answer of ``search`` without rows."""
+        spec = self.spec
+        show = list(dict.fromkeys([spec.key, *spec.display()]))
+        names = self._table(spark, "names").where(F.lit(False))
+        return names.select(F.col(spec.key).alias("ref_key"), "cohort", *show,
+                            F.lit(0.0).alias("similarity_score"), F.lit(1).alias("rank"))
+
     def search(self, spark: SparkSession, reference: str, max_age: int | None = None,
                selected_leagues: list[str] | None = None, strict_position: bool = False,
-               top_n: int = 5) -> DataFrame:
+               top_n: int = 5, require_match: bool = True) -> DataFrame:
         """ref_key, cohort, the candidate's display columns, similarity_score and
-        rank: the rows of ``twins`` for one query.  Raises ``ValueError`` for an
-        unknown reference."""
+        rank: the rows of ``twins`` for one query.  An unknown reference raises
+        ``ValueError``, or gives no rows without ``require_match``."""
         spec = self.spec
         lower = F.lower(F.lit(reference))
         part = spark.range(1).select(F.pmod(F.xxhash64(lower), F.lit(NAME_PARTS)), lower).first()
         found = (self._table(spark, "names").where((F.col("part") == int(part[0]))
                                                    & (F.col("lower_name") == part[1])).limit(1).collect())
-        if not found:
+        if not found and require_match:
             raise ValueError(f"no profile is named {reference}")
+        if not found:
+            return self._nothing(spark)
         ref = found[0]
         own = strict_position or ref["mapped"]
         pool = f"p|{ref[spec.position]}" if strict_position else f"c|{ref['cohort']}"
