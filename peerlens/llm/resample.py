@@ -46,6 +46,7 @@ PROBES = 15                 # a job of the bisection: 4 bits
 RANGE_ROWS = 1 << 18        # drawn rows in a range partition
 LONG_WORD = 64              # bytes, above which a word is hashed alone
 LAST = 2 ** 63 - 1
+PIECE_BYTES = 256 << 10     # text bytes hashed at once: the arrays of a piece stay small
 
 #: The table of the CRC-32 of zlib and Spark.
 _CRC = np.arange(256, dtype=np.uint32)
@@ -98,9 +99,10 @@ def bucket_counts(df: DataFrame, text_col: str, runs: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for chunk in text.chunks(batch):
+            for chunk in text.chunks(batch, size=PIECE_BYTES):
                 for buckets, _ in features(chunk.column("text"), runs):
                     held += np.bincount(buckets, minlength=BUCKETS)
+            pa.default_memory_pool().release_unused()
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(held[used])],
                                          names=["bucket", "n"])
@@ -132,7 +134,7 @@ def scored(docs: DataFrame, gain: np.ndarray, runs: int, id_col: str, text_col:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text.chunks(batch):
+            for chunk in text.chunks(batch, size=PIECE_BYTES):
                 words = n = weight = None
                 for buckets, offsets in features(chunk.column("text"), runs):
                     total = np.zeros(len(buckets) + 1, np.int64)
@@ -145,6 +147,7 @@ def scored(docs: DataFrame, gain: np.ndarray, runs: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays(
                     [chunk.column("id"), pa.array(words, pa.int64()), pa.array(n, pa.int64()),
                      pa.array(weight, pa.int64())], names=["id", "n_words", "n_features", "weight"])
+            pa.default_memory_pool().release_unused()
 
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(weigh, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, "

@@ -136,14 +136,15 @@ def words(column: pa.Array, separators: np.ndarray = _SPACE, fold: bool = False)
     return Words(_hash_spans(data, starts, ends), np.searchsorted(starts, offs), starts, ends, data)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of about ``CHUNK_BYTES`` text bytes (a row at least)."""
+def chunks(batch: pa.RecordBatch, column: str = "text",
+           size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``size`` text bytes (a row at least)."""
     if batch.num_rows == 0:
         return
     _, offs = _buffers(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield batch.slice(i, min(j, batch.num_rows) - i)
         i = j
 
