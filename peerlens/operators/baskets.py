@@ -9,7 +9,7 @@ with none get status ``infeasible``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.operators.descent import (TOL, BasketIndex, basket_index,  # noqa: F401 (TOL: checks)
@@ -135,8 +135,12 @@ def skyline(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
     included.  If a round stops shrinking (anti-correlated data, the
     skyline is most of the rows) the rest is settled by a grid-salted
     dominated-set join, also bounded per task."""
-    spark = market.sparkSession
-    cur = _materialize(basket_items(market, spec, bspec))
+    items = basket_items(market, spec, bspec)
+    # of rows alike in all but the key, the smallest key dominates the others:
+    # they leave before any round, where they seldom share a group
+    alike = Window.partitionBy(*[c for c in items.columns if c != "key"])
+    cur = _materialize(items.withColumn("_first", F.min("key").over(alike))
+                       .where(F.col("key") == F.col("_first")).drop("_first"))
     prev = None
     for r in range(max_rounds):
         cnt = cur.groupBy("pos").agg(F.count(F.lit(1)).alias("_n"))
