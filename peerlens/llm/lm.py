@@ -5,20 +5,20 @@ ending in one end token.  Unknown words share one class whose mass the
 discount of the known words pays for, so probabilities sum to one over the
 known words and that class.  Kept n-grams are the states of an automaton: a
 state has an arc per kept continuation and one failure arc, weighted by its
-backoff, to the state of the next shorter suffix.  One left-to-right pass
-over a text carries the state and adds up log10 probabilities.
-
-Distribution.  Words and n-grams are counted exactly over every training text
-and stay distributed tables; an n-gram is kept from ``LEAST`` occurrences on,
-whatever its words, so the model grows with the input.  The state after a
-token depends on the two tokens before it alone, so a text's score is a sum
-over its n-grams: every word, pair and triple has one value, in which the
-failure weights of the contexts are included.  Values of words that make up
-``WORD_SHARE`` of all tokens, and of n-grams of ``HOT_SHARE`` of the training
-tokens, are broadcast (at most one by the share of each, at every size); the
-others reach a text by a join, to which a frequent one is never sent (an n-gram
-is judged by the training texts; one that only the others repeat is joined).  A bit map of ``BITS`` bits keeps most n-grams without a
-value out of that join; where it is full it lets all pass.
+backoff, to the state of the next shorter suffix.  Following arcs, or failure
+arcs where none fits, adds up log10 probabilities.
+
+Distribution.  An n-gram is kept from ``LEAST`` occurrences in the training
+texts on, whatever its words, so the model grows with the input.  Texts are cut
+into blocks of about ``BLOCK`` tokens.  A block sends each of its distinct words,
+pairs and triples once, with its training count, to the n-gram's bucket (a range
+of the hashes; there is a bucket per ``BUCKET`` bytes of text).  The bucket adds
+up and answers every block in the order of its question, so an answer holds
+counts and no keys, and an n-gram that is not kept takes next to nothing.  For
+each kept n-gram one of its blocks adds its arc to the masses of its context;
+contexts go to their buckets and come back as failure weights.  With both
+answers a block has the automaton's part that its texts pass through.  Sorted
+keys travel as compressed differences.
 
 Cases: a null or empty text has only its end token; a null id counts as the
 empty id for the split; repeated rows are scored one by one; without training
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.llm.text import chunks, owners, words
-from peerlens.session import stored
+from peerlens.session import released, stored
 
-WORD_SHARE = 1e-6       # at most 10^6 frequent words, 16 MB
-HOT_SHARE = 1e-5        # at most 10^5 broadcast n-grams per order
+WORD_SHARE = 1e-6       # of an earlier form, set by a test; nothing depends on a word's share
 LEAST = 2               # occurrences of a kept n-gram
-BITS = 27               # log2 of the bits of a map of kept n-grams
 DISCOUNT = 0.75         # of n-grams of two and three words
 SEGMENT = 256           # tokens a lockstep lane walks
-BUFFER = 1 << 21        # distinct keys a counting task holds before it emits them
+BLOCK = 1 << 20         # tokens of a block, but for its last piece of texts
+BUCKET = 8 << 20        # text bytes per bucket
+
 END = np.uint64(0x0F1E2D3C4B5A6978)     # the end token's hash
 #: Odd factors: a pair's key is LEFT * word + RIGHT * word, a triple's
 #: LEFT3 * pair + RIGHT3 * pair (mod 2^64), so key and context give the other part.
@@ -63,73 +64,6 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, w.offsets + np.arange(n + 1)
 
 
-class _Counter:
-    """Sums integer columns by key in a bounded buffer of distinct keys.
-    A column ``same``, equal in all rows of a key, is the last one."""
-
-    def __init__(self, columns: int, same: bool = False):
-        self.parts: list[np.ndarray] = []
-        self.held, self.columns, self.same = 0, columns, same
-
-    def add(self, keys: np.ndarray, values: list[np.ndarray],
-            same: np.ndarray | None = None) -> bool:
-        """True if the buffer is full."""
-        uniq, one, at = np.unique(keys, return_index=True, return_inverse=True)
-        rows = np.empty((self.columns + 1 + self.same, len(uniq)), np.int64)
-        rows[0] = uniq.view(np.int64)
-        if self.same:
-            rows[-1] = same[one].view(np.int64)
-        for k, v in enumerate(values):
-            rows[k + 1] = np.bincount(at, weights=v, minlength=len(uniq))
-        self.parts.append(rows)
-        self.held += len(uniq)
-        if self.held > BUFFER:
-            self._merge()
-        return self.held > BUFFER // 2 and len(self.parts) == 1
-
-    def _merge(self) -> None:
-        rows = np.concatenate(self.parts, axis=1)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        first = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
-        merged = np.empty((len(rows), len(first)), np.int64)
-        merged[0] = rows[0, first]
-        for k in range(1, self.columns + 1):
-            merged[k] = np.add.reduceat(rows[k], first)
-        if self.same:
-            merged[-1] = rows[-1, first]
-        self.parts, self.held = [merged], len(first)
-
-    def take(self) -> Iterator[np.ndarray]:
-        if self.parts:
-            self._merge()
-            rows, self.parts, self.held = self.parts[0], [], 0
-            for i in range(0, rows.shape[1], 1 << 18):
-                yield rows[:, i:i + (1 << 18)]
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, total, train): exact counts of every token over all texts and
-    over the training texts, combined in the tasks before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(2)
-
-        def emit():
-            for rows in counter.take():
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows],
-                                                 names=["word", "total", "train"])
-        for batch in batches:
-            for part in chunks(batch):
-                toks, offs = tokens(part)
-                train = np.asarray(part.column("train")).astype(np.int64)
-                if counter.add(toks, [np.ones(len(toks)), np.repeat(train, np.diff(offs))]):
-                    yield from emit()
-        yield from emit()
-
-    partial = docs.mapInArrow(count, "word long, total long, train long")
-    return partial.groupBy("word").agg(F.sum("total").alias("total"), F.sum("train").alias("train"))
-
-
 class Unigrams(NamedTuple):
     """Frequent words by hash, and what the whole count table adds up to."""
 
@@ -148,23 +82,6 @@ class Unigrams(NamedTuple):
         return self.discount * self.v / self.n if self.n else 1.0
 
 
-def unigrams(counts: DataFrame) -> Unigrams:
-    s = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-                   F.coalesce(F.sum("train"), F.lit(0)).alias("n"),
-                   F.count_if(F.col("train") > 0).alias("v"),
-                   F.count_if(F.col("train") == 1).alias("n1"),
-                   F.count_if(F.col("train") == 2).alias("n2")).first()
-    # at most 1 / WORD_SHARE rows: each holds that share of all tokens
-    frequent = counts.where(F.col("total") >= WORD_SHARE * s["total"]).select("word", "train").toPandas()
-    hashes = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, train = hashes[order], frequent["train"].to_numpy(np.int64)[order]
-    n1, n2 = s["n1"], s["n2"]
-    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
-    states = np.flatnonzero(train > 0)
-    return Unigrams(hashes, train, s["n"], s["v"], discount, states)
-
-
 class Lookup:
     """Maps hashes or integer keys to their position in a sorted array, -1 if absent."""
 
@@ -194,144 +111,233 @@ def ngrams(toks: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return two, owner[:-1] == owner[1:], three, owner[:-2] == owner[2:]
 
 
-def ngram_counts(docs: DataFrame, kept: np.ndarray | None) -> DataFrame:
-    """(key, context, n): exact training counts of the pairs that occur
-    ``LEAST`` times, the context being the first word, or, given the bit map of
-    the kept pairs, of such triples, the context being the first pair."""
-    shared = docs.sparkSession.sparkContext.broadcast(kept)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and every key's number among them."""
+    order = np.argsort(keys)
+    by_key = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = by_key[1:] != by_key[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return by_key[new], order[new], number
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers: which are not zero, and those, compressed byte by byte of their width."""
+    some = values != 0
+    mask = pa.compress(np.packbits(some).tobytes(), "zstd", asbytes=True)
+    planes = values[some].view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return (len(values).to_bytes(8, "little") + len(mask).to_bytes(8, "little") + mask
+            + pa.compress(planes, "zstd", asbytes=True))
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    n, mask = int.from_bytes(data[:8], "little"), 16 + int.from_bytes(data[8:16], "little")
+    some = np.unpackbits(np.frombuffer(pa.decompress(data[16:mask], -(-n // 8), "zstd"), np.uint8),
+                         count=n).astype(bool)
+    out, width = np.zeros(n, dtype), np.dtype(dtype).itemsize
+    held = int(some.sum())
+    planes = np.frombuffer(pa.decompress(data[mask:], held * width, "zstd"), np.uint8)
+    out[some] = np.ascontiguousarray(planes.reshape(width, held).T).view(dtype).reshape(-1)
+    return out
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        counter = _Counter(1, same=True)
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def in_blocks(source: DataFrame) -> DataFrame:
+    """(block, words, toks, lengths, ids, train): texts as numbers of their
+    block's sorted distinct words."""
+    id_type = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            toks, lengths, ids, train = zip(*held)
+            keys, _, number = distinct(np.concatenate(toks))
+            one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([pack_keys(keys)]), pa.array([pack(number.astype(np.int32))]),
+                 one(pa.array(np.concatenate(lengths))), one(pa.concat_arrays(ids)), one(pa.concat_arrays(train))],
+                names=["block", "words", "toks", "lengths", "ids", "train"])
 
-        def emit():
-            for rows in counter.take():
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows],
-                                                 names=["key", "n", "context"])
         for batch in batches:
             for part in chunks(batch):
                 toks, offs = tokens(part)
-                two, in_two, three, in_three = ngrams(toks, offs)
-                if bits is None:
-                    keys, context = two[in_two], toks[:-1][in_two]
-                else:
-                    # a triple's pairs occur as often as it does
-                    pair = _held(bits, two)
-                    at = in_three & pair[:-1] & pair[1:]
-                    keys, context = three[at], two[:-1][at]
-                if counter.add(keys, [np.ones(len(keys))], context):
-                    yield from emit()
-        yield from emit()
-
-    partial = docs.where("train").select("text").mapInArrow(count, "key long, n long, context long")
-    return (partial.groupBy("key").agg(F.sum("n").alias("n"), F.max("context").alias("context"))
-            .where(F.col("n") >= LEAST))
-
-
-def _bit_map(keys: DataFrame) -> np.ndarray:
-    """2^BITS bits, set for the keys by their upper and lowest bits.  A task
-    makes a 256th of the map, so the driver gets the map alone."""
-    size = 1 << BITS - 14
-
-    def run(table: pa.Table) -> pa.Table:
-        k = table.column("key").to_numpy().view(np.uint64)
-        out = np.zeros(size, np.uint64)
-        np.bitwise_or.at(out, ((k >> np.uint64(70 - BITS)) & np.uint64(size - 1)).astype(np.int64),
-                         np.uint64(1) << (k & np.uint64(63)))
-        return pa.table({"at": [int(k[0] >> np.uint64(56))], "bits": [out.tobytes()]})
-
-    out = np.zeros((256, size), np.uint64)
-    for at, bits in keys.select("key").groupBy(F.shiftrightunsigned("key", 56)).applyInArrow(
-            run, "at long, bits binary").toLocalIterator():
-        out[at] = np.frombuffer(bits, np.uint64)
-    return out.reshape(-1)
-
-
-def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    word = bits[(keys >> np.uint64(70 - BITS)).astype(np.int64)]
-    return (word >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _looked_up(table: DataFrame, key: F.Column, dim: DataFrame, hot: F.Column) -> DataFrame:
-    """``table`` with the row of ``dim`` (column ``k``, every key once) of its
-    key; frequent rows are broadcast, so that no key of the other join is hot."""
-    table = table.withColumn("_k", key)
-    often, others = F.broadcast(dim.where(hot)), dim.where(~hot)
-    near = table.join(often, F.col("_k") == F.col("k"))
-    far = (table.join(F.broadcast(dim.where(hot).select("k")), F.col("_k") == F.col("k"), "left_anti")
-           .join(others, F.col("_k") == F.col("k")))
-    return near.union(far).drop("_k", "k")
-
-
-def _parts(table: DataFrame, left: np.uint64, right: np.uint64) -> DataFrame:
-    """n-grams with ``other``, their part after the context."""
-    inverse = np.uint64(pow(int(right), -1, 1 << 64))
+                held.append((toks, np.diff(offs), part.column("id"), part.column("train")))
+                size += len(toks)
+                if size >= BLOCK:
+                    yield emit()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield emit()
+
+    return source.mapInArrow(run, "block long, words binary, toks binary, lengths array<long>, "
+                                  f"ids array<{id_type}>, train array<boolean>")
+
+
+class Block:
+    """A block's n-grams of 1 to ``order`` words, by length: the sorted distinct
+    ``keys``, a token ``at`` which each begins, and ``which`` begins at every
+    token (-1: none)."""
+
+    def __init__(self, words: bytes, toks: bytes, lengths: np.ndarray, order: int):
+        hashes, number = unpack_keys(words), unpack(toks, np.int32).astype(np.int64)
+        self.offs = np.r_[0, np.cumsum(lengths)]
+        self.keys, self.at, self.which = [hashes], [None], [number]
+        two, in_two, three, in_three = ngrams(hashes[number], self.offs)
+        for keys, inside in ((two, in_two), (three, in_three))[:order - 1]:
+            begin = np.flatnonzero(inside)
+            uniq, one, place = distinct(keys[begin])
+            which = np.full(len(number), -1, np.int64)
+            which[begin] = place
+            self.keys.append(uniq)
+            self.at.append(begin[one])
+            self.which.append(which)
+
+    @classmethod
+    def of(cls, table: pa.Table, k: int, order: int) -> Block:
+        return cls(table.column("words")[k].as_py(), table.column("toks")[k].as_py(),
+                   table.column("lengths")[k].values.to_numpy(), order)
+
+
+def to_buckets(block: int, length: int, keys: np.ndarray, buckets: int,
+               **columns: np.ndarray) -> Iterator[dict]:
+    """Questions: sorted keys, with columns, cut at the bounds of the buckets."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(cut)):
+        i, j = cut[k], cut[k + 1]
+        yield {"block": block, "length": length, "bucket": int(k), "keys": pack_keys(keys[i:j]),
+               **{name: pack(values[i:j]) for name, values in columns.items()}}
+
+
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's questions: their sizes, and for all keys the sorted order and
+    the beginning and number of equal ones."""
+    parts = [unpack_keys(x.as_py()) for x in table.column("keys")]
+    keys = np.concatenate(parts)
+    order = np.argsort(keys)
+    by_key = keys[order]
+    first = np.flatnonzero(np.r_[True, by_key[1:] != by_key[:-1]])
+    return np.array([len(p) for p in parts]), order, first, np.diff(np.r_[first, len(keys)])
+
+
+def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.concatenate([unpack(x.as_py(), dtype) for x in table.column(name)])
+
+
+def _answers(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.array([pack(x) for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())
+
+
+def _answer(table: pa.Table, length: int, dtype) -> np.ndarray:
+    """What all buckets answered a block on its n-grams of a length."""
+    own = table.filter(np.asarray(table.column("length")) == length).sort_by("bucket")
+    return _column(own, "answer", dtype) if own.num_rows else np.zeros(0, dtype)
+
+
+def count(table: pa.Table) -> pa.Table:
+    """Training counts of a bucket's n-grams for the blocks that ask: twice the
+    count (0: not kept), plus 1 for the one block that adds the n-gram's arc.
+    The first row has the bucket's tokens, distinct words, and words of counts
+    1 and 2."""
+    sizes, order, first, times = _joined(table)
+    train = _column(table, "train", np.int64)[order]
+    n = np.add.reduceat(train, first)
+    word = table.column("length")[0].as_py() == 1
+    kept = n >= (1 if word else LEAST)
+    answer = np.empty(len(order), np.int64)
+    answer[order] = np.repeat(np.where(kept, 2 * n, 0), times)
+    adds = np.maximum.reduceat(np.where(train > 0, np.arange(len(order)), -1), first)
+    answer[order[adds[kept]]] += 1
+    sums = (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())
+    return pa.table({**{c: table.column(c) for c in ("block", "length", "bucket")},
+                     "answer": _answers(answer, sizes),
+                     **{c: pa.array([int(x) * word] + [0] * (len(sizes) - 1), pa.int64())
+                        for c, x in zip(("n", "v", "n1", "n2"), sums)}})
+
+
+def fail(table: pa.Table) -> pa.Table:
+    """Failure weights of a bucket's contexts: log10 of the mass that their arcs
+    leave over the mass that the shorter contexts' arcs leave."""
+    sizes, order, first, times = _joined(table)
+    high, low = (np.add.reduceat(_column(table, c, float)[order], first) for c in ("high", "low"))
+    weight = np.log10(np.maximum(1 - high, 1e-12) / np.maximum(1 - low, 1e-12))
+    answer = np.empty(len(order))
+    answer[order] = np.repeat(weight, times)
+    return pa.table({**{c: table.column(c) for c in ("block", "length", "bucket")},
+                     "answer": _answers(answer, sizes)})
+
+
+class Totals(NamedTuple):
+    """What the whole count table adds up to."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n, context = (c.to_numpy() for c in batch.columns)
-            other = (key.view(np.uint64) - left * context.view(np.uint64)) * inverse
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(other.view(np.int64))],
-                                             names=["key", "n", "context", "other"])
-
-    return table.select("key", "n", "context").mapInArrow(
-        run, "key long, n long, context long, other long")
-
-
-def values(docs: DataFrame, counts: DataFrame, uni: Unigrams,
-           order: int) -> tuple[DataFrame, np.ndarray | None]:
-    """(key, n, word, value): what every training word and kept n-gram adds to
-    a text's log10 probability, and the bit map of the kept n-grams.
-
-    A word's value is log10 of its probability and of its failure weight.  A
-    pair's is what its arc weighs more than the failure weight of its first
-    word and its last word's probability, and its own failure weight; a
-    triple's is the same a word longer."""
-    own = counts.where("train > 0").select(
-        F.col("word").alias("k"), F.col("train").alias("c"),
-        F.log10((F.col("train") - F.lit(uni.discount)) / F.lit(float(max(1, uni.n)))).alias("p"))
-    word = F.lit(True).alias("word")
-    if order < 2:
-        return own.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
-                          F.col("p").alias("value")), None
-
-    def backoff(arcs: DataFrame, shorter: str, states: DataFrame, c: str) -> DataFrame:
-        """``states`` (key k, count c) with log10 of the mass their arcs leave
-        over the mass that the shorter states' arcs leave."""
-        gone = arcs.groupBy(F.col("context").alias("k")).agg(
-            F.sum(F.col("n") - DISCOUNT).alias("_high"), F.sum(F.pow(F.lit(10.0), shorter)).alias("_low"))
-        left = F.greatest(1 - F.col("_high") / F.col(c), F.lit(1e-12))
-        under = F.greatest(1 - F.col("_low"), F.lit(1e-12))
-        return states.join(gone, "k", "left").withColumn(
-            "fail", F.coalesce(F.log10(left / under), F.lit(0.0))).drop("_high", "_low")
-
-    hot = F.col("c") >= HOT_SHARE * uni.n
-    pairs = stored(_looked_up(_parts(stored(ngram_counts(docs, None), "lm-pairs"), LEFT, RIGHT),
-                              F.col("other"), own, hot)
-                   .select("key", "n", "context", F.col("p").alias("last")), "lm-pairs")
-    states = stored(backoff(pairs, "last", own, "c"), "lm-words")
-    singles = states.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
-                            (F.col("p") + F.col("fail")).alias("value"))
-    arcs = _looked_up(pairs, F.col("context"), states, hot).select(
-        F.col("key").alias("k"), F.col("n").alias("c"),
-        F.log10((F.col("n") - DISCOUNT) / F.col("c")).alias("p"),
-        (F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("fail") - F.col("last")).alias("more"))
-    word = F.lit(False).alias("word")
-    if order < 3:
-        return singles.union(arcs.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
-                                         F.col("more").alias("value"))), _bit_map(pairs)
-    arcs = stored(arcs, "lm-arcs")
-    found = stored(ngram_counts(docs, _bit_map(pairs)), "lm-triples")
-    triples = stored(_looked_up(_parts(found, LEFT3, RIGHT3), F.col("other"),
-                                arcs.select("k", "c", "p"), hot)
-                     .select("key", "n", "context", F.col("p").alias("last")), "lm-triples")
-    arcs = stored(backoff(triples, "last", arcs, "c"), "lm-arcs")
-    doubles = arcs.select(F.col("k").alias("key"), F.col("c").alias("n"), word,
-                          (F.col("more") + F.col("fail")).alias("value"))
-    three = _looked_up(triples, F.col("context"), arcs.select("k", "c", "fail"), hot).select(
-        "key", "n", word,
-        (F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("fail") - F.col("last")).alias("value"))
-    return singles.union(doubles).union(three), _bit_map(pairs.select("key").union(triples.select("key")))
+    n: int                  # N: training tokens
+    v: int                  # V: distinct training tokens
+    discount: float
+
+    @property
+    def log_unknown(self) -> float:
+        return math.log10(self.discount * self.v / self.n) if self.n else 0.0
+
+    def known(self, n: np.ndarray) -> np.ndarray:
+        return (n - self.discount) / max(1, self.n)
+
+
+def totals(counts: DataFrame) -> Totals:
+    n, v, n1, n2 = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
+    return Totals(n, v, min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1)
+
+
+def steps(block: Block, n: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The steps of all tokens at once, as the state before a token depends on
+    the two tokens before it alone: for contexts of two words, then of one, the
+    tokens met in such a state, the context, the n-gram that would be its arc,
+    and whether it is one (else the failure arc leads on).  ``n``: counts of the
+    block's n-grams (0: not kept)."""
+    looking = np.ones(len(block.which[0]), bool)
+    for back in range(len(n) - 1, 0, -1):
+        context, arc = (w[:len(looking) - back] for w in block.which[back - 1:back + 1])
+        at = np.flatnonzero(looking[back:] & (arc >= 0))
+        at = at[n[back - 1][context[at]] > 0]
+        fits = n[back][arc[at]] > 0
+        yield back, at + back, context[at], arc[at], fits
+        looking[at[fits] + back] = False
+
+
+def contexts(block: Block, said: list[np.ndarray]) -> list[np.ndarray]:
+    """Which contexts, by length, a block asks for: where a text takes the
+    failure arc or the block adds an arc.  ``said``: the answers of ``count``."""
+    out = [np.zeros(len(x), bool) for x in said[:-1]]
+    for back, _, context, _, fits in steps(block, [x >> 1 for x in said]):
+        out[back - 1][context[~fits]] = True
+        out[back - 1][block.which[back - 1][block.at[back][said[back] & 1 > 0]]] = True
+    return out
+
+
+def walk(block: Block, n: list[np.ndarray], weight: list[np.ndarray], own: Totals) -> np.ndarray:
+    """log10 probability of every token: the weights of the failure arcs and of
+    the arc it takes.  ``weight``: failure weights of the contexts."""
+    out = np.zeros(len(block.which[0]))
+    alone = np.ones(len(out), bool)
+    for back, at, context, arc, fits in steps(block, n):
+        out[at[fits]] += np.log10((n[back][arc[fits]] - DISCOUNT) / n[back - 1][context[fits]])
+        out[at[~fits]] += weight[back - 1][context[~fits]]
+        alone[at[fits]] = False
+    known = n[0] > 0
+    logp = np.full(len(known), own.log_unknown)
+    logp[known] = np.log10(own.known(n[0][known]))
+    out[alone] += logp[block.which[0][alone]]
+    return out
 
 
 class Automaton:
@@ -446,91 +452,82 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                          train.alias("train"))
-    counts = stored(word_counts(source.select("text", "train")), "lm-counts")
-    uni = unigrams(counts)
-    table, bits = values(source, counts, uni, order)
-    table = stored(table, "lm-values")
-    # at most 1 / HOT_SHARE rows per order, and the frequent words
-    hot = table.where(~F.col("word") & (F.col("n") >= HOT_SHARE * uni.n)).select("key", "value").toPandas()
-    keys = hot["key"].to_numpy(np.int64).view(np.uint64)
-    by_key = np.argsort(keys)
-    worth = np.full(len(uni.hashes), math.log10(uni.unknown))
-    frequent = table.where("word").join(
-        F.broadcast(spark.createDataFrame(pa.table({"key": uni.hashes.view(np.int64)}))
-                    if len(uni.hashes) else counts.where("false").select(F.col("word").alias("key"))),
-        "key").select("key", "value").toPandas()
-    worth[Lookup(uni.hashes)(frequent["key"].to_numpy(np.int64).view(np.uint64))] = frequent["value"]
-    model = spark.sparkContext.broadcast((uni.hashes, uni.counts, worth, keys[by_key],
-                                          hot["value"].to_numpy(float)[by_key], bits, uni))
     id_type = source.schema["id"].dataType.simpleString()
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, freq, worth, often, weight, bits, uni = model.value
-        find, find_often = Lookup(frequent), Lookup(often)
-        log_unknown, log_none = math.log10(uni.unknown), -math.log10(uni.n + uni.v + 1)
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in chunks(batch):
-                toks, offs = tokens(part)
-                owner, docs_n = owners(offs), part.num_rows
-                uniq, inverse = np.unique(toks, return_inverse=True)
-                place = find(uniq)[inverse]
-                held = place >= 0
-                known = np.where(held, freq[place] if len(freq) else 0, 0)
-                base = np.where(held, np.log10(known + 1) + log_none, log_none)
-                own = np.where(held, worth[place] if len(worth) else 0.0, log_unknown)
-                score = np.bincount(owner, weights=own, minlength=docs_n)
-                rare, whose = [toks[~held]], [owner[~held]]
-                if bits is not None:
-                    two, in_two, three, in_three = ngrams(toks, offs)
-                    for grams, at in ((two, in_two), (three, in_three if order > 2 else in_three & False)):
-                        at = np.flatnonzero(at)
-                        at = at[_held(bits, grams[at])]
-                        uniq, inverse = np.unique(grams[at], return_inverse=True)
-                        place = find_often(uniq)[inverse]
-                        held = place >= 0
-                        score += np.bincount(owner[at[held]], weights=weight[place[held]],
-                                             minlength=docs_n)
-                        rare.append(grams[at[~held]])
-                        whose.append(owner[at[~held]])
-                # (document, key) groups of what the join values
-                rare, whose = np.concatenate(rare), np.concatenate(whose)
-                o = np.lexsort((rare, whose))
-                rare, whose = rare[o], whose[o]
-                new = np.r_[True, (whose[1:] != whose[:-1]) | (rare[1:] != rare[:-1])][:len(o)]
-                first = np.flatnonzero(new)
-                times = np.diff(np.r_[first, len(o)])
-                bounds = np.searchsorted(whose[first], np.arange(docs_n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(docs_n)), part.column("id"), part.column("train"),
-                    pa.array(np.diff(offs)),
-                    pa.array(np.bincount(owner, weights=known > 0, minlength=docs_n).astype(np.int64)),
-                    pa.array(np.bincount(owner, weights=base, minlength=docs_n)),
-                    pa.array(score),
-                    pa.ListArray.from_arrays(bounds, pa.array(rare[first].view(np.int64))),
-                    pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32)))],
-                    names=["row", "id", "train", "n_tokens", "n_known", "base", "score",
-                           "rare", "times"])
-                row += docs_n
-
-    walked = stored(source.mapInArrow(
-        walk, f"row long, id {id_type}, train boolean, n_tokens long, n_known long, base double, "
-              "score double, rare array<long>, times array<int>"), "lm-walked")
-    rare = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select(
-        "row", F.col("z.rare").alias("key"), F.col("z.times").alias("times"))
-    # a rare word was taken as unknown, an n-gram as not kept: the rows add the difference
-    rest = table.where(F.col("word") | (F.col("n") < HOT_SHARE * uni.n)).select(
-        "key", F.col("word").cast("int").alias("known"),
-        F.when(F.col("word"), F.log10(F.col("n") + 1)).otherwise(0.0).alias("base"),
-        (F.col("value") - F.when(F.col("word"), F.lit(math.log10(uni.unknown))).otherwise(0.0)).alias("value"))
-    sums = rare.join(rest, "key").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("known")).alias("more_known"),
-        F.sum(F.col("times") * F.col("base")).alias("more_base"),
-        F.sum(F.col("times") * F.col("value")).alias("more_score"))
-    zero = F.lit(0)
-    return walked.drop("rare", "times").join(sums, "row", "left").select(
-        F.col("id").alias(id_col), F.col("train"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"),
-        F.lit(uni.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = 1 + size // BUCKET
+    question = "block long, length int, bucket int, keys binary"
+    asked = pa.schema([("block", pa.int64()), ("length", pa.int32()), ("bucket", pa.int32()),
+                       ("keys", pa.binary())])
+    answer = "block long, length int, bucket int, answer binary"
+
+    def ask(lengths: tuple[int, ...]):
+        schema = asked.append(pa.field("train", pa.binary()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block = Block.of(batch, k, lengths[-1])
+                    learn = np.repeat(batch.column("train")[k].values.to_numpy(zero_copy_only=False),
+                                      np.diff(block.offs))
+                    for length in lengths:
+                        keys, which = block.keys[length - 1], block.which[length - 1]
+                        times = np.bincount(which[learn & (which >= 0)], minlength=len(keys))
+                        yield pa.RecordBatch.from_pylist(
+                            list(to_buckets(batch.column("block")[k].as_py(), length, keys, buckets,
+                                            train=times)), schema)
+
+        return run
+
+    def ask_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
+        block, rows = Block.of(table, 0, order), []
+        said = [_answer(told, length, np.int64) for length in range(1, order + 1)]
+        n, states = [x >> 1 for x in said], contexts(block, said)
+        for k in range(1, order):       # contexts of k words, arcs of one more
+            arcs = np.flatnonzero(said[k] & 1)
+            at = block.at[k][arcs]
+            context, shorter = block.which[k - 1][at], block.which[k - 1][at + 1]
+            high = (n[k][arcs] - DISCOUNT) / n[k - 1][context]
+            low = (own.known(n[0][shorter]) if k == 1 else
+                   (n[k - 1][shorter] - DISCOUNT) / n[k - 2][block.which[k - 2][at + 1]])
+            state = states[k - 1]
+            rows += to_buckets(table.column("block")[0].as_py(), k, block.keys[k - 1][state], buckets,
+                               **{name: np.bincount(context, weights=w, minlength=len(state))[state]
+                                  for name, w in (("high", high), ("low", low))})
+        return pa.Table.from_pylist(rows, asked.append(pa.field("high", pa.binary()))
+                                    .append(pa.field("low", pa.binary())))
+
+    def judge(table: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block.of(table, 0, order)
+        said = [_answer(told, length, np.int64) for length in range(1, order + 1)]
+        n, weight = [x >> 1 for x in said], [np.zeros(len(x)) for x in said[:-1]]
+        for k, state in enumerate(contexts(block, said), 1):
+            weight[k - 1][state] = _answer(told, -k, float)
+        lengths, docs_n = np.diff(block.offs), len(block.offs) - 1
+        owner, known = owners(block.offs), n[0][block.which[0]]
+        base = np.log10(known + 1) - math.log10(own.n + own.v + 1)
+        logp = walk(block, n, weight, own)
+        per = lambda x: np.bincount(owner, weights=x, minlength=docs_n)
+        return pa.table({"id": table.column("ids")[0].values, "train": table.column("train")[0].values,
+                         "n_tokens": lengths, "n_known": per(known > 0).astype(np.int64),
+                         "base_score": per(base), "score": per(logp)})
+
+    with released(spark):
+        blocks = stored(in_blocks(source), "lm-blocks")
+        # in two writes, so that the shuffles are not on disk at once
+        parts = [stored(blocks.mapInArrow(ask(lengths), f"{question}, train binary").groupBy("length", "bucket")
+                        .applyInArrow(count, f"{answer}, n long, v long, n1 long, n2 long"), "lm-counts")
+                 for lengths in ((1, 2)[:order], (3,) if order > 2 else ()) if lengths]
+        counts = reduce(DataFrame.union, parts)
+        own = totals(counts)
+        told = counts.select("block", "length", "bucket", "answer")
+        if order > 1:
+            fails = stored(
+                blocks.groupBy("block").cogroup(told.groupBy("block"))
+                .applyInArrow(ask_contexts, f"{question}, high binary, low binary")
+                .groupBy("length", "bucket").applyInArrow(fail, answer), "lm-fails")
+            told = told.union(fails.withColumn("length", -F.col("length")))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        judge, f"id {id_type}, train boolean, n_tokens long, n_known long, base_score double, "
+               "score double").select(
+        F.col("id").alias(id_col), "train", "n_tokens", "n_known",
+        F.lit(own.n).cast("long").alias("train_tokens"), "base_score", "score")
