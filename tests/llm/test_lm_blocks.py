@@ -33,7 +33,7 @@ def test_disk_of_a_text(spark):
     scored = lm.score(docs, train=F.col("train"))
     n = scored.agg(F.sum("n_tokens")).first()[0]
     assert n == 400 * 501
-    assert (_bytes(spark) - before) / n < 30
+    assert (_bytes(spark) - before) / n < 11
 
 
 @pytest.mark.parametrize("block,bucket", [(1, 1 << 10), (1 << 20, 1 << 10), (1 << 20, 8 << 20)])
