@@ -23,7 +23,7 @@ def per_query(profile: DataFrame, dims: Dimensions, spec: ProfileSpec, k: int =
     counts = compat_counts(tagged, spec).select(
         F.col(spec.key).alias("ref_key"), "n_compat")
     queries = profile.select(F.col(spec.name).alias("reference"), F.lit(k).alias("top_n"))
-    tw = twins(profile, dims, spec, queries, strict_position=False, carry=[], top_n_bound=k)
+    tw = twins(profile, dims, spec, queries, strict_position=False, display=False, top_n_bound=k)
     flagged = compat_flags(tw.select("ref_key", spec.key, "rank"), tagged, spec)
     j = flagged.join(counts.where(F.col("n_compat") > 0), "ref_key")
     eval_k = F.least(F.lit(k), F.col("n_compat"))
