@@ -9,14 +9,18 @@ with none get status ``infeasible``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.operators.descent import (TOL, BasketIndex, basket_index,  # noqa: F401 (TOL: checks)
                                         best_labels, descend)
 from peerlens.operators.market import composite_value_expr
+from peerlens.operators.near import _boxes
 from peerlens.schemas import BasketSpec, ProfileSpec
 from peerlens.session import materialize as _materialize
+from peerlens.session import released
 
 
 def basket_items(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec) -> DataFrame:
@@ -100,6 +104,7 @@ def basket_kpis(best: DataFrame, market: DataFrame, scenarios: DataFrame,
 
 SKY_GROUP = 512          # items per local-skyline group
 SKY_SHRINK = 0.9         # a round keeping more than this share ends the rounds
+CHUNKS = 32              # groups that a task of the grid compares at once
 
 
 def _dominates(i: DataFrame, o: DataFrame) -> Column:
@@ -133,14 +138,15 @@ def skyline(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
     and keep each group's local skyline; a position that fits one group is
     final.  No task compares more than ``group``^2 pairs, a hot position
     included.  If a round stops shrinking (anti-correlated data, the
-    skyline is most of the rows) the rest is settled by a grid-salted
-    dominated-set join, also bounded per task."""
+    skyline is most of the rows) the rest is settled by a grid of salts,
+    also bounded per task."""
     items = basket_items(market, spec, bspec)
     # of rows alike in all but the key, the smallest key dominates the others:
     # they leave before any round, where they seldom share a group
     alike = Window.partitionBy(*[c for c in items.columns if c != "key"])
-    cur = _materialize(items.withColumn("_first", F.min("key").over(alike))
-                       .where(F.col("key") == F.col("_first")).drop("_first"))
+    with released(market.sparkSession):
+        cur = _materialize(items.withColumn("_first", F.min("key").over(alike))
+                           .where(F.col("key") == F.col("_first")).drop("_first"))
     prev = None
     for r in range(max_rounds):
         cnt = cur.groupBy("pos").agg(F.count(F.lit(1)).alias("_n"))
@@ -155,16 +161,21 @@ def skyline(market: DataFrame, spec: ProfileSpec, bspec: BasketSpec,
                                            F.ceil(F.col("_n") / F.lit(float(group))))
                               .cast("int"))
                   .drop("_n"))
-        cur = _materialize(_local_skyline(salted, ["pos", "_g"]).drop("_g"))
+        with released(market.sparkSession):
+            cur = _materialize(_local_skyline(salted, ["pos", "_g"]).drop("_g"))
     return _salted_skyline(cur, group)
 
 
 def _salted_skyline(items: DataFrame, group: int) -> DataFrame:
     """Exact skyline by a grid of (position, i-salt, o-salt) tasks: each
     task finds the rows of its i-salt dominated by its o-salt; a row is in
-    the skyline when no task marks it."""
+    the skyline when no task marks it.
+
+    A salt has ``CHUNKS`` times ``group`` rows, which a task compares by array
+    operations (``_dominated``): a row is copied once per salt of its position,
+    and only marked keys leave a task."""
     nparts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ns = (items.groupBy("pos").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group)))
+    ns = (items.groupBy("pos").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group * CHUNKS)))
                                    .cast("int").alias("_ns")))
     salt = F.pmod(F.xxhash64("key"), F.col("_ns")).cast("int")
     i = (items.join(ns, "pos").withColumn("_si", salt)
@@ -174,7 +185,46 @@ def _salted_skyline(items: DataFrame, group: int) -> DataFrame:
          .withColumn("_si", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns"))
     o = o.select(*[F.col(c).alias(f"o_{c}") for c in o.columns]).repartition(
         nparts, "o_pos", "o__si", "o__so")
-    cond = ((i["pos"] == o["o_pos"]) & (i["_si"] == o["o__si"]) & (i["_so"] == o["o__so"])
-            & (o["o_key"] != i["key"]) & _dominates(i, o))
-    dominated = i.join(o, cond, "left_semi").select("pos", "key").distinct()
+    schema = items.select("pos", "key").schema
+
+    def mark(rows: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.rename_columns([c[2:] for c in others.column_names])
+        hit = _dominated(rows, others) if rows.num_rows and others.num_rows else []
+        return rows.select(["pos", "key"]).take(pa.array(hit, pa.int64()))
+
+    dominated = (i.groupBy("pos", "_si", "_so").cogroup(o.groupBy("o_pos", "o__si", "o__so"))
+                 .applyInArrow(mark, schema).distinct())
     return items.join(dominated, ["pos", "key"], "left_anti")
+
+
+def _dominated(rows: pa.Table, others: pa.Table) -> np.ndarray:
+    """Rows that one of ``others`` dominates (``_dominates``; equal keys do not count).
+
+    All compared as ranks, numbers in Spark's order; boxes of ``others`` that can
+    dominate a row are looked into, for rows that none has dominated yet."""
+    def ranks(column: str) -> np.ndarray:
+        both = np.concatenate([t.column(column).to_pandas().to_numpy() for t in (rows, others)])
+        return np.unique(both, return_inverse=True)[1].astype(np.int32)
+
+    n = rows.num_rows
+    key, value = ranks("key"), ranks("value")
+    place = np.empty(len(key), np.int32)        # value downwards, then key
+    place[np.lexsort((key, -value))] = np.arange(len(key))
+    at = np.stack([ranks("fee"), ranks("wage"), ranks("age"), -ranks("prog"), -ranks("dfn"),
+                   -ranks("cre"), place], 1)
+    a, o, own, keys = at[:n], at[n:], key[:n], key[n:]
+    boxes = _boxes(o)
+    low = np.array([o[b].min(0) for b in boxes])
+    out = np.zeros(n, bool)
+    for b in np.argsort(low.astype(float).sum(1), kind="stable"):       # the strongest first
+        left = np.flatnonzero(~out)
+        left = left[(low[b] <= a[left]).all(1)]
+        members = boxes[b]
+        for s in range(0, len(left), 4096):
+            q = left[s:s + 4096]
+            worse = o[members, 6] < a[q, 6][:, None]
+            for j in range(6):
+                worse &= o[members, j] <= a[q, j][:, None]
+            worse &= keys[members] != own[q][:, None]
+            out[q[worse.any(1)]] = True
+    return np.flatnonzero(out)
